@@ -7,6 +7,7 @@ import importlib
 _QUERIES = {
     "op2_minhash_neardup": "neardup",
     "op3_decontaminate": "decontaminate",
+    "op7_best_fit_packing": "packing",
     "op8_language_id": "langid",
 }
 
