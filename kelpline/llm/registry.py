@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op1_toxicity": "toxicity",
     "op2_minhash_neardup": "neardup",
     "op3_decontaminate": "decontaminate",
     "op7_best_fit_packing": "packing",
