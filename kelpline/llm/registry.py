@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_toxicity": "toxicity",
     "op2_minhash_neardup": "neardup",
     "op3_decontaminate": "decontaminate",
+    "op4_secrets": "secrets",
     "op7_best_fit_packing": "packing",
     "op8_language_id": "langid",
 }
