@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_minhash_neardup": "neardup",
     "op3_decontaminate": "decontaminate",
     "op4_secrets": "secrets",
+    "op6_pii": "pii",
     "op7_best_fit_packing": "packing",
     "op8_language_id": "langid",
 }
