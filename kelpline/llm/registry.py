@@ -12,6 +12,7 @@ _QUERIES = {
     "op6_pii": "pii",
     "op7_best_fit_packing": "packing",
     "op8_language_id": "langid",
+    "op10_warc": "warc",
 }
 
 
