@@ -9,9 +9,11 @@ _QUERIES = {
     "op2_minhash_neardup": "neardup",
     "op3_decontaminate": "decontaminate",
     "op4_secrets": "secrets",
+    "op5_fingerprints": "fingerprint",
     "op6_pii": "pii",
     "op7_best_fit_packing": "packing",
     "op8_language_id": "langid",
+    "op9_licenses": "licenses",
     "op10_warc": "warc",
 }
 
@@ -21,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kelpline.llm import licenses
+
+    return {"op9_licenses": licenses.oracle()}
