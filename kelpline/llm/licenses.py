@@ -22,7 +22,7 @@ from kelpline.llm.store import table
 #: Spellings that count as one: pattern, replacement, in this order.
 EQUIVALENT = (("licence", "license"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("per cent", "percent"))
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-OTHER = r"[^\p{L}\p{N}]+"
+OTHER, OTHER_IN_LINE = r"[^\p{L}\p{N}]+", r"[^\p{L}\p{N}\n]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -80,11 +80,17 @@ def known_digests() -> list[tuple[str, str]]:
     return sorted({hashlib.sha256(canonical_text(t).encode()).hexdigest(): i for i, t in KNOWN}.items(), key=lambda x: (x[1], x[0]))
 
 
-def canonical(text: Column) -> Column:
+def canonical_lines(text: Column) -> Column:
+    """The canonical form, line breaks kept."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
     for a, b in EQUIVALENT:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, OTHER, " "))
+    return F.regexp_replace(out, OTHER_IN_LINE, " ")
+
+
+def unbroken(lines: Column) -> Column:
+    """Canonical lines as one canonical text."""
+    return F.trim(F.regexp_replace(F.translate(lines, "\n", " "), " {2,}", " "))
 
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,9 +98,10 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     that are known notices and their licences, comma-joined."""
     known = F.broadcast(df.sparkSession.createDataFrame(known_digests(), "digest string, license string"))  # a fixed table
     pairs = [F.lit(x) for row in known_digests() for x in row]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) <= max(len(t) for _, t in KNOWN) * 4)  # no known line is longer
-    rows = df.select(F.col(id_col), F.sha2(canonical(text), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
+    lengths = F.lit(sorted({len(canonical_text(t)) for _, t in KNOWN}))
+    rows = df.select(F.col(id_col), canonical_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("form"))
+    lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: F.array_contains(lengths, F.length(x)))  # others can't match
+    rows = rows.select(id_col, F.sha2(unbroken(F.col("form")), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("lines"))
     rows = rows.join(known, "digest", "left")
     found = F.array_compact(F.transform("lines", lambda d: F.try_element_at(F.create_map(*pairs), d)))
     rows = rows.withColumn("found", found)
@@ -117,14 +124,13 @@ def oracle(documents: str = "documents") -> str:
         return f"trim(regexp_replace({out}, '{OTHER}', ' ', 'g'))"
 
     values = ", ".join(f"('{d}', '{i}')" for d, i in known_digests())
-    longest = max(len(t) for _, t in KNOWN) * 4
     return f"""
 WITH known(digest, license) AS (VALUES {values}),
 base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM {documents}),
 whole AS (SELECT r, doc_id, sha256({form('text')}) AS digest FROM base),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM base),
 notices AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS ids
-            FROM lines JOIN known ON known.digest = sha256({form('line')}) WHERE length(line) <= {longest} GROUP BY r)
+            FROM lines JOIN known ON known.digest = sha256({form('line')}) GROUP BY r)
 SELECT doc_id, whole.digest AS text_sha256, license AS license_id, coalesce(n, 0) AS n_notices, coalesce(ids, '') AS notice_ids
 FROM whole LEFT JOIN known USING (digest) LEFT JOIN notices USING (r)"""
 
