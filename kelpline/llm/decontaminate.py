@@ -11,13 +11,13 @@ overlapping occurrences merge into removal spans.
 
 What is shipped to the tasks is the benchmark's windows.  A benchmark is an
 evaluation set; ``max_benchmark_bytes`` states the bound and a larger one is
-split into parts that are searched one after the other over the same shards.
-Null and empty texts have no words. Repeated item ids count once per document.
+refused, to be split by the caller.
+Null and empty texts have no words. Repeated item ids count once per document;
+a null item id counts as "".
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -44,7 +44,7 @@ class Phrases:
             words = WORD.findall((text or "").translate(_LOWER))
             size = min(window, len(words))
             for i in range(len(words) - size + 1) if words else ():
-                found.setdefault(tuple(words[i : i + size]), set()).add(str(item_id))
+                found.setdefault(tuple(words[i : i + size]), set()).add("" if item_id is None else str(item_id))
         vocabulary = sorted({w for p in found for w in p})
         number = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.alphabet = len(vocabulary) + 1
@@ -103,21 +103,24 @@ def occurrences(phrases: Phrases, words: W.Words) -> tuple[np.ndarray, list[list
     return np.concatenate(starts), owners, np.concatenate(lengths)
 
 
+NAMES = ["n_words", "n_hit", "items", "spans"]
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
 
 
-def scan(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
-    """``df``'s id with n_words, n_hit, the items found and removal spans (code points, end exclusive)."""
+def scan(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = 10, max_benchmark_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` with n_words, n_hit, the items found and removal spans (code points, end exclusive)."""
+    df = df.drop(*[n for n in NAMES if n in df.columns])
     size = benchmark.select(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_benchmark_bytes:
         raise ValueError(f"the benchmark has {size} bytes; split it at max_benchmark_bytes = {max_benchmark_bytes}")
     items = [tuple(r) for r in benchmark.select("item_id", "text").toLocalIterator()]
     shipped = df.sparkSession.sparkContext.broadcast(Phrases(items, window))
+    at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shipped.value
         for batch in batches:
-            for a, b, data, offsets in W.text_slices(batch.column(1), SHARD_BYTES):
+            for a, b, data, offsets in W.text_slices(batch.column(at), SHARD_BYTES):
                 words = W.split_words(data, offsets)
                 start, owners, length = occurrences(phrases, words)
                 cover = np.zeros(len(words.hash) + 1, np.int64)
@@ -129,23 +132,20 @@ def scan(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_co
                 items_of: list[set[int]] = [set() for _ in range(b - a)]
                 for r, ids in zip(row[start], owners, strict=True):
                     items_of[r].update(ids)
-                spans = _spans(words, hit, start, length, row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(np.diff(words.first), pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([sorted(phrases.items[k] for k in x) for x in items_of], pa.list_(pa.string())),
-                        pa.array([spans.get(i, []) for i in range(b - a)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    ],
-                    names=["id", "n_words", "n_hit", "items", "spans"],
-                )
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
-
-
-def _spans(words: W.Words, hit: np.ndarray, start: np.ndarray, length: np.ndarray, row: np.ndarray) -> dict[int, list[dict]]:
+                spans = _spans(words, hit, row)
+                new = [
+                    pa.array(np.diff(words.first), pa.int64()),
+                    pa.array(n_hit, pa.int64()),
+                    pa.array([sorted(phrases.items[k] for k in x) for x in items_of], pa.list_(pa.string())),
+                    pa.array([spans.get(i, []) for i in range(b - a)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, *NAMES])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{schema}, {SCHEMA}")
+
+
+def _spans(words: W.Words, hit: np.ndarray, row: np.ndarray) -> dict[int, list[dict]]:
     """Merged spans of covered words by text. Occurrences that only touch merge as well."""
     out: dict[int, list[dict]] = {}
     if not hit.any():
@@ -160,10 +160,6 @@ def _spans(words: W.Words, hit: np.ndarray, start: np.ndarray, length: np.ndarra
     return out
 
 
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-
-
 def without_spans(text: F.Column, spans: F.Column) -> F.Column:
     """``text`` less its removal spans."""
     kept = F.aggregate(
@@ -179,7 +175,7 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Contract view: one row per document."""
     from kelpline.llm.store import table
 
-    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",

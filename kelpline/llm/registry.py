@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 _QUERIES = {
     "op1_toxicity": "toxicity",
     "op2_minhash_neardup": "neardup",
@@ -19,10 +21,12 @@ _QUERIES = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"kelpline.llm.{module}"), name) for name, module in _QUERIES.items()}
+    found = {name: getattr(importlib.import_module(f"kelpline.llm.{module}"), name) for name, module in _QUERIES.items()}
+    return {**found, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     from kelpline.llm import licenses
 
-    return {"op9_licenses": licenses.oracle()}
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op9_licenses": licenses.oracle(), **whole}
