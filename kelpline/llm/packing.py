@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ class Encoder:
     That is only done for a vocabulary on which both ways agree for a probe.
     """
 
-    KEPT, LONGEST = 600_000, 48
+    KEPT, LONGEST = 500_000, 48
     PROBE = "It's A caf\u00e9, (WE'LL)  12.5 \u00c9t\u00e9!! x_y@z.org \u0152uvre 'tis ''re"
 
     def __init__(self, path: str):
@@ -130,6 +131,12 @@ class Encoder:
         return self.pool[np.arange(int(size.sum())) + np.repeat(self.starts[at] - place, size)]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """This process's encoder; it and what it has learned outlive a task."""
+    return Encoder(path)
+
+
 def plan(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, first sequence, offset), sorted, and the number of sequences; counts by length."""
     left = counts.astype(np.int64).copy()
@@ -178,15 +185,15 @@ def tokenised_pieces(df: DataFrame, *, id_col: str, text_col: str, capacity: int
     """(id, piece, start, length, ids_crc32[, ids], part, place): ``place`` counts a task's pieces of equal length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        own_encoder, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for lo in range(0, batch.num_rows, 512):  # rows, not bytes: a text is in memory as a whole anyway
                 rows = {k: [] for k in ("at", "piece", "start", "length", "crc", "ids", "place")}
                 some = texts.slice(lo, 512).to_pylist()
-                encoder.warm(some)
+                own_encoder.warm(some)
                 for i, text in enumerate(some, lo):
-                    ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(own_encoder.encode(text), np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
                         for name, x in (("at", i), ("piece", k), ("start", start), ("length", len(own)), ("crc", zlib.crc32(own.tobytes())), ("place", seen[len(own)])):
