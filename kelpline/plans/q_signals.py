@@ -1 +1,188 @@
-"""Queries."""
+"""Queries: windows, ordered operators, tracking and streams."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from kelpline.functions.scalars import angle_gap, circular_mean, crop_side, resampled
+from kelpline.operators import statistics as X
+from kelpline.operators import tracking as T
+from kelpline.operators import windows as W
+from kelpline.plans.catalogue import OBS, observations, query, rounded, table
+
+
+def _signal(spark, d):
+    return observations(spark, d).select("clip", "seq", "value", "k")
+
+
+@query(f"""WITH RECURSIVE {OBS}, w AS (SELECT clip, CAST(row_number() OVER (PARTITION BY clip ORDER BY seq) - 1 AS INTEGER) AS start,
+avg(CASE WHEN value >= 40 THEN 1.0::DOUBLE ELSE 0 END) OVER f AS visible_frac, avg(value) OVER f AS mean_motion, count(*) OVER f AS n FROM o WINDOW f AS (PARTITION BY clip ORDER BY seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+q AS (SELECT * FROM w WHERE n = 10 AND visible_frac > 0.5 AND mean_motion >= 30),
+g AS (SELECT clip, min(start) AS start FROM q GROUP BY clip UNION ALL SELECT clip, s FROM (SELECT g.clip, (SELECT min(q.start) FROM q WHERE q.clip = g.clip AND q.start >= g.start + 10) AS s FROM g) WHERE s IS NOT NULL)
+SELECT clip, start, round(visible_frac, 6) AS visible_frac, round(mean_motion, 6) AS mean_motion FROM g JOIN q USING (clip, start)""")
+def greedy_windows(spark, d):
+    out = W.greedy_windows(_signal(spark, d), "clip", "seq", "value", "value", length=10, step=10, threshold=40, least_motion=30)
+    return rounded(out, "visible_frac", "mean_motion")
+
+
+@query(f"WITH {OBS} SELECT clip, seq, round(coalesce(abs(value - lag(value) OVER (PARTITION BY clip ORDER BY seq)), 0), 6) AS difference FROM o")
+def frame_difference(spark, d):
+    return rounded(W.frame_difference(_signal(spark, d), "clip", "seq", "value").select("clip", "seq", "difference"), "difference")
+
+
+@query(f"""WITH {OBS}, r AS (SELECT clip, seq, value, row_number() OVER w - 1 AS i, lag(value) OVER w AS p FROM o WINDOW w AS (PARTITION BY clip ORDER BY seq)), s AS (SELECT * FROM r WHERE i % 4 = 0)
+SELECT clip, CAST(i AS INTEGER) AS i, round(coalesce(abs(value - p), 0), 6) AS inst, round(coalesce(abs(value - lag(value) OVER (PARTITION BY clip ORDER BY i)), 0), 6) AS disp FROM s""")
+def sampled_difference(spark, d):
+    return rounded(W.sampled_difference(_signal(spark, d), "clip", "seq", "value", 4), "inst", "disp")
+
+
+@query(f"WITH {OBS} SELECT clip, seq, round(CASE WHEN max(value) OVER (PARTITION BY clip) > 0 THEN value / max(value) OVER (PARTITION BY clip) ELSE 0 END, 6) AS normalised FROM o")
+def normalised_motion(spark, d):
+    return rounded(W.normalised(_signal(spark, d), "clip", "value").select("clip", "seq", "normalised"), "normalised")
+
+
+@query(f"""WITH {OBS} SELECT clip, seq, round(CASE WHEN count(*) OVER (PARTITION BY clip) >= 5 THEN sum(value) OVER (PARTITION BY clip ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 ELSE value END, 6) AS smoothed FROM o""")
+def smoothed_motion(spark, d):
+    return rounded(W.smoothed(_signal(spark, d), "clip", "seq", "value").select("clip", "seq", "smoothed"), "smoothed")
+
+
+@query(f"WITH {OBS} SELECT clip, seq, round(quantile_cont(value, 0.5) OVER (PARTITION BY clip ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS median FROM o")
+def moving_median(spark, d):
+    return rounded(W.moving_median(_signal(spark, d), "clip", "seq", "value").select("clip", "seq", "median"), "median")
+
+
+_KERNEL = [math.exp(-0.5 * k * k) for k in range(-4, 5)]
+
+
+@query(f"""WITH {OBS}, b AS (SELECT clip, seq, value, coalesce(lag(value) OVER w, value) AS a, coalesce(lead(value) OVER w, value) AS z, count(*) OVER (PARTITION BY clip) AS n FROM o WINDOW w AS (PARTITION BY clip ORDER BY seq)),
+m AS (SELECT *, greatest(least(a, value), least(greatest(a, value), z)) AS m FROM b), e AS (SELECT *, first_value(m) OVER f AS lo, last_value(m) OVER f AS hi FROM m WINDOW f AS (PARTITION BY clip ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT clip, seq, round(CASE WHEN n >= 3 THEN """ + " + ".join(f"{g / sum(_KERNEL)!r}::DOUBLE * coalesce({'lag' if k <= 0 else 'lead'}(m, {abs(k)}) OVER w, {'lo' if k < 0 else 'hi'})" for k, g in zip(range(-4, 5), _KERNEL, strict=True)) + " ELSE value END, 6) AS filtered FROM e WINDOW w AS (PARTITION BY clip ORDER BY seq)")
+def median_gaussian(spark, d):
+    return rounded(W.median_gaussian(_signal(spark, d), "clip", "seq", "value").select("clip", "seq", "filtered"), "filtered")
+
+
+@query(f"WITH {OBS} SELECT clip, round(list_reduce(list(value ORDER BY seq), lambda e, x: 0.45::DOUBLE * x + 0.55::DOUBLE * e), 6) AS ema, count(*) AS n FROM o GROUP BY clip")
+def ema_series(spark, d):
+    return rounded(W.ema_series(_signal(spark, d), "clip", "seq", "value"), "ema")
+
+
+@query(f"WITH {OBS}, g AS (SELECT clip, lead(seq) OVER (PARTITION BY clip ORDER BY seq) - seq AS gap FROM o) SELECT clip, max(gap) AS largest_gap FROM g GROUP BY clip")
+def largest_gap(spark, d):
+    return W.largest_gap(_signal(spark, d), "clip", "seq")
+
+
+@query(f"""WITH {OBS}, l AS (SELECT clip, list(value ORDER BY seq) AS v FROM o GROUP BY clip), i AS (SELECT clip, v, unnest(range(10)) AS i FROM l)
+SELECT clip, CAST(i AS INTEGER) AS i, v[CAST(round_even(i * (len(v) - 1) / 9.0::DOUBLE, 0) AS INTEGER) + 1] AS value FROM i""")
+def resampled_series(spark, d):
+    series = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"])
+    rows = _signal(spark, d).groupBy("clip").agg(series.alias("v"))
+    return rows.select("clip", F.posexplode(resampled(F.col("v"), 10)).alias("i", "value"))
+
+
+@query(f"""WITH {OBS} SELECT a.clip, a.seq, b.seq AS prev_index, b.value AS prev_value FROM o a ASOF LEFT JOIN o b ON a.clip = b.clip AND a.seq - 300 >= b.seq""")
+def asof_previous(spark, d):
+    return W.as_of_previous(_signal(spark, d), "clip", "seq", "value", 300)
+
+
+@query(f"""WITH {OBS}, p AS (SELECT clip, seq, seq / 10.0::DOUBLE AS t, value AS x, k::DOUBLE AS y FROM o), l AS (SELECT *, t - lag(t) OVER w AS dt, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WINDOW w AS (PARTITION BY clip ORDER BY t)),
+s AS (SELECT *, sqrt(dx * dx + dy * dy) AS distance, sqrt(dx * dx + dy * dy) / dt AS speed FROM l WHERE dx IS NOT NULL AND dt <> 0)
+SELECT clip, seq, round(distance, 6) AS distance, round(speed, 6) AS speed, round((speed - lag(speed) OVER (PARTITION BY clip ORDER BY t)) / dt, 6) AS acceleration FROM s""")
+def kinematics(spark, d):
+    points = _signal(spark, d).select("clip", "seq", (F.col("seq") / 10.0).alias("t"), F.col("value").alias("x"), F.col("k").cast("double").alias("y"))
+    return rounded(W.kinematics(points, "clip", "t", "x", "y").select("clip", "seq", "distance", "speed", "acceleration"), "distance", "speed", "acceleration")
+
+
+@query(f"""WITH {OBS}, s AS (SELECT clip, abs(value - lag(value) OVER (PARTITION BY clip ORDER BY seq)) AS d, count(*) OVER (PARTITION BY clip) AS n FROM o), f AS (SELECT clip, d FROM s WHERE n >= 4 AND d IS NOT NULL),
+m AS (SELECT clip, greatest(quantile_cont(d, 0.5) * 4, 6) AS lim FROM f GROUP BY clip) SELECT clip, count(*) AS steps, count(*) FILTER (d > lim) AS jumps FROM f JOIN m USING (clip) GROUP BY clip""")
+def teleport_rate(spark, d):
+    return W.teleports(_signal(spark, d), "clip", "seq", "value")
+
+
+@query(f"WITH {OBS} SELECT clip, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, max(value) AS max FROM o GROUP BY clip")
+def kinematic_summary(spark, d):
+    return rounded(W.summary(_signal(spark, d), "clip", "value"), "mean", "median", "p90")
+
+
+@query("""WITH r AS (SELECT DISTINCT l_suppkey, l_returnflag, l_partkey % 40 AS rank FROM lineitem), i AS (SELECT l_suppkey, l_returnflag, rank - row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY rank) AS g FROM r)
+SELECT l_suppkey, l_returnflag, count(DISTINCT g) AS runs FROM i GROUP BY ALL""")
+def fragmentation(spark, d):
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", (F.col("l_partkey") % 40).alias("rank")).distinct()
+    return W.islands(rows, "l_suppkey", "l_returnflag", "rank")
+
+
+@query(f"""WITH {OBS}, a AS (SELECT clip, CAST(round_even((seq % 997) / 10.0::DOUBLE, 0) AS INTEGER) AS second, value, seq FROM o), s AS (SELECT clip, second, arg_max(value, seq) AS score FROM a GROUP BY ALL),
+g AS (SELECT clip, unnest(range(0, m + 1)) AS second FROM (SELECT clip, max(second) AS m FROM s GROUP BY clip)) SELECT clip, CAST(g.second AS INTEGER) AS second, coalesce(score, 0) AS score FROM g LEFT JOIN s USING (clip, second)""")
+def second_alignment(spark, d):
+    return W.second_grid(_signal(spark, d), "clip", (F.col("seq") % 997) / 10.0, "value", "seq")
+
+
+@query(f"""WITH {OBS} SELECT clip, round(atan2(avg(sin(k / 15.0::DOUBLE)), avg(cos(k / 15.0::DOUBLE))), 6) AS angle FROM o GROUP BY clip""")
+def circular_angle(spark, d):
+    return rounded(_signal(spark, d).groupBy("clip").agg(circular_mean(F.col("k") / 15.0).alias("angle")), "angle")
+
+
+@query(f"""WITH {OBS}, d AS (SELECT clip, seq, abs(k / 15.0::DOUBLE - value) AS x FROM o), e AS (SELECT clip, seq, x - floor(x / (2 * pi())) * 2 * pi() AS x FROM d) SELECT clip, seq, round(least(x, 2 * pi() - x), 5) AS gap FROM e""")
+def angle_gaps(spark, d):
+    return rounded(_signal(spark, d).select("clip", "seq", angle_gap(F.col("k") / 15.0, F.col("value")).alias("gap")), "gap", places=5)
+
+
+@query(f"""WITH {OBS} SELECT clip, min(value) - 5 AS x0, min(k) - 5.0::DOUBLE AS y0, max(value) + 5 AS x1, max(k) + 5.0::DOUBLE AS y1 FROM o GROUP BY clip""")
+def bounding_boxes(spark, d):
+    return X.box(_signal(spark, d).withColumn("k", F.col("k").cast("double")), "clip", "value", "k", 5.0)
+
+
+@query(f"""WITH {OBS} SELECT clip, seq, round(least(greatest(1.5::DOUBLE * greatest(k / 100.0::DOUBLE, value / 500), 0.2::DOUBLE), 1.0::DOUBLE), 6) AS side FROM o""")
+def crop_boxes(spark, d):
+    return rounded(_signal(spark, d).select("clip", "seq", crop_side(F.col("k") / 100.0, F.col("value") / 500).alias("side")), "side")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS f, l_partkey % 8 AS px FROM orders JOIN lineitem ON l_orderkey = o_orderkey), p AS (SELECT DISTINCT f, px FROM a WHERE px < 6), q AS (SELECT DISTINCT f, px FROM a WHERE px > 2),
+j AS (SELECT coalesce(p.f, q.f) AS f, count(*) AS u, count(p.px + q.px) AS i FROM p FULL JOIN q ON p.f = q.f AND p.px = q.px GROUP BY 1) SELECT f, round(i / u::DOUBLE, 6) AS iou FROM j""")
+def run_iou(spark, d):
+    from kelpline.functions.scalars import iou
+
+    px = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("f"), (F.col("l_partkey") % 8).alias("px")).join(table(spark, d, "orders"), F.col("f") == F.col("o_orderkey"), "left_semi")
+    sets = px.groupBy("f", "px").agg(F.max((F.col("px") < 6).cast("int")).alias("a"), F.max((F.col("px") > 2).cast("int")).alias("b")).groupBy("f").agg(F.sum(F.col("a") * F.col("b")).alias("i"), F.sum(F.greatest("a", "b")).alias("u")).where("u > 0")
+    return rounded(sets.select("f", iou(F.col("i"), F.col("u")).alias("iou")), "iou")
+
+
+@query()
+def hungarian_match(spark, d):
+    rows = observations(spark, d).select((F.floor(F.col("seq") / 12)).alias("frame"), F.when(F.col("seq") % 2 == 0, "a").otherwise("b").alias("side"), "seq", "value", F.col("k").cast("double").alias("y"))
+    return T.match_frames(rows, "frame", "side", "seq", "value", "y", radius=60.0)
+
+
+@query()
+def nearest_match(spark, d):
+    rows = observations(spark, d).select((F.floor(F.col("seq") / 12)).alias("frame"), F.when(F.col("seq") % 2 == 0, "a").otherwise("b").alias("side"), "seq", "value", F.col("k").cast("double").alias("y"))
+    return T.match_frames(rows, "frame", "side", "seq", "value", "y", radius=60.0, greedy=True)
+
+
+@query()
+def tracklet_links(spark, d):
+    rows = observations(spark, d).groupBy("clip", (F.floor(F.col("seq") / 50)).alias("track")).agg((F.min("seq") % 400).alias("first"), F.min_by("value", "seq").alias("x0"), F.min_by("k", "seq").alias("y0"), F.max_by("value", "seq").alias("x1"), F.max_by("k", "seq").alias("y1"))
+    rows = rows.withColumn("last", F.col("first") + 3)
+    return T.link_tracklets(rows, "clip", "track", radius=30.0)
+
+
+@query()
+def graph_metrics(spark, d):
+    edges = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("graph"), (F.col("l_partkey") % 20).alias("a"), (F.col("l_suppkey") % 20).alias("b"), F.col("l_quantity").alias("length"))
+    return T.graph_metrics(edges, "graph", "a", "b", "length")
+
+
+@query()
+def arm_states(spark, d):
+    rows = observations(spark, d).select("clip", F.col("label").alias("node"), "seq", F.when(F.col("k") % 5 != 0, F.col("value")).alias("value"))
+    return T.arm_states(rows, "clip", "node", "seq", "value", jump=40.0)
+
+
+@query("""WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT CAST(start AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w, m WHERE start + INTERVAL 1 DAY <= mark GROUP BY start, event_type""")
+def stream_tumbling(spark, d):
+    """Windows a finished stream has emitted: those the watermark has passed."""
+    from kelpline.plans.streams import finished_tumbling
+
+    return finished_tumbling(spark, d)
