@@ -8,7 +8,11 @@ from kelpline.functions import scalars as C
 from kelpline.operators import statistics as X
 from kelpline.plans.catalogue import LABELS, OBS, observations, query, rounded, table
 
-POS = F.col("toxic") == 1
+
+
+def toxic():
+    return F.col("toxic") == 1
+
 SCORED = "s AS (SELECT doc_id, source, lang, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id))"
 
 
@@ -22,33 +26,33 @@ MID = """m AS (SELECT *, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTIT
 @query(f"""WITH {SCORED}, {MID}, c AS (SELECT count(*) FILTER (toxic = 1) AS n1, count(*) FILTER (toxic <> 1) AS n0, sum(r) FILTER (toxic = 1) AS s FROM m)
 SELECT n1 AS n_pos, n0 AS n_neg, round((s - n1 * (n1 + 1) / 2.0::DOUBLE) / nullif(n1 * n0, 0), 6) AS auc FROM c""")
 def auc_rank(spark, d):
-    return rounded(X.auc(_scored(spark, d), "n_chars", POS), "auc")
+    return rounded(X.auc(_scored(spark, d), "n_chars", toxic()), "auc")
 
 
 @query(f"""WITH {SCORED}, m AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS r FROM s),
 c AS (SELECT lang, count(*) FILTER (toxic = 1) AS n1, count(*) FILTER (toxic <> 1) AS n0, coalesce(sum(r) FILTER (toxic = 1), 0) AS s FROM m GROUP BY lang)
 SELECT lang, n1 AS n_pos, n0 AS n_neg, round((s - n1 * (n1 + 1) / 2.0::DOUBLE) / nullif(n1 * n0, 0), 6) AS auc FROM c""")
 def auc_by_language(spark, d):
-    return rounded(X.auc(_scored(spark, d), "n_chars", POS, ["lang"]), "auc")
+    return rounded(X.auc(_scored(spark, d), "n_chars", toxic(), ["lang"]), "auc")
 
 
 @query(f"""WITH {SCORED}, c AS (SELECT quantile_cont(n_chars, 0.2) FILTER (toxic = 1) AS cut FROM s)
 SELECT round(any_value(cut), 6) AS cut, round(avg(CASE WHEN n_chars >= cut THEN 1.0::DOUBLE ELSE 0 END) FILTER (toxic <> 1), 6) AS fp_rate FROM s, c""")
 def fp_at_recall(spark, d):
-    return rounded(X.fp_at_recall(_scored(spark, d), "n_chars", POS, 0.8), "cut", "fp_rate")
+    return rounded(X.fp_at_recall(_scored(spark, d), "n_chars", toxic(), 0.8), "cut", "fp_rate")
 
 
 @query(f"""WITH {SCORED} SELECT round(count(*) FILTER (toxic = 1 AND n_chars > 1500) / greatest(1, count(*) FILTER (toxic = 1))::DOUBLE, 6) AS recall,
 round(count(*) FILTER (toxic <> 1 AND n_chars > 1500) / greatest(1, count(*) FILTER (toxic <> 1))::DOUBLE, 6) AS fpr, round(count(*) FILTER (toxic = 1 AND n_chars > 1500) / greatest(1, count(*) FILTER (n_chars > 1500))::DOUBLE, 6) AS precision FROM s""")
 def gate_rates(spark, d):
-    return rounded(X.gate_rates(_scored(spark, d), F.col("n_chars") > 1500, POS), "recall", "fpr", "precision")
+    return rounded(X.gate_rates(_scored(spark, d), F.col("n_chars") > 1500, toxic()), "recall", "fpr", "precision")
 
 
 TABLE22 = f"""{SCORED}, t AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic = 1) AS tt, count(*) FILTER (quality = 1 AND toxic <> 1) AS tf, count(*) FILTER (quality <> 1 AND toxic = 1) AS ft, count(*) FILTER (quality <> 1 AND toxic <> 1) AS ff FROM s GROUP BY lang)"""
 
 
 def _table(spark, d):
-    return X.contingency(_scored(spark, d), F.col("quality") == 1, POS, ["lang"])
+    return X.contingency(_scored(spark, d), F.col("quality") == 1, toxic(), ["lang"])
 
 
 @query(f"WITH {TABLE22} SELECT * FROM t")
@@ -73,7 +77,7 @@ def multi_kappa(spark, d):
 @query(f"""WITH {SCORED}, c AS (SELECT source, count(*) FILTER (toxic = 1) AS k, count(*) AS n FROM s GROUP BY source), w AS (SELECT *, k / n::DOUBLE AS p, 1.96::DOUBLE AS z FROM c)
 SELECT source, k, n, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n), 6) AS high FROM w""")
 def wilson(spark, d):
-    counts = _scored(spark, d).groupBy("source").agg(F.count_if(POS).alias("k"), F.count("*").alias("n"))
+    counts = _scored(spark, d).groupBy("source").agg(F.count_if(toxic()).alias("k"), F.count("*").alias("n"))
     low, high = X.wilson(F.col("k"), F.col("n"))
     return rounded(counts.withColumns({"low": low, "high": high}), "low", "high")
 
@@ -113,7 +117,7 @@ f AS (SELECT *, round(2.0::DOUBLE * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1
 
 
 def _sweep(spark, d):
-    return rounded(X.threshold_sweep(_scored(spark, d), "n_chars", POS, [500, 1000, 2000, 4000, 8000]), "f1")
+    return rounded(X.threshold_sweep(_scored(spark, d), "n_chars", toxic(), [500, 1000, 2000, 4000, 8000]), "f1")
 
 
 @query(f"WITH {SWEEP} SELECT * FROM f")
@@ -182,7 +186,7 @@ b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY iteration ORDER BY n_chars RO
 x AS (SELECT iteration, sum(p * (b + n / 2.0::DOUBLE)) / nullif(sum(p) * sum(n), 0)::DOUBLE AS x FROM b GROUP BY iteration)
 SELECT count(x) AS iterations, round(avg(x), 6) AS estimate, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM x""")
 def bootstrap_auc(spark, d):
-    return rounded(X.bootstrap_auc(_scored(spark, d), "source", "n_chars", POS, 200, "a"), "estimate", "low", "high")
+    return rounded(X.bootstrap_auc(_scored(spark, d), "source", "n_chars", toxic(), 200, "a"), "estimate", "low", "high")
 
 
 @query(f"""WITH {OBS}, r AS (SELECT label, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS r FROM o), s AS (SELECT label, sum(r) AS r, count(*) AS n FROM r GROUP BY label),
