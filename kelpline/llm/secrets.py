@@ -67,8 +67,18 @@ class Formats:
     PER_CHARACTER = 2.0  # nats that a credential gains on ordinary text, at least
 
     def __init__(self, examples: dict[str, list[str]], ordinary: list[str]):
-        ordinary = sorted({*ordinary, *(w.upper() for w in ordinary), *(w.lower() for w in ordinary)})  # words shout and whisper
+        """Each half of the ordinary tokens is scored by what the other half teaches; those that look like a format
+        are set aside, as unlabelled credentials, and the rest is the background."""
         self.formats = [A.Automaton(own) for own in examples.values() if own]
+        self.threshold, kept = 0.0, []
+        for own, other in ((ordinary[::2], ordinary[1::2]), (ordinary[1::2], ordinary[::2])):
+            self._learn(other or own)
+            kept += [t for t, ratio in zip(own, self.scores(own), strict=True) if ratio <= self.PER_CHARACTER * len(t)]
+        self._learn(kept or ordinary)
+        self.threshold = max(float(self.scores(kept or ordinary).max(initial=0.0)) * 1.25 + 5, 10.0)
+
+    def _learn(self, ordinary: list[str]) -> None:
+        ordinary = sorted({*ordinary, *(w.upper() for w in ordinary), *(w.lower() for w in ordinary)})  # words shout and whisper
         self.background = [A.Automaton(ordinary)]
         pairs = np.full((256, 256), 0.02)
         for w in ordinary:
@@ -80,9 +90,6 @@ class Formats:
         for chars in A.CLASSES:
             at = [ord(c.lower()) for c in chars]
             self.in_class[[ord(c) for c in chars]] = np.log(share[at].sum() / share.sum())
-        self.threshold = 0.0
-        usual = self.scores(ordinary)
-        self.threshold = max(float(usual.max(initial=0.0)) * 1.25 + 5, 10.0)
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         """Log-likelihood ratio of each token."""
