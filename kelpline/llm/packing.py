@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ class Encoder:
     That is only done for a vocabulary on which both ways agree for a probe.
     """
 
-    KEPT, LONGEST = 500_000, 48
+    KEPT, LONGEST = 900_000, 48
     PROBE = "It's A caf\u00e9, (WE'LL)  12.5 \u00c9t\u00e9!! x_y@z.org \u0152uvre 'tis ''re"
 
     def __init__(self, path: str):
@@ -75,22 +76,23 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _add(self, runs: list[str]) -> None:
-        pieces, split, tokens, ids_of = self.pieces, self.split, self.tokenizer.model.tokenize, []
+        pieces, split, tokens = self.pieces, self.split, self.tokenizer.model.tokenize
+        ids_of: list[list[int]] = []
         for run in runs:
             if self.plain or not (run.isascii() or max(run) < "\u0250" and "\u0130" not in run):
                 ids_of.append(self._whole(run).tolist())
                 continue
-            ids: list[int] = []
-            for p in split(run.lower()):
-                own = pieces.get(p)
-                if own is None:
-                    own = pieces[p] = [t.id for t in tokens(p.encode().decode("latin-1").translate(self.bytes))]
-                ids += own
-            ids_of.append(ids)
+            low, body = run.lower(), run[:-1]
+            # most runs are a word, or a word and a mark: no need for the pattern
+            parts = (low,) if run.isalpha() else (low[:-1], low[-1]) if body.isalpha() and run[-1] in ".,;:!?)|" else split(low)
+            for p in parts:
+                if p not in pieces:
+                    pieces[p] = [t.id for t in tokens(p.encode().decode("latin-1").translate(self.bytes))]
+            ids_of.append(pieces[parts[0]] if len(parts) == 1 else [i for p in parts for i in pieces[p]])
         sizes = np.fromiter(map(len, ids_of), np.int64, len(runs))
         self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.pool)])
         self.lengths = np.concatenate([self.lengths, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for ids in ids_of for i in ids), np.uint32, int(sizes.sum()))])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids_of), np.uint32, int(sizes.sum()))])
         self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
@@ -108,14 +110,29 @@ class Encoder:
             return np.concatenate([*parts, self._runs(runs[begin:])])
         return self._runs(runs)
 
-    def warm(self, texts: list[str]) -> None:
-        """Encodes the new runs of some texts together."""
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; all their runs are looked up, and new ones encoded, together."""
         if len(self.known) > self.KEPT:
             self.clear()
-        known = self.known
-        fresh = {r for t in texts for r in t.split() if r not in known and len(r) <= self.LONGEST}
-        if fresh:
-            self._add(list(fresh))
+        apart = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.specials) or any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        split = [[] if i in apart else t.split() for i, t in enumerate(texts)]
+        flat = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(new := np.flatnonzero(at < 0).tolist()):
+            if fresh := {r for i in new if len(r := flat[i]) <= self.LONGEST}:
+                self._add(list(fresh))
+            at[new] = [self.known.get(flat[i], -1) for i in new]
+            if (at < 0).any():  # runs too long to keep
+                apart |= {i: self.encode(texts[i]) for i, own in enumerate(split) if any(len(r) > self.LONGEST for r in own)}
+                at = np.maximum(at, 0)
+        if not self.known:
+            return [apart.get(i, np.empty(0, np.uint32)) for i in range(len(texts))]
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        size = self.lengths[at]
+        place = np.cumsum(size) - size
+        ids = self.pool[np.arange(int(size.sum())) + np.repeat(self.starts[at] - place, size)]
+        cuts = np.concatenate([[0], np.append(place, len(ids))[ends]])
+        return [apart[i] if i in apart else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
     def _runs(self, runs: list[str]) -> np.ndarray:
         if not runs:
@@ -191,9 +208,8 @@ def tokenised_pieces(df: DataFrame, *, id_col: str, text_col: str, capacity: int
             for lo in range(0, batch.num_rows, 512):  # rows, not bytes: a text is in memory as a whole anyway
                 rows = {k: [] for k in ("at", "piece", "start", "length", "crc", "ids", "place")}
                 some = texts.slice(lo, 512).to_pylist()
-                own_encoder.warm(some)
-                for i, text in enumerate(some, lo):
-                    ids = np.append(own_encoder.encode(text), np.uint32(end_id)).astype("<u4")
+                for i, ids in enumerate(own_encoder.encode_many(some), lo):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
                         for name, x in (("at", i), ("piece", k), ("start", start), ("length", len(own)), ("crc", zlib.crc32(own.tobytes())), ("place", seen[len(own)])):
