@@ -238,7 +238,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capac
         counts[r["length"]] = r["n"]
     rows, _ = plan(counts, capacity)
     shipped = df.sparkSession.sparkContext.broadcast(rows)
-    ranked = pieces.join(shifts.select("length", "part", "before"), ["length", "part"])
+    ranked = pieces.join(shifts.select("length", "part", "before").hint("merge"), ["length", "part"])  # grows with tasks: not to be broadcast
     keep = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     ranked = ranked.select(*keep, (F.col("before") + F.col("place")).alias("rank"))
 
