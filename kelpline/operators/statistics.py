@@ -158,3 +158,27 @@ def standardised(rows: DataFrame, fit: Column, columns: list[str], least: float
     stats = rows.where(fit).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
     out = rows.crossJoin(F.broadcast(stats))  # one row
     return out.withColumns({f"z_{c}": (F.col(c) - F.col(f"__m_{c}")) / (F.col(f"__s_{c}") + least) for c in columns}).drop(*[f"__{k}_{c}" for c in columns for k in "ms"])
+
+
+def bootstrap_auc_delta(rows: DataFrame, cluster: str, a: str, b: str, positive: Column, iterations: int, seed: str) -> DataFrame:
+    """Paired difference of two scores' AUC over the same draws of clusters, and whether its interval includes zero."""
+    from functools import reduce
+
+    drawn = multiplicities(rows.select(cluster).distinct(), cluster, iterations, seed)
+    parts = []
+    for name, score in (("a", a), ("b", b)):
+        counts = rows.groupBy(cluster, F.col(score).alias("__s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+        parts.append(counts.join(drawn, cluster).groupBy("iteration", "__s").agg(F.sum(F.col("m") * F.col("p")).alias("p"), F.sum(F.col("m") * F.col("n")).alias("n")).withColumn("score", F.lit(name)))
+    every = reduce(DataFrame.unionByName, parts)
+    before = Window.partitionBy("iteration", "score").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    below = every.withColumn("b", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    each = below.groupBy("iteration", "score").agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("x"))
+    delta = each.groupBy("iteration").agg((F.max(F.when(F.col("score") == "a", F.col("x"))) - F.max(F.when(F.col("score") == "b", F.col("x")))).alias("d")).where("d IS NOT NULL")
+    out = delta.agg(F.count("*").alias("iterations"), F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
+    return out.withColumn("includes_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
+
+
+def by_subset(rows: DataFrame, subsets: dict[str, Column], value: str) -> DataFrame:
+    """n and mean of a value by subset; a row counts in every subset it belongs to."""
+    member = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in subsets.items()]))
+    return rows.select(F.col(value), F.explode(member).alias("subset")).groupBy("subset").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))

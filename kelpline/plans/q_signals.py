@@ -186,3 +186,22 @@ def stream_tumbling(spark, d):
     from kelpline.plans.streams import finished_tumbling
 
     return finished_tumbling(spark, d)
+
+
+@query("""WITH s AS (SELECT o_orderkey % 200 AS f, o_orderkey AS k, (o_custkey % 50)::DOUBLE AS x0, (o_orderkey % 37)::DOUBLE AS y0, (o_custkey % 31)::DOUBLE AS x1, (o_orderkey % 53)::DOUBLE AS y1 FROM orders),
+p AS (SELECT a.f AS frame, a.k AS a, b.k AS b, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1 FROM s a JOIN s b ON a.f = b.f AND a.k < b.k)
+SELECT DISTINCT frame, a, b FROM p WHERE sign((ax1 - ax0) * (by0 - ay0) - (ay1 - ay0) * (bx0 - ax0)) * sign((ax1 - ax0) * (by1 - ay0) - (ay1 - ay0) * (bx1 - ax0)) < 0
+AND sign((bx1 - bx0) * (ay0 - by0) - (by1 - by0) * (ax0 - bx0)) * sign((bx1 - bx0) * (ay1 - by0) - (by1 - by0) * (ax1 - bx0)) < 0""")
+def segment_crossings(spark, d):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    num = lambda c, m: (c % m).cast("double")
+    rows = table(spark, d, "orders").select((key % 200).alias("frame"), key.alias("k"), num(cust, 50).alias("x0"), num(key, 37).alias("y0"), num(cust, 31).alias("x1"), num(key, 53).alias("y1"))
+    return T.crossings(rows, "frame", "k", 16.0)
+
+
+@query(f"""WITH {OBS}, n AS (SELECT clip, seq, CASE WHEN k % 3 = 0 THEN value END AS v, k FROM o), s AS (SELECT clip, arg_min(seq, (-k, seq)) AS seed FROM n GROUP BY clip),
+f AS (SELECT n.*, seed, last_value(v IGNORE NULLS) OVER (PARTITION BY clip ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, first_value(v IGNORE NULLS) OVER (PARTITION BY clip ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM n JOIN s USING (clip))
+SELECT clip, seq, coalesce(v, CASE WHEN seq >= seed THEN b ELSE a END) AS filled FROM f""")
+def propagated_values(spark, d):
+    rows = _signal(spark, d).select("clip", "seq", F.when(F.col("k") % 3 == 0, F.col("value")).alias("v"), "k")
+    return T.propagate(rows, "clip", "seq", "v", "k")
