@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="kelpline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or _fallback()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _fallback() -> str:
+    return tempfile.mkdtemp(prefix="kelpline-")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
