@@ -6,11 +6,11 @@
    relative to the corpus, is the same at every size.
 2. Improved consistent weighted sampling draws ``bands * rows`` samples from
    each text's weighted shingles; ``rows`` samples make a band.
-3. Texts that share a band meet at one hub of that band (never all pairs),
+3. Texts that share a band meet at one hub of that band,
    the one that shares most bands with others; each pair is verified by the
-   exact weighted Jaccard similarity. Bands whose members still lie in several
-   classes meet again: members outside the class of one drawn at random meet
-   three members of that class a round, until a round links nothing new.
+   exact weighted Jaccard similarity. In bands whose members still lie in
+   several classes every pair of nodes of different classes is compared, in
+   blocks of members; what is in one class is done.
 4. Classes are the connected components of verified links. Exact copies share
    a class by their digest and take part once.
 
@@ -21,6 +21,7 @@ row each.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,7 @@ from kelpline.llm.store import materialise, table
 WIDTH, DEPTH = 1 << 17, 2
 TABLE_ROWS = 1 << 15
 _LIMIT = 256 << 10
+_FEATURES = 2048
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,6 +218,106 @@ def verified(pairs: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshol
     return full.mapInArrow(run, "u long, v long, similarity double")
 
 
+def block_links(texts: list[str], comp: np.ndarray, left: np.ndarray, right: np.ndarray, sk: Sketch, size: int, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of all pairs (``left`` x ``right``, of different ``comp``) whose weighted Jaccard
+    similarity reaches ``threshold``: every pair is compared, links within a class that others make are left out.
+
+    The sum of lesser weights is a product of matrices over (shingle, k-th time in the text).
+    """
+    flat = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in flat])]).astype(np.int64)
+    row, value, count = weighted_shingles(np.frombuffer(b"".join(flat), np.uint8), offsets, size)
+    weight = sk.idf(value)
+    total = np.bincount(row, count * weight, len(texts))
+    time = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    row, value, weight = (np.repeat(x, count) for x in (row, value, weight))
+    value = W.mix(value + time.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, which, n = np.unique(value, return_inverse=True, return_counts=True)
+    met = np.flatnonzero(n[which] > 1)
+    number = np.cumsum(n > 1) - 1
+    row, which, weight = row[met], number[which[met]], weight[met]
+    order = np.argsort(which, kind="stable")
+    row, which, weight = row[order], which[order], weight[order]
+    both = np.zeros((len(left), len(right)))
+    cuts = np.searchsorted(which, np.arange(0, which[-1] + 1 + _FEATURES, _FEATURES)) if len(which) else []
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        have = np.zeros((len(texts), _FEATURES))
+        have[row[i:j], which[i:j] - k * _FEATURES] = 1.0
+        each = np.zeros(_FEATURES)
+        each[which[i:j] - k * _FEATURES] = weight[i:j]
+        both += (have[left] * each) @ have[right].T
+    union = total[left][:, None] + total[right][None, :] - both
+    near = (both >= (threshold - 1e-9) * union) & (union > 0) & (comp[left][:, None] != comp[right][None, :])
+    head = {c: c for c in comp.tolist()}
+    out = []
+    for u, v in np.argwhere(near).tolist():
+        a, b = int(left[u]), int(right[v])
+        ends = []
+        for c in (comp[a], comp[b]):
+            c = int(c)
+            while head[c] != c:
+                head[c] = c = head[head[c]]
+            ends.append(c)
+        if ends[0] != ends[1]:
+            head[ends[0]] = ends[1]
+            out.append((a, b))
+    return out
+
+
+def cross_class_links(placed: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshold: float, block: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+    """(u, v) of links that join all classes with a similar pair in a band: each pair of a band's nodes that lie in
+    different classes is compared.
+
+    A band's largest class and its other nodes are dealt into blocks of about ``block`` nodes or ``block_bytes`` of text;
+    others meet all blocks, the largest class doesn't meet itself. Bands of the same nodes are taken once.
+    """
+    shipped = placed.sparkSession.sparkContext.broadcast(sk)
+    sized = placed.join(texts.select("node", "length"), "node")
+    by_class = sized.groupBy("band", "comp").agg(
+        F.count("*").alias("n"), F.sum("length").alias("bytes"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor")
+    )
+    wide = by_class.groupBy("band").agg(
+        F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by(F.struct("comp", "n", "bytes"), F.struct("n", "comp")).alias("lead"), F.sum("sum").alias("sum"), F.bit_xor("xor").alias("xor")
+    )
+    wide = wide.where("classes > 1").groupBy("n", "sum", "xor").agg(F.min_by(F.struct("band", "bytes", "lead"), "band").alias("x")).select("n", "x.*")
+    blocks = lambda n, size: F.ceil(F.greatest(n / float(block), size / float(block_bytes), F.lit(1.0))).cast("int")
+    one = (F.col("n") <= block) & (F.col("bytes") <= block_bytes)
+    plan = wide.select(
+        "band", F.when(~one, F.col("lead.comp")).alias("lead"), F.when(one, 1).otherwise(blocks(F.col("n") - F.col("lead.n"), F.col("bytes") - F.col("lead.bytes"))).alias("others"),
+        F.when(one, 0).otherwise(blocks(F.col("lead.n"), F.col("lead.bytes"))).alias("leads"),
+    )
+    dealt = placed.join(plan, "band")
+    own = F.when(F.coalesce(F.col("comp") == F.col("lead"), F.lit(False)), F.col("others") + F.pmod(F.xxhash64("node"), F.col("leads"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    dealt = dealt.select("band", "node", "comp", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.when(F.coalesce(F.col("comp") == F.col("lead"), F.lit(False)), F.col("others")).otherwise(F.col("others") + F.col("leads")) - 1)).alias("other"))
+    cells = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+    # what holds one class only needs no texts
+    mixed = cells.groupBy("band", "i", "j").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "i", "j")
+    full = materialise(cells.join(mixed, ["band", "i", "j"]), "cells").join(texts.select("node", "text"), "node")
+
+    def compare(rows: list[dict]) -> list[tuple[int, int]]:
+        own, comp = (np.array([r[x] for r in rows]) for x in ("own", "comp"))
+        left, right = np.flatnonzero(own == rows[0]["i"]), np.flatnonzero(own == rows[0]["j"])
+        if not len(left) or not len(right):
+            return []
+        return [(rows[u]["node"], rows[v]["node"]) for u, v in block_links([r["text"] or "" for r in rows], comp, left, right, shipped.value, size, threshold)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for rows in itertools.chain((b.to_pylist() for b in batches), [[None]]):
+            found = []
+            for r in rows:
+                if held and (r is None or any(r[x] != held[0][x] for x in ("band", "i", "j"))):
+                    found += compare(held)
+                    held = []
+                if r is not None:
+                    held.append(r)
+            u, v = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    order = full.select("band", "i", "j", "own", "node", "comp", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return order.mapInArrow(run, "u long, v long")
+
+
 def _classes(df: DataFrame, *, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int, floor: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(id and key of each row; by key: comp, its least id, copies)."""
     sk = sketch(df, text_col, size, floor)
@@ -234,45 +336,17 @@ def _classes(df: DataFrame, *, id_col: str, text_col: str, size: int, threshold:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = df.select(F.col(id_col).alias("wanted"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
     spread = [own["wanted"].eqNullSafe(ids["wanted"]), own["key"] == ids["key"]]
-    texts = own.join(ids, spread).select("node", "text").dropDuplicates(["node"])
+    texts = own.join(ids, spread).select("node", "text", F.octet_length("text").alias("length")).dropDuplicates(["node"])
     texts = materialise(texts, "candidates")
 
     met = members.join(hubs, "band").where("node <> hub")
-    pairs = materialise(met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct(), "pairs")
-    members = members.select("band", "node")
-    classes, tested, step = None, None, 0  # classes: node, comp of the linked nodes
-    while True:
-        links = materialise(verified(pairs, texts, sk, size, threshold), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        none = links.isEmpty()
-        if none and step:
-            break
-        if classes is None:
-            classes = None if none else components(links)
-        else:  # links between classes
-            u, v = (classes.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "uv")
-            joined = links.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-            merged = components(joined)
-            moved = classes.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-            fresh = merged.join(moved.select("node"), "node", "left_anti")
-            classes = materialise(moved.union(fresh.select("node", "comp")), "classes")
-        step += 1
-        salts = [F.lit(int(x)) for x in np.random.default_rng(seed + step).integers(1, 2**62, 12)]
-        placed = members.withColumn("comp", F.col("node")) if classes is None else members.join(classes, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-        drawn = [F.min(F.col("node").bitwiseXOR(x)).bitwiseXOR(x) for x in salts]  # some member each
-        lead = F.min_by("comp", F.col("node").bitwiseXOR(salts[0])).alias("lead")  # the first drawn member's class
-        split = placed.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.array_distinct(F.array(*drawn)).alias("hubs"), lead).where("a <> b").select("band", "hubs", "lead")
-        members = materialise(placed.join(split, "band"), "members")  # what is in one class is done
-        heads = members.where(F.array_contains("hubs", F.col("node")) & (F.col("comp") == F.col("lead"))).select("band", F.col("node").alias("hub"))
-        met = members.where("comp <> lead").join(heads, "band")
-        # of all a node meets in a class, over its bands, three are enough for one round
-        three = [F.min(F.col("hub").bitwiseXOR(x)).bitwiseXOR(x) for x in salts[:3]]
-        few = met.groupBy("node", "lead").agg(F.array_distinct(F.array(*three)).alias("hubs")).select("node", F.explode("hubs").alias("hub"))
-        pairs = few.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-        pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        members = members.select("band", "node")
-        if pairs.isEmpty():
-            break
+    pairs = met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    links = materialise(verified(pairs, texts, sk, size, threshold).select("u", "v"), "links")
+    classes = components(links)  # node, comp of the linked nodes
+    placed = materialise(members.where("n > 2").join(classes, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")), "members")  # two have met
+    rest = cross_class_links(placed, texts, sk, size, threshold)
+    links = materialise(links.union(rest), "links")
+    classes = None if links.isEmpty() else components(links)
     if classes is None:
         placed = distinct.select("key", F.col("node").alias("comp"), "least", "copies")
     else:

@@ -117,6 +117,41 @@ def test_near_duplicates_equal_brute_force(spark):
     assert same_partition(got, brute_classes(texts))
 
 
+def test_near_duplicates_of_an_absent_original(spark):
+    rng = np.random.default_rng(22)
+    texts = [prose(rng, 200) for _ in range(310)]
+    first = prose(rng, 200).split()
+    for i in range(300):  # a text is similar to the few that share two of its three places, and all hold together
+        w = list(first)
+        for k in rng.choice(40, 3, replace=False):
+            w[k * 5] = f"new{i}_{k}"
+        texts.append(" ".join(w))
+    out = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), floor=0.5)  # equal weights
+    got = [r["class_id"] for r in out.orderBy("doc_id").collect()]
+    want = brute_classes(texts)
+    assert len(set(want)) < 340
+    assert same_partition(got, want)
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_every_pair_of_different_classes_is_compared(spark, block):
+    rng = np.random.default_rng(23)
+    base = prose(rng, 60).split()
+    texts = []
+    for i in range(24):  # text i and i + 1 are similar
+        base = base[:-3] + [f"n{i}a", f"n{i}b", f"n{i}c"] if i % 2 else [f"m{i}"] + base[1:]
+        texts.append(" ".join(base) if i < 20 else prose(rng, 60))
+    sk = neardup.Sketch(np.zeros(neardup.DEPTH * neardup.WIDTH, np.int64), 100, 0.01)
+    have = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "node long, text string, length int")
+    placed = spark.createDataFrame([(7, i, 0 if i % 3 == 0 else i) for i in range(24)], "band long, node long, comp long")
+    links = [(r.u, r.v) for r in neardup.cross_class_links(placed, have, sk, 5, 0.8, block=block).collect()]
+    classes = {r.node: r.comp for r in components.components(spark.createDataFrame(links + [(0, i) for i in range(3, 24, 3)], "u long, v long")).collect()}
+    want = brute_classes(texts)
+    for i in range(0, 24, 3):  # of one class from the start
+        want = [want[0] if w == want[i] else w for w in want]
+    assert same_partition([classes.get(i, i) for i in range(24)], want)
+
+
 def test_near_duplicates_at_edges(spark, edge, empty):
     out = neardup.near_duplicates(edge)
     assert out.count() == edge.count()
