@@ -5,10 +5,12 @@
    at a documented floor (``floor`` of all documents), so the sketch's error,
    relative to the corpus, is the same at every size.
 2. Improved consistent weighted sampling draws ``bands * rows`` samples from
-   each text's weighted shingles; ``rows`` samples make a band.
+   each text's weighted shingles; ``rows`` samples make a band. As many bands
+   of plain minima find pairs whose shingles weigh little because their own
+   group holds many of the documents.
 3. Texts that share a band meet at one hub of that band,
    the one that shares most bands with others; each pair is verified by the
-   exact weighted Jaccard similarity. In bands whose members still lie in
+   exact weighted or plain Jaccard similarity (either is enough). In bands whose members still lie in
    several classes every pair of nodes of different classes is compared, in
    blocks of members; what is in one class is done.
 4. Classes are the connected components of verified links. Exact copies share
@@ -144,6 +146,23 @@ class Sampler:
         return row[at], (best & np.uint64(0xFFFFFFFF)).astype(np.uint64)
 
 
+def plain_samples(row: np.ndarray, value: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Minima of ``samples`` random permutations over each text's shingles, whatever their weights; ``row`` is sorted."""
+    rng = np.random.default_rng(seed)
+    factor, shift = (rng.integers(0, 1 << 64, samples, np.uint64, endpoint=False) for _ in range(2))
+    factor |= np.uint64(1)
+    at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+    best = np.full((len(at), samples), np.uint64(0xFFFFFFFFFFFFFFFF))
+    which = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(row))))
+    for i in range(0, len(row), 4096):
+        j = min(i + 4096, len(row))
+        cuts = np.flatnonzero(np.concatenate([[True], which[i + 1 : j] != which[i : j - 1]]))
+        least = np.minimum.reduceat(value[i:j, None] * factor + shift, cuts, axis=0)
+        own = which[i + cuts]
+        best[own] = np.minimum(best[own], least)
+    return best
+
+
 @lru_cache(maxsize=1)
 def sampler(samples: int, seed: int) -> Sampler:
     """This process's tables."""
@@ -161,7 +180,7 @@ def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, sk: Sketch, *, id_col: str, text_col: str, size: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(rid, id, key, bands): a row number, the text's MD5 digest, and its band keys (none without words)."""
+    """(rid, id, key, bands): a row number, the text's MD5 digest, and its band keys, weighted and plain (none without words)."""
     shipped = df.sparkSession.sparkContext.broadcast(sk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +189,12 @@ def signatures(df: DataFrame, sk: Sketch, *, id_col: str, text_col: str, size: i
             for a, b, data, offsets in W.text_slices(batch.column(2), _LIMIT):
                 row, value, count = weighted_shingles(data, offsets, size)
                 which, samples = draw(row, value, count * shipped.value.idf(value))
-                keys = np.zeros((len(which), bands), np.int64) if not len(which) else band_keys(samples, rows)
+                keys = np.zeros((0, 2 * bands), np.int64)
+                if len(which):
+                    plain = band_keys(plain_samples(row, value, bands * rows, seed), rows)
+                    keys = np.concatenate([band_keys(samples, rows), ~plain], axis=1)
                 has = np.zeros(b - a, np.int64)
-                has[which] = bands
+                has[which] = 2 * bands
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has)]), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["id", "key", "bands"])
 
@@ -193,7 +215,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshold: float) -> DataFrame:
-    """Of ``pairs`` (u, v) those whose texts' weighted Jaccard similarity reaches ``threshold``, with it."""
+    """Of ``pairs`` (u, v) those whose texts' weighted or plain Jaccard similarity reaches ``threshold``, with the greater."""
     shipped = pairs.sparkSession.sparkContext.broadcast(sk)
     left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     full = left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
@@ -208,7 +230,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshol
                     text = pc.fill_null(batch.column(c).slice(i, 1), "")[0].as_py().encode()
                     _, value, count = weighted_shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64), size)
                     sides.append((value, count * shipped.value.idf(value)))
-                s = similarity(*sides)
+                s = max(similarity(*sides), similarity(*((value, np.ones(len(value))) for value, _ in sides)))
                 if s >= threshold:
                     keep.append(i)
                     sims.append(s)
@@ -219,35 +241,42 @@ def verified(pairs: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshol
 
 
 def block_links(texts: list[str], comp: np.ndarray, left: np.ndarray, right: np.ndarray, sk: Sketch, size: int, threshold: float) -> list[tuple[int, int]]:
-    """Links that join the classes of all pairs (``left`` x ``right``, of different ``comp``) whose weighted Jaccard
+    """Links that join the classes of all pairs (``left`` x ``right``, of different ``comp``) whose weighted or plain Jaccard
     similarity reaches ``threshold``: every pair is compared, links within a class that others make are left out.
 
-    The sum of lesser weights is a product of matrices over (shingle, k-th time in the text).
+    The sum of lesser weights is a product of matrices over (shingle, k-th time in the text); first times alone make
+    the plain intersection.
     """
     flat = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in flat])]).astype(np.int64)
     row, value, count = weighted_shingles(np.frombuffer(b"".join(flat), np.uint8), offsets, size)
     weight = sk.idf(value)
-    total = np.bincount(row, count * weight, len(texts))
+    total, distinct = np.bincount(row, count * weight, len(texts)), np.bincount(row, minlength=len(texts))
     time = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     row, value, weight = (np.repeat(x, count) for x in (row, value, weight))
     value = W.mix(value + time.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, which, n = np.unique(value, return_inverse=True, return_counts=True)
     met = np.flatnonzero(n[which] > 1)
     number = np.cumsum(n > 1) - 1
-    row, which, weight = row[met], number[which[met]], weight[met]
+    row, which, weight, first = row[met], number[which[met]], weight[met], time[met] == 0
     order = np.argsort(which, kind="stable")
-    row, which, weight = row[order], which[order], weight[order]
-    both = np.zeros((len(left), len(right)))
+    row, which, weight, first = row[order], which[order], weight[order], first[order]
+    both, shared = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
     cuts = np.searchsorted(which, np.arange(0, which[-1] + 1 + _FEATURES, _FEATURES)) if len(which) else []
     for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         have = np.zeros((len(texts), _FEATURES))
         have[row[i:j], which[i:j] - k * _FEATURES] = 1.0
-        each = np.zeros(_FEATURES)
+        each, one = np.zeros(_FEATURES), np.zeros(_FEATURES)
         each[which[i:j] - k * _FEATURES] = weight[i:j]
-        both += (have[left] * each) @ have[right].T
-    union = total[left][:, None] + total[right][None, :] - both
-    near = (both >= (threshold - 1e-9) * union) & (union > 0) & (comp[left][:, None] != comp[right][None, :])
+        one[which[i:j] - k * _FEATURES] = first[i:j]
+        a, b = have[left], have[right].T
+        both += (a * each) @ b
+        shared += (a * one) @ b
+    near = np.zeros(both.shape, bool)
+    for common, of in ((both, total), (shared, distinct)):
+        union = of[left][:, None] + of[right][None, :] - common
+        near |= (common >= (threshold - 1e-9) * union) & (union > 0)
+    near &= comp[left][:, None] != comp[right][None, :]
     head = {c: c for c in comp.tolist()}
     out = []
     for u, v in np.argwhere(near).tolist():

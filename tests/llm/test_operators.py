@@ -133,6 +133,19 @@ def test_near_duplicates_of_an_absent_original(spark):
     assert same_partition(got, want)
 
 
+def test_a_group_of_a_third_of_the_rows_keeps_its_links(spark):
+    rng = np.random.default_rng(24)
+    texts = [prose(rng, 200) for _ in range(201)]
+    for i in range(100):
+        w = texts[0].split()
+        for k in (3 + i % 90, 100 + (i * 7) % 90):
+            w[k] = f"new{i}_{k}"
+        texts.append(" ".join(w))
+    out = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r["class_id"] for r in out.orderBy("doc_id").collect()]
+    assert same_partition(got, brute_classes(texts))
+
+
 @pytest.mark.parametrize("block", [1, 3, 256])
 def test_every_pair_of_different_classes_is_compared(spark, block):
     rng = np.random.default_rng(23)
