@@ -5,10 +5,12 @@ numbers.  Each distinct value is a protected entity.  A term within ``window``
 words of an entity discloses it as far as knowing the term makes the entity
 expected: PMI(term; entity) = log(N co / (df_term df_entity)), relative to the
 entity's whole information -log(df_entity / N), with document frequencies
-counted over all documents.  Terms seen beside an entity in ``support`` or
-more documents with a ratio of ``theta`` or more are spans of kind ``term``
-wherever they stand beside it; :func:`sanitised` generalises them to ``[TERM]``
-and removes the entities.
+counted over all documents.  Seen beside an entity in fewer than ``support``
+documents, which say little of how often they meet, a term discloses by its
+own information: -log(df_term / N) relative to log N, that of a single
+document.  Terms with a ratio of ``theta`` or more are spans of kind ``term``
+wherever they stand, in documents without the entity too; :func:`sanitised`
+generalises them to ``[TERM]`` and removes the entities.
 
 Null text counts as empty. Repeated rows count as documents of their own.
 """
@@ -16,6 +18,7 @@ Null text counts as empty. Repeated rows count as documents of their own.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,22 +101,22 @@ def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> lis
             if len(right) == window:
                 break
         for i, j in left[-window:] + right:
-            if j - i >= 3 and not any(x < j and i < y for _, x, y in spans):
+            if not any(x < j and i < y for _, x, y in spans):
                 out.append((entity, text[i:j].translate(_LOWER), i, j))
     return out
 
 
 def scan(df: DataFrame, *, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(rid, id, base, near): near holds entity and term hashes, places, and whether the pair is the text's first."""
+    """(rid, id, key, base, near): key is the text's MD5 digest; near holds entity and term hashes, and whether the pair is the text's first."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    near_ = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.int32()), ("head", pa.int32())]))
+    near_ = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("first", pa.int32()), ("head", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 some = batch.slice(lo, 512)
                 base, near = [], []
-                for text in pc.fill_null(some.column(1), "").to_pylist():
+                for text in pc.fill_null(some.column(2), "").to_pylist():
                     spans = base_spans(text)
                     base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                     rows = []
@@ -121,17 +124,18 @@ def scan(df: DataFrame, *, id_col: str, text_col: str, window: int) -> DataFrame
                         around = neighbours(text, spans, window)
                         heads = sorted({_entity(k, text[a:b]) for k, a, b in spans})
                         # one row without a term for each entity counts its documents
-                        rows = [{"entity": e, "term": 0, "start": 0, "end": 0, "first": 0, "head": 1} for e in _hashes(heads)]
+                        rows = [{"entity": e, "term": 0, "first": 0, "head": 1} for e in _hashes(heads)]
                         seen = set()
-                        for e, t, (i, j) in zip(_hashes([x[0] for x in around]), W.hash_words([x[1].encode() for x in around]).view(np.int64).tolist() if around else [], [x[2:] for x in around], strict=True):
-                            rows.append({"entity": e, "term": t, "start": i, "end": j, "first": int((e, t) not in seen), "head": 0})
+                        for e, t in zip(_hashes([x[0] for x in around]), W.hash_words([x[1].encode() for x in around]).view(np.int64).tolist() if around else [], strict=True):
+                            rows.append({"entity": e, "term": t, "first": int((e, t) not in seen), "head": 0})
                             seen.add((e, t))
                     near.append(rows)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(base, span), pa.array(near, near_)], names=["id", "base", "near"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(base, span), pa.array(near, near_)], names=["id", "key", "base", "near"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, base {S.TYPE}, near array<struct<entity: long, term: long, start: int, end: int, first: int, head: int>>"
-    found = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = f"id {kind}, key binary, base {S.TYPE}, near array<struct<entity: long, term: long, first: int, head: int>>"
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(run, schema)
     return materialise(found.select(F.monotonically_increasing_id().alias("rid"), "*"), "personal")
 
 
@@ -178,6 +182,48 @@ def term_frequencies(df: DataFrame, text_col: str) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def _slots(term: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each term (int64 hashes) in a filter of 2 ** ``bits`` bits."""
+    return [(W.mix(term.view(np.uint64) + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(3)]
+
+
+def term_places(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """(key, start, end) of every place of ``terms`` (distinct) in the texts, by their digests.
+
+    A Bloom filter of the terms, of about sixteen bits each and 8 MB at most, spares other words the join.
+    """
+    bits = int(np.clip(np.ceil(np.log2(16 * terms.count() + 1)), 16, 26))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for slot in _slots(batch.column(0).to_numpy(), bits):
+                have[slot] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(have).tobytes(), 1)], pa.binary())], names=["have"])
+
+    have = np.zeros(1 << (bits - 3), np.uint8)
+    for r in terms.select("term").coalesce(4).mapInArrow(fill, "have binary").toLocalIterator():  # filters of fixed size
+        have |= np.frombuffer(zlib.decompress(r.have), np.uint8)
+    shipped = df.sparkSession.sparkContext.broadcast(have)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shipped.value
+        for batch in batches:
+            for a, b, data, offsets in W.text_slices(batch.column(1)):
+                words = W.split_words(data, offsets)
+                term = words.hash.view(np.int64)
+                at = np.arange(len(term))
+                for slot in _slots(term, bits):
+                    at = at[(known[slot[at] >> 3] >> (7 - (slot[at] & 7)).astype(np.uint8)) & 1 > 0]
+                row, chars = W.row_of(words.first)[at], W.char_starts(data)
+                ends = [pa.array((chars[x[at]] - chars[offsets[row]]).astype(np.int32)) for x in (words.start, words.end)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(term[at]), *ends], names=["key", "term", "start", "end"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hits = df.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(run, "key binary, term long, start int, end int")
+    return hits.join(terms, "term").select("key", "start", "end")
+
+
 def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 8, theta: float = 0.9, support: int = 3) -> DataFrame:
     """Per row: id, ``base`` spans and all ``spans``, by kind as listed, then start."""
     found = scan(df, id_col=id_col, text_col=text_col, window=window)
@@ -186,14 +232,19 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windo
     pairs = near.groupBy("entity", "term").agg(F.sum("first").alias("co"), F.sum("head").alias("heads"))
     pairs = materialise(pairs, "pairs")
     entities = pairs.where("heads > 0").select("entity", F.col("heads").alias("df_entity"))
-    likely = pairs.where((F.col("co") >= support) & (F.col("heads") == 0)).select("entity", "term", "co")
+    likely = pairs.where((F.col("co") > 0) & (F.col("heads") == 0)).select("entity", "term", "co")
     terms = likely.select("term").distinct().join(term_frequencies(df, text_col), "term")
     known = likely.join(entities, "entity").join(terms, "term")
-    whole = -F.log(F.col("df_entity") / F.lit(float(max(total, 1))))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("co") / (F.col("df_entity").cast("double") * F.col("df")))
-    telling = materialise(known.where((whole > 0) & (pmi / whole >= theta)).select("entity", "term"), "telling")
-    places = near.where("head = 0").join(telling, ["entity", "term"]).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("places"))
-    both = found.select("rid", "id", "base").join(places, "rid", "left")
+    n = F.lit(float(max(total, 2)))
+    whole = F.when(F.col("co") >= support, -F.log(F.col("df_entity") / n)).otherwise(F.log(n))
+    pmi = F.when(F.col("co") >= support, F.log(n * F.col("co") / (F.col("df_entity").cast("double") * F.col("df")))).otherwise(F.log(n / F.col("df")))
+    telling = materialise(known.where((whole > 0) & (pmi / whole >= theta)).select("term").distinct(), "telling")
+    places = term_places(df, text_col, telling).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("places"))
+    # a text of many exact copies is dealt over sixteen keys
+    places = places.select("key", "places", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    both = found.select("id", "key", F.pmod("rid", F.lit(16)).cast("int").alias("salt"), "base").join(places, ["key", "salt"], "left")
+    free = F.filter("places", lambda p: ~F.exists("base", lambda x: (x["start"] < p["end"]) & (p["start"] < x["end"])))
+    both = both.withColumn("places", free)
     added = F.transform(F.coalesce("places", F.array().cast("array<struct<start: int, end: int>>")), lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return both.select(F.col("id").alias(id_col), "base", F.concat("base", added).cast(S.TYPE).alias("spans"))
 

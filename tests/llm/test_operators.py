@@ -284,6 +284,20 @@ def test_personal_data_and_telling_terms(spark, tmp_path, edge):
     assert "jo@ex.org" not in clean and "zorblax" not in clean and "[PRIVATE]" in clean
 
 
+def test_terms_of_an_entity_of_one_document(spark):
+    rng = np.random.default_rng(55)
+    texts = [prose(rng, 60) for _ in range(60)]
+    texts += [f"\U0001f600 é {prose(rng, 20)} qz owns jo@ex.org with zorblax {prose(rng, 20)}", "owns with " + prose(rng, 20)] + [f"owns with {prose(rng, 9)}"] * 3
+    # a co-occurrence in four documents, and the term once more where the entity isn't
+    texts += [f"{prose(rng, 20)} grumbik al@ex.org {prose(rng, 20)}" for _ in range(4)] + [f"é {prose(rng, 20)} grumbik"]
+    texts += texts[:60] * 20  # common words are common
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    terms = {r["doc_id"]: {texts[r["doc_id"]][x["start"] : x["end"]] for x in r["spans"] if x["kind"] == "term"} for r in out.collect()}
+    assert {"qz", "zorblax"} <= terms[60] and not {"owns", "with", "jo", "ex", "org"} & terms[60]
+    assert "grumbik" in terms[65] and terms[69] == {"grumbik"}
+    assert not any(terms[i] for i in range(60))
+
+
 def test_personal_data_of_nothing(spark, empty):
     assert pii.find(empty).count() == 0
 
