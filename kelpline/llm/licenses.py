@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,9 +76,17 @@ def canonical_text(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", text).strip()
 
 
+def full_texts() -> list[tuple[str, int, str]]:
+    """(licence id, length, digest) of canonical full texts that are too long to stand here: whole, without what follows
+    their terms, and with either spelling of their addresses."""
+    rows = (line.split("\t") for line in Path(__file__).with_name("license_digests.tsv").read_text().splitlines())
+    return [(i, int(n), d) for i, n, d in rows]
+
+
 def known_digests() -> list[tuple[str, str]]:
-    """(licence id, digest), each digest once."""
-    return sorted({hashlib.sha256(canonical_text(t).encode()).hexdigest(): i for i, t in KNOWN}.items(), key=lambda x: (x[1], x[0]))
+    """(digest, licence id), each digest once."""
+    short = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): i for i, t in KNOWN}
+    return sorted(({d: i for i, _, d in full_texts()} | short).items(), key=lambda x: (x[1], x[0]))
 
 
 def canonical_lines(text: Column) -> Column:
@@ -98,7 +107,7 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     that are known notices and their licences, comma-joined."""
     known = F.broadcast(df.sparkSession.createDataFrame(known_digests(), "digest string, license string"))  # a fixed table
     pairs = [F.lit(x) for row in known_digests() for x in row]
-    lengths = F.lit(sorted({len(canonical_text(t)) for _, t in KNOWN}))
+    lengths = F.lit(sorted({len(canonical_text(t)) for _, t in KNOWN} | {n for _, n, _ in full_texts()}))
     rows = df.select(F.col(id_col), canonical_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("form"))
     lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: F.array_contains(lengths, F.length(x)))  # others can't match
     rows = rows.select(id_col, F.sha2(unbroken(F.col("form")), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("lines"))

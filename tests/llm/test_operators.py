@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -361,6 +362,18 @@ def test_licenses_equal_sql(spark, sf_dir):
     oracle.check(spark, oracle.connect(sf_dir), sf_dir, licenses.op9_licenses, licenses.oracle())
 
 
+@pytest.mark.parametrize("name,file", [("Apache-2.0", "Apache-2.0"), ("GPL-1.0", "GPL-1"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.0", "LGPL-2"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("Artistic-1.0-Perl", "Artistic"), ("GFDL-1.2", "GFDL-1.2"), ("GFDL-1.3", "GFDL-1.3"), ("BSD-3-Clause", "BSD")])
+def test_full_licenses(spark, name, file):
+    at = Path("/usr/share/common-licenses", file)
+    if not at.exists():
+        pytest.skip(f"no {at}")
+    text = at.read_text()
+    texts = [text, text.upper(), text.replace("\n", "\n\n  "), text.split("END OF TERMS AND CONDITIONS")[0], text + "\nand more"]
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = [name] * 4 + [None]
+    assert [r["license_id"] for r in out] == want
+
+
 def test_license_variants(spark, edge):
     mit = "MIT LICENSE\n\nCopyright (c) 2020 A. Person\n\n" + licenses._MIT.replace("sublicense", "sub-license").replace(" ", "  ")
     docs = spark.createDataFrame([(1, mit), (2, "text\n  released under the mit licence!\nmore"), (3, None), (4, "")], "doc_id long, text string")
