@@ -31,7 +31,7 @@ from kelpline.llm.fm_index import FMIndex
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(0x41, 0x5B)})
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class Phrases:
@@ -142,7 +142,7 @@ def scan(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window:
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *new], names=[*batch.schema.names, *NAMES])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, {SCHEMA}")
+    return df.mapInArrow(W.tidied(run), f"{schema}, {SCHEMA}")
 
 
 def _spans(words: W.Words, hit: np.ndarray, row: np.ndarray) -> dict[int, list[dict]]:

@@ -264,7 +264,7 @@ def identify(df: DataFrame, models: Models | None, *, text_col: str = "text") ->
                 new = [pa.array(lang), pa.array(score), pa.array(ce, from_pandas=True), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays([*own.columns, *new], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(run, f"{_ddl(df)}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return df.mapInArrow(W.tidied(run), f"{_ddl(df)}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def _ddl(df: DataFrame) -> str:

@@ -103,8 +103,8 @@ def sketch(df: DataFrame, text_col: str, size: int, floor: float) -> Sketch:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([documents], pa.int64())], names=["block", "counts", "documents"])
 
     schema = "block int, counts binary, documents long"
-    parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema)
-    rows = parts.repartition(blocks, "block").mapInArrow(add, schema).collect()  # blocks rows, of fixed size
+    parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(W.tidied(count), schema)
+    rows = parts.repartition(blocks, "block").mapInArrow(W.tidied(add), schema).collect()  # blocks rows, of fixed size
     counters = np.zeros((blocks, each), np.int64)
     for r in rows:
         counters[r.block] = np.frombuffer(zlib.decompress(r.counts), np.int64)
@@ -200,7 +200,7 @@ def signatures(df: DataFrame, sk: Sketch, *, id_col: str, text_col: str, size: i
 
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(run, f"id {kind}, key binary, bands array<long>")
+    found = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(W.tidied(run), f"id {kind}, key binary, bands array<long>")
     return materialise(found.select(F.monotonically_increasing_id().alias("rid"), "id", "key", "bands"), "signatures")
 
 
@@ -237,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshol
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sims, pa.float64())], names=["u", "v", "similarity"])
 
-    return full.mapInArrow(run, "u long, v long, similarity double")
+    return full.mapInArrow(W.tidied(run), "u long, v long, similarity double")
 
 
 def block_links(texts: list[str], comp: np.ndarray, left: np.ndarray, right: np.ndarray, sk: Sketch, size: int, threshold: float) -> list[tuple[int, int]]:
@@ -344,7 +344,7 @@ def cross_class_links(placed: DataFrame, texts: DataFrame, sk: Sketch, size: int
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     order = full.select("band", "i", "j", "own", "node", "comp", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return order.mapInArrow(run, "u long, v long")
+    return order.mapInArrow(W.tidied(run), "u long, v long")
 
 
 def _classes(df: DataFrame, *, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int, floor: float, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kelpline.llm import words as W
 from kelpline.llm.store import materialise, table
 
 
@@ -49,7 +50,7 @@ class Encoder:
     That is only done for a vocabulary on which both ways agree for a probe.
     """
 
-    KEPT, LONGEST = 900_000, 48
+    KEPT, LONGEST = 250_000, 48
     PROBE = "It's A caf\u00e9, (WE'LL)  12.5 \u00c9t\u00e9!! x_y@z.org \u0152uvre 'tis ''re"
 
     def __init__(self, path: str):
@@ -223,7 +224,7 @@ def tokenised_pieces(df: DataFrame, *, id_col: str, text_col: str, capacity: int
 
     kind = df.schema[id_col].dataType.simpleString()
     ids = "ids array<int>, " if keep_ids else ""
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, {ids}part int, place long")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(W.tidied(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, {ids}part int, place long")
 
 
 def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -251,7 +252,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capac
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(table_[at, 2] + rank - table_[at, 1]), pa.array(table_[at, 3])], names=[*keep, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(W.tidied(run), f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def scan(df: DataFrame, *, id_col: str, text_col: str, window: int) -> DataFrame
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, key binary, base {S.TYPE}, near array<struct<entity: long, term: long, first: int, head: int>>"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(run, schema)
+    found = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(W.tidied(run), schema)
     return materialise(found.select(F.monotonically_increasing_id().alias("rid"), "*"), "personal")
 
 
@@ -178,7 +178,7 @@ def term_frequencies(df: DataFrame, text_col: str) -> DataFrame:
                         held, size = [], 0
         yield rows(*merged())
 
-    counts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, "term long, n long")
+    counts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(W.tidied(run), "term long, n long")
     return counts.groupBy("term").agg(F.sum("n").alias("df"))
 
 
@@ -202,7 +202,7 @@ def term_places(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(have).tobytes(), 1)], pa.binary())], names=["have"])
 
     have = np.zeros(1 << (bits - 3), np.uint8)
-    for r in terms.select("term").coalesce(4).mapInArrow(fill, "have binary").toLocalIterator():  # filters of fixed size
+    for r in terms.select("term").coalesce(4).mapInArrow(W.tidied(fill), "have binary").toLocalIterator():  # filters of fixed size
         have |= np.frombuffer(zlib.decompress(r.have), np.uint8)
     shipped = df.sparkSession.sparkContext.broadcast(have)
 
@@ -220,7 +220,7 @@ def term_places(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(term[at]), *ends], names=["key", "term", "start", "end"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hits = df.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(run, "key binary, term long, start int, end int")
+    hits = df.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(W.tidied(run), "key binary, term long, start int, end int")
     return hits.join(terms, "term").select("key", "start", "end")
 
 

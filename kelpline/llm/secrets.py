@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import automata as A
 from kelpline.llm import spans as S
+from kelpline.llm import words as W
 from kelpline.llm.store import table
 
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -141,7 +142,7 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
     texts = df.where(draw & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    found = texts.mapInArrow(run, "kind string, value string").distinct()
+    found = texts.mapInArrow(W.tidied(run), "kind string, value string").distinct()
     limit = F.when(F.col("kind") == "ordinary", 10 * per_kind).otherwise(per_kind)
     ranked = found.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("value").alias("h"), "value"))).alias("all"))  # of the bounded sample
     rows = ranked.select("kind", F.slice("all", 1, limit).alias("some")).collect()
@@ -185,7 +186,7 @@ def scan(df: DataFrame, formats: Formats | None, *, text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([*some.columns, *cols], names=[*batch.schema.names, "base", "spans"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, base {S.TYPE}, spans {S.TYPE}")
+    return df.mapInArrow(W.tidied(run), f"{schema}, base {S.TYPE}, spans {S.TYPE}")
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:

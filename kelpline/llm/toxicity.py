@@ -164,7 +164,7 @@ def learn(labelled: DataFrame, documents: DataFrame, *, id_col: str = "doc_id",
                 df += np.bincount(term_counts(data, offsets, picked)[1], minlength=len(picked))
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(picked)), pa.int32()), pa.array([rows, *df], pa.int64())], names=["term", "n"])
 
-    counted = {r[0]: r[1] for r in texts.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
+    counted = {r[0]: r[1] for r in texts.select("text").mapInArrow(W.tidied(count), "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
     df = np.array([counted.get(i, 0) for i in range(len(picked))])
     idf = np.log((1 + counted.get(-1, 0)) / (1 + df)) + 1
     index = Neighbours(*term_counts(data, offsets, picked), n, idf, y, [r[0] for r in sample], (totals[0] / max((y == 0).sum(), 1), totals[1] / max(n1, 1)), k)
@@ -204,7 +204,7 @@ def score(df: DataFrame, model, *, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(scores), pa.array(evidence, kind)], names=[*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, score double, evidence array<struct<id: string, cosine: double>>")
+    return df.mapInArrow(W.tidied(run), f"{schema}, score double, evidence array<struct<id: string, cosine: double>>")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm import words as W
 from kelpline.llm.store import materialise, table
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -205,7 +206,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
         if held:
             yield done()
 
-    return materialise(placed.mapInArrow(run, "archive string, records int, content binary"), "archives")
+    return materialise(placed.mapInArrow(W.tidied(run), "archive string, records int, content binary"), "archives")
 
 
 def read_archives(archives: DataFrame, *, name_col: str = "archive", content_col: str = "content") -> DataFrame:
@@ -224,7 +225,7 @@ def read_archives(archives: DataFrame, *, name_col: str = "archive", content_col
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["archive", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     schema = "archive string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return archives.select(F.col(name_col), F.col(content_col)).mapInArrow(run, schema)
+    return archives.select(F.col(name_col), F.col(content_col)).mapInArrow(W.tidied(run), schema)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ that alone is larger), whole texts always.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+_ROWS = 1024
 
 _TABLE = np.zeros(256, np.uint8)
 _TABLE[0x30:0x3A] = np.arange(0x30, 0x3A)
@@ -66,18 +69,35 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
     """(from row, to row, bytes, offsets into the bytes), each of at most ``limit`` bytes or one row. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    _, raw_offsets, raw = column.buffers()
-    offsets = np.frombuffer(raw_offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
-    row = 0
-    while row < len(column):
-        upto = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        upto = min(max(upto, row + 1), len(column))
-        yield row, upto, data[offsets[row] : offsets[upto]], offsets[row : upto + 1] - offsets[row]
-        row = upto
+    for begin in range(0, len(column), _ROWS):  # what is converted at once is a part of a batch
+        part = pc.fill_null(column.slice(begin, _ROWS).cast(pa.large_string()), "")
+        _, raw_offsets, raw = part.buffers()
+        offsets = np.frombuffer(raw_offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
+        row = 0
+        while row < len(part):
+            upto = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
+            upto = min(max(upto, row + 1), len(part))
+            yield begin + row, begin + upto, data[offsets[row] : offsets[upto]], offsets[row : upto + 1] - offsets[row]
+            row = upto
+
+
+def tidied(run: Callable) -> Callable:
+    """A partition function that hands the memory it freed back to the system at its end: worker processes live on and
+    share an executor's memory with whatever runs next."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
