@@ -8,12 +8,19 @@ n-gram up once for all languages and falls back to shorter ones by stored
 back-off weights.  The language of least cross-entropy per symbol wins.
 
 Calibration on a held-back fifth of the sample: a logistic curve turns the
-margin to the runner-up into ``score``; a text whose cross-entropy is a
-quarter above the worst held-back text's, and above that of guessing symbols
-uniformly, is ``rejected``: no language explains it.
-
+margin to the runner-up into ``score``.  A text is ``rejected`` where its
+cross-entropy lies too many standard deviations above its language's mean, for
+its length.  How many is calibrated: what all but a twentieth of foreign texts reach
+(held-back texts without their own language's model, and with their letters
+shuffled), but at least half as much again as any held-back text reaches, so
+that texts of a known language stay.
+
+Symbols are code points, all of them: n-grams are hashes, no alphabet is cut.
 Null texts and texts without a letter are ``und`` with score 0, and rejected.
 Languages are those of non-null labels; without any, every text is ``und``.
+Ties go to the first language by name. Columns named as the results are
+replaced, others kept; repeated rows keep a row each; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ from pyspark.sql import functions as F
 from kelpline.llm import words as W
 from kelpline.llm.store import table
 
-ORDER, BITS = 5, 12
-_MASK = [(1 << (BITS * m)) - 1 for m in range(ORDER + 1)]
+ORDER = 5
+_FACTORS = W.mix(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 _fold: np.ndarray | None = None
 
 
@@ -76,20 +83,17 @@ def streams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class HashArray:
     """Sorted 64-bit hashes with a directory on their leading bits."""
 
-    def __init__(self, codes: np.ndarray):
-        hashes = W.mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        bits = max(int(len(codes)).bit_length() + 1, 1)
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes  # sorted, each once
+        bits = max(int(len(hashes)).bit_length() + 1, 1)
         self.shift = np.uint64(64 - bits)
-        self.start = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.start = np.searchsorted(hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """Position of each code among the sorted hashes, or -1."""
-        h = W.mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Position of each hash, or -1."""
         bucket = (h >> self.shift).astype(np.int64)
         at, end = self.start[bucket], self.start[bucket + 1]
-        out = np.full(len(codes), -1, np.int32)
+        out = np.full(len(h), -1, np.int32)
         open_ = np.flatnonzero(at < end)
         at, end, h = at[open_], end[open_], h[open_]
         while len(open_):
@@ -101,6 +105,18 @@ class HashArray:
         return out
 
 
+def gram_hashes(stream: np.ndarray) -> list[np.ndarray]:
+    """For m from 0 to ORDER the hashes of the last m symbols at each place of a stream; any code point is a symbol."""
+    v = W.mix(stream.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    out = [np.zeros(len(v), np.uint64)]
+    for m in range(1, ORDER + 1):
+        h = out[-1].copy()
+        if len(v) >= m:
+            h[m - 1 :] += v[: len(v) - m + 1] * _FACTORS[m - 1]
+        out.append(h)
+    return out
+
+
 class Models:
     """All languages' models; learned from ``texts`` by language."""
 
@@ -108,98 +124,110 @@ class Models:
         self.languages = sorted(texts)
         held = {lang: [t for i, t in enumerate(own) if i % 5 == 4] for lang, own in texts.items()}
         used = {lang: [t for i, t in enumerate(own) if i % 5 != 4] for lang, own in texts.items()}
-        raw = {lang: streams(*_joined(own))[:2] for lang, own in used.items()}
-        letters = sorted({int(c) for s, _ in raw.values() for c in np.unique(s) if c})[: (1 << BITS) - 3]
-        self.letters = np.array(letters, np.int32)
-        self.unknown = len(letters) + 1
-        self._learn({lang: self._codes(*raw[lang]) for lang in self.languages})
+        self._learn({lang: streams(*_joined(own))[:2] for lang, own in used.items()})
         self._calibrate(held if all(held.values()) else used)
 
-    def _symbols(self, stream: np.ndarray) -> np.ndarray:
-        if not len(self.letters):
-            return np.where(stream == 0, 0, self.unknown)
-        at = np.minimum(np.searchsorted(self.letters, stream), len(self.letters) - 1)
-        return np.where(stream == 0, 0, np.where(self.letters[at] == stream, at + 1, self.unknown))
-
-    def _codes(self, stream: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The last ORDER symbols at each place of a text, packed."""
-        s = self._symbols(stream).astype(np.uint64)
-        code = s.copy()
-        for k in range(1, ORDER):
-            code[k:] |= s[:-k] << np.uint64(BITS * k) if len(s) > k else np.empty(0, np.uint64)
-        return code[own >= 0]
-
-    def _learn(self, codes: dict[str, np.ndarray]) -> None:
-        grams: dict[str, list] = {}
-        for lang, c in codes.items():
-            own = [None] * (ORDER + 1)
-            own[ORDER] = np.unique(c, return_counts=True)
-            for m in range(ORDER - 1, 0, -1):  # continuation counts
-                own[m] = np.unique(own[m + 1][0] & np.uint64(_MASK[m]), return_counts=True)
-            grams[lang] = own
-        n, vocabulary = len(self.languages), self.unknown + 1
+    def _learn(self, raw: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Types of every order with their counts: occurrences for the longest, distinct left neighbours for others."""
+        types: dict[str, list] = {}
+        for lang, (stream, own) in raw.items():
+            h, place = gram_hashes(stream), np.flatnonzero(own >= 0)
+            kept: list = [None] * (ORDER + 1)
+            for m in range(ORDER, 0, -1):
+                code, first, count = np.unique(h[m][place], return_index=True, return_counts=True)
+                place = place[first]
+                kept[m] = (code, count, h[m - 1][place - 1], h[m - 1][place])  # and of its context and its suffix
+            types[lang] = kept
+        n = len(self.languages)
         self.table: list = [None] * (ORDER + 1)
         self.context: list = [None] * (ORDER + 1)
-        lower = np.full((vocabulary, n), 1.0 / vocabulary)
-        single = np.zeros((vocabulary, n))
-        lower_codes = None
+        lower, lower_codes = np.empty((0, n)), np.empty(0, np.uint64)
         for m in range(1, ORDER + 1):
-            union = np.unique(np.concatenate([grams[x][m][0] for x in self.languages])) if m > 1 else np.arange(vocabulary, dtype=np.uint64)
-            contexts = np.unique(union >> np.uint64(BITS))
+            code, _, context, suffix = (np.concatenate([types[x][m][k] for x in self.languages]) for k in range(4))
+            union, first = np.unique(code, return_index=True)
+            context, suffix = context[first], suffix[first]
+            contexts = np.unique(context)
+            if m == 1:
+                lower, lower_codes = np.full((1, n), 1.0 / (len(union) + 1)), np.zeros(1, np.uint64)  # uniform over what was seen and one more
             seen, backoff = np.zeros((len(union), n)), np.ones((len(contexts), n))
             for k, lang in enumerate(self.languages):
-                code, count = grams[lang][m]
+                own, count, own_context, _ = types[lang][m]
+                if not len(own):
+                    continue
                 ones, twos = int((count == 1).sum()), int((count == 2).sum())
                 discount = ones / (ones + 2 * twos) if ones and twos else 0.75
-                place = np.searchsorted(contexts, code >> np.uint64(BITS))
+                place = np.searchsorted(contexts, own_context)
                 total = np.bincount(place, count, len(contexts))
                 kinds = np.bincount(place, minlength=len(contexts))
                 got = total > 0
                 backoff[got, k] = np.maximum(discount * kinds[got] / total[got], 1e-6)
-                seen[np.searchsorted(union, code), k] = np.maximum(count - discount, 0) / total[place]
-            suffix = np.zeros(len(union), np.int64) if m == 1 else np.searchsorted(lower_codes, union & np.uint64(_MASK[m - 1]))
-            below = lower if m == 1 else lower[suffix]
-            p = seen + backoff[np.searchsorted(contexts, union >> np.uint64(BITS))] * below
+                seen[np.searchsorted(union, own), k] = np.maximum(count - discount, 0) / total[place]
+            p = seen + backoff[np.searchsorted(contexts, context)] * lower[np.searchsorted(lower_codes, suffix)]
             if m == 1:
-                single = np.log(p)
-            else:
-                self.table[m] = (h := HashArray(union), np.log(p)[h.order].astype(np.float32))
-                self.context[m] = (h := HashArray(contexts), np.log(backoff)[h.order].astype(np.float32))
+                whole = backoff[0] if len(contexts) else np.ones(n)
+                self.unknown = np.log(whole / (len(union) + 1)).astype(np.float32)
+            self.table[m] = HashArray(union), np.log(p).astype(np.float32)
+            self.context[m] = HashArray(contexts), np.log(backoff).astype(np.float32)
             lower, lower_codes = p, union
-        self.single = single.astype(np.float32)
 
-    def cross_entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nats per symbol by text and language, symbols, letters)."""
+    def log_probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-probability of each symbol by language, its text, letters of each text)."""
         stream, own, letters = streams(data, offsets)
-        texts = len(offsets) - 1
-        code, row = self._codes(stream, own), own[own >= 0]
-        log_p = np.zeros((len(code), len(self.languages)), np.float32)
-        open_ = np.arange(len(code))
-        for m in range(ORDER, 1, -1):
-            c = code[open_] & np.uint64(_MASK[m])
+        h, place = gram_hashes(stream), np.flatnonzero(own >= 0)
+        log_p = np.zeros((len(place), len(self.languages)), np.float32)
+        open_ = np.arange(len(place))
+        for m in range(ORDER, 0, -1):
             hashes, values = self.table[m]
-            at = hashes.find(c)
+            at = hashes.find(h[m][place[open_]])
             hit = at >= 0
             log_p[open_[hit]] += values[at[hit]]
-            open_, c = open_[~hit], c[~hit] >> np.uint64(BITS)
+            open_ = open_[~hit]
+            if m == 1:
+                log_p[open_] += self.unknown
+                break
             hashes, values = self.context[m]
-            at = hashes.find(c)
+            at = hashes.find(h[m - 1][place[open_] - 1])
             hit = at >= 0
             log_p[open_[hit]] += values[at[hit]]
-        log_p[open_] += self.single[(code[open_] & np.uint64(_MASK[1])).astype(np.int64)]
+        return log_p, own[place], letters
+
+    def cross_entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats per symbol by text and language, symbols, letters)."""
+        log_p, row, letters = self.log_probabilities(data, offsets)
+        texts = len(offsets) - 1
         symbols = np.bincount(row, minlength=texts)
         sums = np.stack([np.bincount(row, log_p[:, k], texts) for k in range(len(self.languages))], axis=1)
         return -sums / np.maximum(symbols, 1)[:, None], symbols, letters
 
     def _calibrate(self, held: dict[str, list[str]]) -> None:
-        margins, right, worst = [np.zeros(0)], [np.zeros(0)], 0.0
+        n = len(self.languages)
+        self.mean, self.between, self.within = np.zeros(n), np.full(n, 1e-3), np.ones(n)
+        margins, right, scored = [np.zeros(0)], [np.zeros(0)], []
         for k, lang in enumerate(self.languages):
-            ce, _, letters = self.cross_entropies(*_joined(held[lang]))
-            ce = ce[letters > 0]
-            margins.append(_margin(ce) if len(ce) else np.zeros(0))
+            data, offsets = _joined(held[lang])
+            log_p, row, letters = self.log_probabilities(data, offsets)
+            ce, symbols, _ = self.cross_entropies(data, offsets)
+            ce, symbols = ce[letters > 0], symbols[letters > 0]
+            if not len(ce):
+                continue
+            margins.append(_margin(ce))
             right.append(ce.argmin(axis=1) == k)
-            worst = max(worst, float(ce[:, k].max(initial=0.0)))
-        self.ceiling = max(1.25 * worst, float(np.log(self.unknown + 1)))
+            self.mean[k], self.within[k] = ce[:, k].mean(), max(float(log_p[:, k].var()), 1e-3)
+            self.between[k] = max(float((ce[:, k] - self.mean[k]).var() - (self.within[k] / symbols).mean()), 1e-3)
+            scored.append((k, ce, symbols))
+        inside = [float(self._excess(ce, symbols)[np.arange(len(ce)), ce.argmin(axis=1)].max(initial=0.0)) for _, ce, symbols in scored]
+        outside = [np.zeros(0)]
+        for k, ce, symbols in scored:  # texts of a language that is taken away, and the held-back texts' letters in any order
+            if n > 1:
+                others = np.delete(np.arange(n), k)
+                best = others[ce[:, others].argmin(axis=1)]
+                outside.append(self._excess(ce, symbols)[np.arange(len(ce)), best][symbols >= 40])
+            mixed = _shuffled(held[self.languages[k]])
+            ce, symbols, letters = self.cross_entropies(*_joined(mixed))
+            outside.append(self._excess(ce, symbols)[np.arange(len(ce)), ce.argmin(axis=1)][(letters > 0) & (symbols >= 40)])
+        most, others = max(inside, default=0.0), np.concatenate(outside)
+        least = float(np.quantile(others, 0.05)) if len(others) else np.inf
+        self.ceiling = max(1.5 * most, least if np.isfinite(least) else 3 * most)
         x, y = np.concatenate(margins), np.concatenate(right).astype(float)
         y = (y * len(y) + 0.5) / (len(y) + 1)  # never quite certain
         a = 1.0
@@ -208,15 +236,25 @@ class Models:
             a -= 0.5 * (((p - y) * x).sum() + 1e-3 * (a - 1)) / ((np.maximum(p * (1 - p), 1e-4) * x * x).sum() + 1e-3)
         self.slope = max(float(a), 0.1)
 
+    def _excess(self, ce: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """How many standard deviations a text of so many symbols lies above each language's held-back mean."""
+        return (ce - self.mean) / np.sqrt(self.between + self.within / np.maximum(symbols, 1)[:, None])
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, cross-entropy, rejected) of each text."""
-        ce, _, letters = self.cross_entropies(data, offsets)
+        ce, symbols, letters = self.cross_entropies(data, offsets)
         best = ce.argmin(axis=1)
-        own = ce[np.arange(len(ce)), best]
+        at = np.arange(len(ce)), best
         score = 1 / (1 + np.exp(-np.clip(self.slope * _margin(ce), -30, 30)))
         none = letters == 0
-        rejected = none | (own > self.ceiling)
-        return ["und" if n else self.languages[k] for n, k in zip(none, best, strict=True)], np.where(none, 0.0, score), np.where(none, np.nan, own), rejected
+        rejected = none | (self._excess(ce, symbols)[at] > self.ceiling)
+        return ["und" if n else self.languages[k] for n, k in zip(none, best, strict=True)], np.where(none, 0.0, score), np.where(none, np.nan, ce[at]), rejected
+
+
+def _shuffled(texts: list[str]) -> list[str]:
+    """Each text's characters in an order drawn from a fixed seed."""
+    rng = np.random.default_rng(17)
+    return ["".join(rng.permutation(list(t)).tolist()) if t else "" for t in texts]
 
 
 def _margin(ce: np.ndarray) -> np.ndarray:

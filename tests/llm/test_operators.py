@@ -238,31 +238,61 @@ def test_secrets_of_nothing(spark, empty):
 # --- 5
 
 
-def test_fingerprints(spark, tmp_path):
+def brute_anchors(text):
+    """Closed syncmers of a text with its margins, one k-mer after the other: (place, hash)."""
+    import xxhash
+
+    k, s, out = fingerprint.K, fingerprint.S, []
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = lambda x: signed(xxhash.xxh64(x.encode("utf-32-be"), seed=42).intdigest())
+    t = "\uffff" * (k - 1) + text + "\uffff" * (k - 1) if text else ""
+    for i in range(len(t) - k + 1):
+        inner = [h(t[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, h(t[i : i + k]) & 0xFFFFFFFF))
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark, tmp_path):
     rng = np.random.default_rng(4)
-    texts = [prose(rng, 150) for _ in range(30)] + ["", None, "one two", "hé 世界 x"]
-    texts.append(texts[0])
-    rows = [(3 * i, t, "en", "s", 1) for i, t in enumerate(texts)]
-    at = with_folder(spark, tmp_path, documents=spark.createDataFrame(rows, DOC))
-    out = [r for r in fingerprint.op5_fingerprints(spark, at).orderBy("doc_id").collect()]
+    letters = lambda n, of="ab é世🎉\n": "".join(rng.choice(list(of), n))
+    texts = ["", None, "a", "abc", "abcd", letters(9_000, "abcdefgh "), *[letters(int(n)) for n in rng.integers(0, 120, 30)], prose(rng, 150), "hé 世界 x"]
+    texts.append(texts[5])
+    docs = spark.createDataFrame([(3 * i, t, "en", "s", 1) for i, t in enumerate(texts)], DOC).withColumns({c: F.lit("x") for c in ("own", "next", "changed", "head", "__key")})
+    out = fingerprint.op5_fingerprints(spark, with_folder(spark, tmp_path, documents=docs)).orderBy("doc_id").collect()
     plain = [t or "" for t in texts]
+    shown = lambda t: "".join(f"{h:08X}" for _, h in brute_anchors(t))
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    assert len(out) == len(texts)
     for i, (r, t) in enumerate(zip(out, plain, strict=True)):
-        q = len(t) // 4
-        edited = t[: len(t) - q] + plain[(i + 1) % len(plain)][:q]
+        q, following = len(t) // 4, plain[(i + 1) % len(plain)]
+        edited = t[: len(t) - q] + following[:q]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert out[0]["fingerprint"] == out[-1]["fingerprint"] and out[30]["fingerprint"] == "" and out[30]["near_next"] == 1.0
-    assert np.mean([r["near_edited"] for r in out[:30]]) > 0.4 and max(r["near_next"] for r in out[:29]) < 0.2
-
-
-def test_anchors_are_closed_syncmers(spark, empty):
-    df = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t")], "doc_id long, text string")
-    places = [r["place"] for r in fingerprint.anchors(df).collect()]
-    assert places and max(places) <= 15
-    both = spark.createDataFrame([(1, "x y " + "a b c d e f g h i j k l m n o p")], "doc_id long, text string")
-    shared = {r["hash"] for r in fingerprint.anchors(df).collect()} & {r["hash"] for r in fingerprint.anchors(both).collect()}
-    assert shared
-    assert fingerprint.with_next(empty.select("doc_id", "text"), ["text"], id_col="doc_id", tie=F.md5("text"), enrich=lambda d: d).count() == 0
+        assert r["fingerprint"] == shown(t) and r["edited_fingerprint"] == shown(edited), i
+        sets = [{h for _, h in brute_anchors(x)} for x in (t, edited, following)]
+        assert r["near_edited"] == pytest.approx(jaccard(sets[0], sets[1])) and r["near_next"] == pytest.approx(jaccard(sets[0], sets[2]))
+    assert out[5]["fingerprint"] == out[-1]["fingerprint"]
+
+
+def test_fingerprints_at_edges(spark, tmp_path, edge, empty):
+    out = fingerprint.op5_fingerprints(spark, with_folder(spark, tmp_path, documents=edge)).collect()
+    assert len(out) == edge.count() and len({r["fingerprint"] for r in out if r["doc_id"] in (4, 5)}) == 1
+    assert fingerprint.op5_fingerprints(spark, with_folder(spark, tmp_path / "none", documents=empty)).count() == 0
+    named = spark.createDataFrame([("b", "x" * 30), ("a", "y" * 30), ("c", "z" * 30)], "doc_id string, text string")  # ids that aren't numbers
+    rows = fingerprint.with_next(named, ["doc_id"], id_col="doc_id", tie=F.md5("text"), enrich=lambda d: d).collect()
+    assert {r["doc_id"]: r["next"]["doc_id"] for r in rows} == {"a": "b", "b": "c", "c": "a"}
+
+
+def test_anchors_are_the_same_wherever_a_passage_stands(spark):
+    rng = np.random.default_rng(44)
+    passage = prose(rng, 40)
+    rows = spark.createDataFrame([(1, passage), (2, prose(rng, 9) + passage)], "doc_id long, text string")
+    found = {}
+    for r in fingerprint.anchors(rows).collect():
+        found.setdefault(r["doc_id"], {})[r["place"]] = r["hash"]
+    shift = len(rows.where("doc_id = 2").first()["text"]) - len(passage)
+    inside = {p: h for p, h in found[1].items() if 0 <= p <= len(passage) - fingerprint.K}
+    assert inside and all(found[2][p + shift] == h for p, h in inside.items())
 
 
 # --- 6

@@ -132,23 +132,73 @@ def test_encoder_equals_the_tokenizer():
         assert [own.encode(t).tolist() for t in some] == want
 
 
-def test_kneser_ney_is_a_distribution():
-    m = langid.Models({"x": ["abcab cabba abc"] * 5, "y": ["zzyx yxz zyx"] * 5})
-    symbols = np.arange(m.unknown + 1, dtype=np.uint64)
-    for context in (0, 1, 2):
-        total = np.zeros(2)
-        for s in symbols:
-            code = np.uint64((context << langid.BITS) | int(s))
-            at = m.table[2][0].find(np.array([code]))[0]
-            if at >= 0:
-                total += np.exp(m.table[2][1][at])
-            else:
-                h = m.context[2][0].find(np.array([context], np.uint64))[0]
-                back = m.context[2][1][h] if h >= 0 else 0.0
-                total += np.exp(back + m.single[int(s)])
-        assert total == pytest.approx(np.ones(2), abs=1e-3)
-    lang, score, _, rejected = m.predict(*sliced(["abc abc", "zyx", "", "123", "世界世界世界世"]))
-    assert lang == ["x", "y", "und", "und", lang[4]] and score[2] == 0 and rejected.tolist()[2:] == [True, True, True] and not rejected[0]
+def brute_kneser_ney(texts):
+    """Interpolated Kneser-Ney of order five over lists of symbols, by dictionaries; a function (context, symbol) -> p for m = 1 ... 5."""
+    from collections import Counter
+
+    counts = [Counter() for _ in range(6)]
+    for t in texts:
+        s = [0] * 4 + t
+        counts[5].update(tuple(s[i - 4 : i + 1]) for i in range(4, len(s)))
+    for m in range(4, 0, -1):
+        counts[m] = Counter(g[1:] for g in counts[m + 1])
+    discount = [0.0] * 6
+    for m in range(1, 6):
+        ones, twos = (sum(c == k for c in counts[m].values()) for k in (1, 2))
+        discount[m] = ones / (ones + 2 * twos) if ones and twos else 0.75
+
+    def p(gram, vocabulary):
+        if not gram:
+            return 1 / (vocabulary + 1)
+        own = {g: c for g, c in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        below = p(gram[1:], vocabulary)
+        if not own:
+            return below
+        total, d = sum(own.values()), discount[len(gram)]
+        return max(own.get(gram, 0) - d, 0) / total + max(d * len(own) / total, 1e-6) * below
+
+    return p
+
+
+def symbols_of(text):
+    out = []
+    for c in text.lower():
+        if c.isalpha():
+            out.append(ord(c))
+        elif out and out[-1]:
+            out.append(0)
+    return out
+
+
+def test_kneser_ney_equals_a_plain_version():
+    texts = {"x": ["abcab cabba abc", "cab abc", "abba", "cccab a", "held"], "y": ["zzyx yxz zyx", "xyz", "zx", "yy zy", "xx"], "z": ["世界 人世", "界", "人人", "世世界", "人"]}
+    m = langid.Models(texts)
+    trained = {k: [symbols_of(t) for t in v if v.index(t) % 5 != 4] for k, v in texts.items()}
+    vocabulary = len({c for own in trained.values() for t in own for c in t})
+    probes = ["abc zy", "cabba", "zzz", "qq ab", "世人 abc"]
+    ce, _, _ = m.cross_entropies(*sliced(probes))
+    for k, lang in enumerate(m.languages):
+        p = brute_kneser_ney(trained[lang])
+        for i, t in enumerate(probes):
+            s = [0] * 4 + symbols_of(t)
+            want = -np.mean([np.log(p(tuple(s[j - 4 : j + 1]), vocabulary)) for j in range(4, len(s))])
+            assert ce[i, k] == pytest.approx(want, rel=1e-4), (lang, t)
+    lang, score, _, rejected = m.predict(*sliced(["abc abc", "zyx", "", "123"]))
+    assert lang == ["x", "y", "und", "und"] and score[2] == 0 and rejected.tolist()[2:] == [True, True] and not rejected[0]
+
+
+def test_foreign_and_random_texts_are_rejected():
+    rng = np.random.default_rng(3)
+
+    def prose(letters, n):
+        words = ["".join(rng.choice(list(letters), 5)) for _ in range(40)]
+        return [" ".join(rng.choice(words, 60)) for _ in range(n)]
+
+    m = langid.Models({"x": prose("abcdefgh", 60), "y": prose("efghijkl", 60)})
+    other = prose("가나다라마", 20) + prose("mnopqrst", 20)
+    assert all(m.predict(*sliced(other))[3])
+    rng = np.random.default_rng(3)
+    assert not any(m.predict(*sliced(prose("abcdefgh", 60)))[3])
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
