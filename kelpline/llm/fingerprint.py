@@ -56,14 +56,14 @@ def _closed(g: Column, i: Column) -> Column:
     return _every([first <= F.get(g, i + j) for j in range(1, _INNER)]) | _every([last <= F.get(g, i + j) for j in range(_INNER - 2, -1, -1)])
 
 
-def packed_anchors(text: Column, shift: Column | None = None) -> Column:
-    """Anchors of ``text``, a column that has its margins (or needs none), in order of place; ``shift`` is added to places."""
+def packed_anchors(text: Column) -> Column:
+    """Anchors of ``text``, a column that has its margins (or needs none), in order of place."""
 
     def chunk(coded: Column, c: Column) -> Column:
         begin = c * CHUNK
         own = F.substring(coded, begin * 4 + 1, F.lit(4 * (CHUNK + K - 1)))
         inner = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - (4 * S - 1), F.lit(4)), lambda p: F.xxhash64(F.substring(b, p, F.lit(4 * S))))
-        put = lambda i: F.shiftleft((i + begin + (F.lit(0) if shift is None else shift)).cast("long"), 32)
+        put = lambda i: F.shiftleft((i + begin).cast("long"), 32)
         pack = lambda b, i: put(i).bitwiseOR(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * K))).bitwiseAND(F.lit(_LOW)))
         places = lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - _INNER), lambda i: _closed(g, i))
         return _let(own, lambda b: F.transform(_let(inner(b), places), lambda i: pack(b, i)))
@@ -85,11 +85,13 @@ def joined_anchors(head: Column, own: Column, tail: Column, following: Column) -
     m, margin = K - 1, F.lit(_MARGIN)
     p, h = F.length(head), F.length(tail)
     edge = lambda n: F.shiftleft(n.cast("long"), 32)
-    before = F.filter(own, lambda x: x < edge(p))
-    seam = packed_anchors(F.concat(F.right(F.concat(margin, head), F.lit(m)), F.left(F.concat(tail, margin), F.lit(m))), p)
-    inside = F.transform(F.filter(following, lambda x: (x >= F.lit(m << 32)) & (x < edge(h))), lambda x: x + edge(p))
-    end = packed_anchors(F.concat(F.right(tail, F.lit(m)), margin), p + m + F.greatest(h - m, F.lit(0)))
-    return F.when(p + h > 0, F.concat(before, seam, inside, end)).otherwise(F.array().cast("array<bigint>"))
+    moved = lambda xs, by: _let(edge(by), lambda e: F.transform(xs, lambda x: x + e))
+    before = _let(edge(p), lambda e: F.filter(own, lambda x: x < e))
+    seam = packed_anchors(F.concat(F.right(F.concat(margin, head), F.lit(m)), F.left(F.concat(tail, margin), F.lit(m))))
+    inside = _let(edge(h), lambda e: F.filter(following, lambda x: (x >= F.lit(m << 32)) & (x < e)))
+    end = packed_anchors(F.concat(F.right(tail, F.lit(m)), margin))
+    parts = F.concat(before, moved(seam, p), moved(inside, p), moved(end, p + m + F.greatest(h - m, F.lit(0))))
+    return F.when(p + h > 0, parts).otherwise(F.array().cast("array<bigint>"))
 
 
 def anchors(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,6 +144,7 @@ def with_next(df: DataFrame, columns: list[str], *, id_col: str, tie: Column, en
     spark = df.sparkSession
     key = _range_key(df, id_col)
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = size if size < 1 << 60 else 0  # unknown
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // RANGE_BYTES, 50_000))
     bounds = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], max(20_000, 10 * buckets))).first()[0] or []
     bucket = _bucket(key, sorted(set(bounds)))
