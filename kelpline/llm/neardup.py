@@ -30,13 +30,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm import words as W
 from kelpline.llm.components import components
-from kelpline.llm.store import materialise, table
+from kelpline.llm.store import materialise, scratch, table
 
 WIDTH, DEPTH = 1 << 17, 2
 TABLE_ROWS = 1 << 15
@@ -220,16 +219,23 @@ def verified(pairs: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshol
     left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
     full = left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
+    def weighed(text: str) -> tuple[np.ndarray, np.ndarray]:
+        raw = text.encode()
+        _, value, count = weighted_shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64), size)
+        return value, count * shipped.value.idf(value)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs: dict[int, tuple] = {}  # the latest second sides: a hub stands in many pairs
         for batch in batches:
             n = batch.num_rows
             keep, sims = [], []
             for i in range(n):
-                sides = []
-                for c in (2, 3):
-                    text = pc.fill_null(batch.column(c).slice(i, 1), "")[0].as_py().encode()
-                    _, value, count = weighted_shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64), size)
-                    sides.append((value, count * shipped.value.idf(value)))
+                v = batch.column(1)[i].as_py()
+                if v not in hubs:
+                    if len(hubs) >= 32:
+                        hubs.pop(next(iter(hubs)))
+                    hubs[v] = weighed(batch.column(3)[i].as_py() or "")
+                sides = [weighed(batch.column(2)[i].as_py() or ""), hubs[v]]
                 s = max(similarity(*sides), similarity(*((value, np.ones(len(value))) for value, _ in sides)))
                 if s >= threshold:
                     keep.append(i)
@@ -293,7 +299,7 @@ def block_links(texts: list[str], comp: np.ndarray, left: np.ndarray, right: np.
     return out
 
 
-def cross_class_links(placed: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshold: float, block: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+def cross_class_links(placed: DataFrame, texts: DataFrame, sk: Sketch, size: int, threshold: float, block: int = 256, block_bytes: int = 1 << 20) -> DataFrame:
     """(u, v) of links that join all classes with a similar pair in a band: each pair of a band's nodes that lie in
     different classes is compared.
 
@@ -332,7 +338,7 @@ def cross_class_links(placed: DataFrame, texts: DataFrame, sk: Sketch, size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for rows in itertools.chain((b.to_pylist() for b in batches), [[None]]):
+        for rows in itertools.chain((b.slice(i, 64).to_pylist() for b in batches for i in range(0, b.num_rows, 64)), [[None]]):
             found = []
             for r in rows:
                 if held and (r is None or any(r[x] != held[0][x] for x in ("band", "i", "j"))):
@@ -349,38 +355,39 @@ def cross_class_links(placed: DataFrame, texts: DataFrame, sk: Sketch, size: int
 
 def _classes(df: DataFrame, *, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int, floor: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(id and key of each row; by key: comp, its least id, copies)."""
-    sk = sketch(df, text_col, size, floor)
-    sig = signatures(df, sk, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows, seed=seed)
-    texts_of = sig.groupBy("key").agg(F.min("rid").alias("node"), F.min("id").alias("least"), F.count("*").alias("copies"))
-    distinct = materialise(texts_of, "texts")
-    once = sig.join(distinct.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.explode("bands").alias("band"))
-    once = materialise(once, "bands")
-    shared = once.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(once.join(shared, "band"), "members")  # band, node, n
-    # who shares most bands is most like the others: the text that the rest were copied from
-    liked = members.groupBy("node").agg((F.sum("n") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)).alias("liked"))
-    hubs = members.join(liked, "node").groupBy("band").agg(F.max_by("node", "liked").alias("hub"))
-    needed = members.select("node").distinct()
-    ids = sig.join(needed, F.col("rid") == F.col("node")).select(F.col("id").alias("wanted"), "key", "node")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = df.select(F.col(id_col).alias("wanted"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
-    spread = [own["wanted"].eqNullSafe(ids["wanted"]), own["key"] == ids["key"]]
-    texts = own.join(ids, spread).select("node", "text", F.octet_length("text").alias("length")).dropDuplicates(["node"])
-    texts = materialise(texts, "candidates")
-
-    met = members.join(hubs, "band").where("node <> hub")
-    pairs = met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
-    links = materialise(verified(pairs, texts, sk, size, threshold).select("u", "v"), "links")
-    classes = components(links)  # node, comp of the linked nodes
-    placed = materialise(members.where("n > 2").join(classes, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")), "members")  # two have met
-    rest = cross_class_links(placed, texts, sk, size, threshold)
-    links = materialise(links.union(rest), "links")
-    classes = None if links.isEmpty() else components(links)
-    if classes is None:
-        placed = distinct.select("key", F.col("node").alias("comp"), "least", "copies")
-    else:
-        placed = distinct.join(classes, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "least", "copies")
-    return sig.select("id", "key"), materialise(placed, "placed")
+    with scratch(df.sparkSession) as keep:
+        sk = sketch(df, text_col, size, floor)
+        sig = signatures(df, sk, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows, seed=seed)
+        texts_of = sig.groupBy("key").agg(F.min("rid").alias("node"), F.min("id").alias("least"), F.count("*").alias("copies"))
+        distinct = materialise(texts_of, "texts")
+        once = sig.join(distinct.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.explode("bands").alias("band"))
+        once = materialise(once, "bands")
+        shared = once.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        members = materialise(once.join(shared, "band"), "members")  # band, node, n
+        # who shares most bands is most like the others: the text that the rest were copied from
+        liked = members.groupBy("node").agg((F.sum("n") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)).alias("liked"))
+        hubs = members.join(liked, "node").groupBy("band").agg(F.max_by("node", "liked").alias("hub"))
+        needed = members.select("node").distinct()
+        ids = sig.join(needed, F.col("rid") == F.col("node")).select(F.col("id").alias("wanted"), "key", "node")
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        own = df.select(F.col(id_col).alias("wanted"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
+        spread = [own["wanted"].eqNullSafe(ids["wanted"]), own["key"] == ids["key"]]
+        texts = own.join(ids, spread).select("node", "text", F.octet_length("text").alias("length")).dropDuplicates(["node"])
+        texts = materialise(texts, "candidates")
+
+        met = members.join(hubs, "band").where("node <> hub")
+        pairs = met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+        links = materialise(verified(pairs, texts, sk, size, threshold).select("u", "v"), "links")
+        classes = components(links)  # node, comp of the linked nodes
+        placed = materialise(members.where("n > 2").join(classes, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")), "members")  # two have met
+        rest = cross_class_links(placed, texts, sk, size, threshold)
+        links = materialise(links.union(rest), "links")
+        classes = None if links.isEmpty() else components(links)
+        if classes is None:
+            placed = distinct.select("key", F.col("node").alias("comp"), "least", "copies")
+        else:
+            placed = distinct.join(classes, "node", "left").select("key", F.coalesce("comp", "node").alias("comp"), "least", "copies")
+        return keep(sig).select("id", "key"), keep(materialise(placed, "placed"))
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 14, rows: int = 4, floor: float = 0.01, seed: int = 7) -> DataFrame:

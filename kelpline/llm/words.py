@@ -35,12 +35,16 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``_BASE**i`` and its inverse modulo 2**64, for i below n."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, U64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(n, base, U64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= 2 * SLICE_BYTES:  # those of a longer text aren't kept
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
