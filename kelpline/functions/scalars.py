@@ -78,6 +78,33 @@ def md5_modulus(text: Column, modulus: int) -> Column:
     return out
 
 
+def decoded(url: Column) -> Column:
+    """A percent-coded url as text; a + is a +."""
+    return F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+
+
+def encoded(text: Column) -> Column:
+    """Percent-coded, a space as %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def votes_text(top: Column, n: Column) -> Column:
+    """ "4/5"; "0/0" where there is no vote."""
+    return F.concat_ws("/", F.coalesce(top, F.lit(0)).cast("string"), F.coalesce(n, F.lit(0)).cast("string"))
+
+
+def votes_of(text: Column) -> tuple[Column, Column]:
+    """The two numbers of a votes text; (0, 0) for a null or malformed one."""
+    ok = F.coalesce(text.rlike("^[0-9]+/[0-9]+$"), F.lit(False))
+    part = lambda i: F.when(ok, F.split_part(text, F.lit("/"), F.lit(i)).try_cast("int")).otherwise(0)
+    return part(1), part(2)
+
+
+def suffix_score(name: Column) -> Column:
+    """The number in the four characters behind the first "_p"; null without one."""
+    return F.substring(F.regexp_extract(name, "_p(.{1,4})", 1), 1, 4).try_cast("double")
+
+
 def short_digest(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
@@ -128,6 +155,62 @@ def labelled_line(reply: Column, label: str) -> Column:
     return F.btrim(F.trim(F.try_element_at(lines, F.lit(-1))), F.lit("'\""))
 
 
+def parsed_reply(reply: Column, labels: list[str], absent: str = "not present") -> tuple[Column, Column]:
+    """(caption, label) of a reply in labelled lines. Without a caption line the whole reply is the caption. A label is the
+    listed one it names (equal, containing or contained, in the list's order), "uncertain" where it says so or nothing, and
+    as it stands otherwise. Where either says ``absent``, the label is the listed one that does; where the caption does, the
+    caption too."""
+    gone = next((x for x in labels if absent in x.lower()), absent)
+    said = labelled_line(reply, "ETHOGRAM")
+    low = F.lower(said)
+    named = F.get(F.filter(F.array(*[F.lit(x) for x in labels]), lambda x: low.contains(F.lower(x)) | F.lower(x).contains(low)), 0)
+    label = F.when(F.coalesce(said, F.lit("")) == "", "uncertain").when(low.isin("uncertain", "unknown"), "uncertain").when(low.contains(absent), gone).otherwise(F.coalesce(named, said))
+    caption = F.coalesce(F.nullif(labelled_line(reply, "CAPTION"), F.lit("")), F.btrim(F.trim(reply), F.lit("'\"")))
+    hidden = F.lower(caption).contains(absent)
+    return F.when(hidden, gone).otherwise(caption), F.when(hidden, gone).otherwise(label)
+
+
+def validated(reply: Column, fields: dict[str, tuple[list[str], str]]) -> Column:
+    """A struct of a JSON reply's fields: each snapped to its vocabulary or default, ``present`` a truth value (null and absent:
+    false), ``confidence`` a number (0 where it isn't one)."""
+    value = lambda name: F.get_json_object(json_body(reply), f"$.{name}")
+    present = F.coalesce(~F.lower(value("present")).isin("false", "0", "0.0", "null", "", "[]", "{}"), F.lit(False))
+    snapped = [snap(value(name), allowed, default).alias(name) for name, (allowed, default) in fields.items()]
+    return F.struct(present.alias("present"), *snapped, F.coalesce(value("confidence").try_cast("double"), F.lit(0.0)).alias("confidence"))
+
+
+def group_softmax(similarity: Column, positives: int, scale: float = 100.0) -> Column:
+    """Probability of the first ``positives`` prompts as a group against the rest: softmax over the groups' scaled means."""
+    mean = lambda a: total(a) / F.size(a)
+    gap = (mean(F.slice(similarity, positives + 1, 1 << 20)) - mean(F.slice(similarity, 1, positives))) * scale
+    return 1.0 / (1.0 + F.exp(gap))
+
+
+def area_error(predicted: Column, truth: Column) -> Column:
+    """Relative difference of two areas; an empty truth counts as one."""
+    return F.abs(predicted - truth) / F.greatest(truth, F.lit(1))
+
+
+def stamp(at: Column | None = None) -> Column:
+    """A time to the second, as ISO text; now without one. For audits, not for results."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def plain_json(*columns) -> Column:
+    """Columns as a JSON object; numbers that aren't finite are null."""
+    return F.to_json(F.struct(*[F.when(~(F.isnan(c) | (F.abs(c) == float("inf"))), F.col(c)).alias(c) if numeric else F.col(c) for c, numeric in columns]))
+
+
+def scanned_seconds(end: Column, seconds: Column, batch: int = 64) -> Column:
+    """How far a scan that stops at whole batches went to find what ends at ``end``: at most the length."""
+    return F.least(F.ceil(end / batch) * batch, seconds)
+
+
+def full_scan(n_probes: Column, seconds: Column, probe_max: Column, gate: float) -> Column:
+    """Whether a video is scanned in full: a probe passed the gate, or nothing could be probed (no length)."""
+    return F.coalesce(probe_max >= gate, F.lit(False)) | ((F.coalesce(n_probes, F.lit(0)) == 0) & (F.coalesce(seconds, F.lit(0)) == 0))
+
+
 def json_body(reply: Column) -> Column:
     """From the first { to the last }."""
     return F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -17,8 +17,10 @@ def distributions(records: DataFrame, fields: list[str]) -> DataFrame:
     return records.select(each.alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
 
 
-def circadian(index: DataFrame, hour: Column, present: Column, arousal: Column, least: int = 5) -> DataFrame:
-    """By hour with at least so many rows: all, present, their share, mean arousal of the present."""
+def circadian(index: DataFrame, hour: Column, present: Column, arousal: Column, least: int = 5, exposure: Column | None = None) -> DataFrame:
+    """By hour with at least so many rows: all, present, their share, mean arousal of the present. Every row of the index is
+    exposure, days never analysed too; ``exposure`` limits it (to matched days)."""
+    index = index if exposure is None else index.where(exposure)
     out = index.groupBy(hour.alias("hour")).agg(F.count("*").alias("all"), F.count_if(present).alias("present"), F.avg(F.when(present, arousal)).alias("mean_arousal"))
     return out.where((F.col("all") >= least) & F.col("hour").isNotNull()).select("hour", "all", "present", (F.col("present") / F.col("all")).alias("present_rate"), "mean_arousal")
 

@@ -69,7 +69,8 @@ def adequacy(rows: DataFrame, split: str, label: str, group: str) -> DataFrame:
 
 
 def greedy_keep(rows: DataFrame, group: str, key: str, vector: str, threshold: float) -> DataFrame:
-    """Rows of each group, in key order, whose cosine with every kept one is below the threshold. Groups are the clips of one video."""
+    """Rows of each group, in key order, whose cosine with every kept one is below the threshold. Groups are the clips of one
+    video; a block of rows meets the kept ones in one matrix product."""
     import numpy as np
     import pandas as pd
 
@@ -77,18 +78,32 @@ def greedy_keep(rows: DataFrame, group: str, key: str, vector: str, threshold: f
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        kept, held = [], []
-        for k, v in zip(pdf[key], pdf[vector], strict=True):
-            v = np.asarray(v, float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            if not held or max(float(v @ u) for u in held) < threshold:
-                kept.append(k)
-                held.append(v)
-        return pdf[pdf[key].isin(kept)][[group, key]]
+        v = np.stack([np.asarray(x, float) for x in pdf[vector]])
+        v /= np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+        kept: list[int] = []
+        for lo in range(0, len(v), 512):
+            block = v[lo : lo + 512]
+            far = (block @ v[kept].T).max(axis=1) < threshold if kept else np.ones(len(block), bool)
+            among = block @ block.T
+            own: list[int] = []
+            for i in np.flatnonzero(far):
+                if not own or among[i, own].max() < threshold:
+                    own.append(int(i))
+            kept += [lo + i for i in own]
+        return pdf.iloc[kept][[group, key]]
 
     return rows.select(group, key, vector).groupBy(group).applyInPandas(keep, schema)
 
 
+def greedy_keep_overall(rows: DataFrame, group: str, key: str, vector: str, within: float, overall: float, most: int) -> DataFrame:
+    """:func:`greedy_keep` within groups, then over what is left of all groups, in key order, until ``most`` rows are kept (a stated
+    sample size; the second pass is one sequence by definition)."""
+    few = greedy_keep(rows, group, key, vector, within)
+    left = rows.join(few, [group, key], "left_semi").withColumn("__all", F.lit(1))
+    kept = greedy_keep(left, "__all", key, vector, overall).orderBy(key).limit(most)
+    return left.join(kept.select(key), key, "left_semi").select(group, key)
+
+
 def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, threshold: float) -> DataFrame:
     """Pairs of one group (the clips of one video) with at least that cosine."""
     from kelpline.functions.scalars import dot, unit
@@ -96,3 +111,10 @@ def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, threshold:
     u = rows.select(group, F.col(key), unit(F.col(vector)).alias("v"))
     a, b = u.select(group, F.col(key).alias("a"), F.col("v").alias("va")), u.select(group, F.col(key).alias("b"), F.col("v").alias("vb"))
     return a.join(b, group).where("a < b").select(group, "a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= threshold)
+
+
+def union_keys(parts: list[DataFrame], key: str) -> DataFrame:
+    """Keys of any part, once."""
+    from functools import reduce
+
+    return reduce(DataFrame.union, [p.select(key) for p in parts]).distinct()

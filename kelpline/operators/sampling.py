@@ -64,8 +64,8 @@ def best_in_order(rows: DataFrame, group: str, score: str, order: str, k: int) -
 
 
 def shard(rows: DataFrame, order: str, shards: int) -> DataFrame:
-    """Shard number by a hash of the key; balanced, and without a global order."""
-    return rows.withColumn("shard", F.pmod(F.col(order), F.lit(shards)).cast("int"))
+    """Shard number by the key's MD5; balanced, and without a global order."""
+    return rows.withColumn("shard", md5_modulus(F.col(order).cast("string"), shards).cast("int"))
 
 
 def upsampled(rows: DataFrame, label: str, key: str, *, power: float = 0.5, cap: float = 4.0, seed: str = "up") -> DataFrame:
@@ -95,3 +95,35 @@ def resume_position(rows: DataFrame, index: str, done: Column) -> DataFrame:
     last = rows.agg(F.coalesce(F.max(F.when(done, F.col(index))), F.lit(-1)).alias("last"))
     both = rows.where(~done).crossJoin(F.broadcast(last))  # one row
     return both.agg(F.coalesce(F.min(F.when(F.col(index) > F.col("last"), F.col(index))), F.min(index)).alias("position"))
+
+
+def water_filled(rows: DataFrame, label: str, key: str, budget: int, seed: str = "w") -> DataFrame:
+    """At most ``budget`` rows, classes as even as their sizes allow: all of a small class, a common level for the others.
+
+    The level is found over one row a class; rows are ranked within classes by a hash of the key.
+    """
+    counts = rows.groupBy(label).agg(F.count("*").alias("__n"))
+    order = Window.orderBy("__n", label)
+    smaller = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.count("*").over(Window.partitionBy()) - F.row_number().over(order) + 1
+    level = F.floor((budget - smaller) / left)  # what each of the classes from here on may have, if the smaller ones are whole
+    open_ = counts.withColumns({"__level": level, "__whole": F.col("__n") <= level})
+    top = open_.agg(F.max(F.when(~F.col("__whole"), F.col("__level"))).alias("__top"))  # one row
+    quota = open_.crossJoin(top).select(label, F.least(F.col("__n"), F.coalesce("__top", F.col("__n"))).alias("__quota"))
+    placed = rows.join(quota, label).withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(shuffled(F.col(key), seed), key)))
+    return placed.where(F.col("__r") <= F.col("__quota")).drop("__r", "__quota")
+
+
+def random_rows(rows: DataFrame, key: str, k: int, seed: str = "s") -> DataFrame:
+    """k rows, by a hash of the key: each task keeps its k least."""
+    return rows.orderBy(shuffled(F.col(key), seed), key).limit(k)
+
+
+def held_out(rows: DataFrame, video: str, holdout: DataFrame) -> DataFrame:
+    """``held``: whether a row's video is in a frozen set."""
+    frozen = holdout.select(video).distinct().withColumn("held", F.lit(True))
+    return rows.join(frozen, video, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def of_split(rows: DataFrame, split: str, wanted: str) -> DataFrame:
+    return rows.where(F.col(split) == wanted)

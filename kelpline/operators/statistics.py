@@ -11,15 +11,21 @@ def auc(rows: DataFrame, score: str, positive: Column, groups: list[str] | None
     """Rank AUC with mid-ranks, null without both kinds.
 
     Scores are counted first, so ties cost nothing and what is ranked is one
-    row a distinct score; running sums over those give the mid-ranks. Only
-    where there are no ``groups`` do the distinct scores meet in one ordering.
+    row a distinct score. With ``groups`` running sums go over a group's
+    scores; without, over ranges of scores (:func:`ranked_by_range`), so no
+    task orders them all.
     """
-    groups = groups or []
-    counts = rows.groupBy(*groups, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    before = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    sums = below.groupBy(*groups).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
-    return sums.select(*groups, "n_pos", "n_neg", (F.col("won") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"))
+    counts = rows.groupBy(*(groups or []), score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    if groups:
+        before = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        below = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        won = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
+        sums = below.groupBy(*groups).agg(won.alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    else:
+        ranked = counts.join(ranked_by_range(rows.where(positive.isNotNull()), score).select(score, "rank"), score)
+        n1 = F.sum("p").cast("double")
+        sums = ranked.agg((F.sum(F.col("p") * F.col("rank")) - n1 * (n1 + 1) / 2).alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    return sums.select(*(groups or []), "n_pos", "n_neg", (F.col("won") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"))
 
 
 def fp_at_recall(rows: DataFrame, score: str, positive: Column, recall: float) -> DataFrame:
@@ -132,10 +138,8 @@ def bootstrap_auc(rows: DataFrame, cluster: str, score: str, positive: Column, i
 
 def kruskal_h(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Kruskal-Wallis H (without tie correction) and its epsilon squared."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("c"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(value, (F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2.0).alias("rank"))
-    sums = rows.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
+    ranks = ranked_by_range(rows, value)
+    sums = rows.groupBy(group, value).agg(F.count("*").alias("g")).join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum(F.col("g") * F.col("rank")).alias("r"), F.sum("g").alias("n"))
     total = sums.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k"))
     n = F.col("n").cast("double")
     h = 12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
@@ -182,3 +186,172 @@ def by_subset(rows: DataFrame, subsets: dict[str, Column], value: str) -> DataFr
     """n and mean of a value by subset; a row counts in every subset it belongs to."""
     member = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in subsets.items()]))
     return rows.select(F.col(value), F.explode(member).alias("subset")).groupBy("subset").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+# --- agreement of many raters, tests, verdicts ---------------------------------------
+
+
+def fleiss_kappa(ratings: DataFrame, item: str, label: str) -> DataFrame:
+    """Fleiss' kappa over items with the same number of raters (two or more): the commonest number counts, ``left_out`` says how
+    many items have another one. Null where chance agreement is 1."""
+    counts = ratings.groupBy(item, label).agg(F.count("*").alias("c"))
+    items = counts.groupBy(item).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    sizes = items.where("n > 1").groupBy("n").agg(F.count("*").alias("items"), F.sum((F.col("squares") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("agreed"))
+    chosen = sizes.agg(F.max_by(F.struct("n", "items", "agreed"), F.struct("items", "n")).alias("x"), F.sum("items").alias("every")).select("x.*", "every")
+    kept = counts.join(items.select(item, "n"), item).join(chosen.select("n"), "n")  # one row: the number of raters
+    shares = kept.groupBy(label).agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c").cast("double")).alias("s"), F.sum("c").alias("t"))
+    both = chosen.crossJoin(shares)  # one row each
+    pe, po = F.col("s") / (F.col("t") * F.col("t").cast("double")), F.col("agreed") / F.col("items")
+    return both.select(F.col("n").alias("raters"), "items", (F.col("every") - F.col("items")).alias("left_out"), po.alias("po"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
+
+
+def bootstrap_difference(rows: DataFrame, arm: Column, cluster: str, value: str, iterations: int, seed: str) -> DataFrame:
+    """Difference of two arms' means (arm true less arm false), each arm's clusters drawn by themselves; draws without an arm are skipped."""
+    sums = rows.groupBy(arm.alias("arm"), cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    named = sums.withColumn("__c", F.concat_ws("/", F.col("arm").cast("string"), F.col(cluster).cast("string")))
+    drawn = named.join(multiplicities(named.select("__c"), "__c", iterations, seed), "__c")
+    mean = lambda on: F.sum(F.when(on, F.col("m") * F.col("s"))) / F.nullif(F.sum(F.when(on, F.col("m") * F.col("n"))), F.lit(0))
+    each = drawn.groupBy("iteration").agg((mean(F.col("arm")) - mean(~F.col("arm"))).alias("d")).where("d IS NOT NULL")
+    out = each.agg(F.count("*").alias("iterations"), F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
+    return out.withColumn("includes_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
+
+
+def drawn_clusters(clusters: DataFrame, cluster: str, iterations: int, seed: str) -> DataFrame:
+    """(iteration, cluster, m): as many draws with replacement as there are clusters, each draw by a hash of its number.
+
+    Clusters are numbered once (one row each); a draw picks a number, so the n draws of an iteration are spread like any rows.
+    """
+    numbered = clusters.select(cluster).distinct().withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), F.col(cluster).cast("string"))))
+    every = Window.partitionBy().orderBy("__h", cluster)
+    numbered = numbered.select(cluster, (F.row_number().over(every) - 1).alias("__i"))
+    n = numbered.agg(F.count("*").alias("__n"))  # one row
+    draws = n.select("__n", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")).where("__n > 0")
+    draws = draws.select("iteration", "__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "iteration", "__k")), 1, 12), 16, 10).cast("double") / 2.0**48
+    picked = draws.select("iteration", F.floor(u * F.col("__n")).cast("int").alias("__i")).groupBy("iteration", "__i").agg(F.count("*").alias("m"))
+    return picked.join(numbered, "__i").select("iteration", cluster, "m")
+
+
+def resampled_mean(rows: DataFrame, cluster: str, value: str, iterations: int = 5000, seed: str = "r") -> DataFrame:
+    """Cluster bootstrap of a mean with whole resamples of the clusters."""
+    sums = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    drawn = drawn_clusters(sums, cluster, iterations, seed).join(sums, cluster)
+    each = drawn.groupBy("iteration").agg((F.sum(F.col("m") * F.col("s")) / F.nullif(F.sum(F.col("m") * F.col("n")), F.lit(0))).alias("x")).where("x IS NOT NULL")
+    return each.agg(F.count("*").alias("iterations"), F.avg("x").alias("estimate"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
+
+
+def tip_scores(frames: DataFrame, hits: str, predicted: str, truth: str) -> DataFrame:
+    """Mean precision, recall and F1 over frames. Nothing predicted: precision 1 where there is nothing to find, else 0;
+    nothing to find: recall 1."""
+    share = lambda of, none: F.when(F.col(of) > 0, F.col(hits) / F.col(of)).otherwise(none)
+    p = share(predicted, F.when(F.col(truth) == 0, 1.0).otherwise(0.0))
+    r = share(truth, F.lit(1.0))
+    f1 = F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
+    return frames.agg(F.count("*").alias("frames"), F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f1).alias("f1"))
+
+
+def seed_report(runs: DataFrame, config: str, metric: str) -> DataFrame:
+    """By configuration: seeds, mean and population deviation over them."""
+    return runs.groupBy(config).agg(F.count("*").alias("seeds"), F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"))
+
+
+def seed_verdict(runs: DataFrame, config: str, baseline: str, val: str, test: str) -> DataFrame:
+    """The configuration of the best mean on validation, its gain over the baseline on test, and whether that exceeds the
+    baseline's deviation over seeds."""
+    by = runs.groupBy(config).agg(F.avg(val).alias("val"), F.avg(test).alias("test"), F.stddev_pop(test).alias("std"))
+    best = by.agg(F.min(F.struct((-F.col("val")).alias("r"), F.col(config).alias("winner"), "test")).alias("b")).select("b.winner", F.col("b.test").alias("winner_test"))
+    base = by.where(F.col(config) == baseline).select(F.col("test").alias("baseline_test"), F.col("std").alias("seed_std"))
+    gain = F.col("winner_test") - F.col("baseline_test")
+    return best.crossJoin(base).select("winner", gain.alias("gain"), "seed_std", (gain > F.col("seed_std")).alias("beyond_seeds"))  # one row each
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """P(chi-square with df degrees > x), from the closed sums for half and whole degrees."""
+    import math
+
+    if x <= 0:
+        return 1.0
+    if df % 2:
+        total, term = math.erfc(math.sqrt(x / 2)), math.exp(-x / 2) * math.sqrt(2 * x / math.pi)
+        for k in range(3, df + 1, 2):
+            total, term = total + term, term * x / k
+        return min(total, 1.0)
+    total = term = math.exp(-x / 2)
+    for k in range(2, df, 2):
+        term *= x / k
+        total += term
+    return min(total, 1.0)
+
+
+def ranked_by_range(values: DataFrame, value: str, parts: int = 256) -> DataFrame:
+    """Mid-rank of each distinct value over all rows, without one task that orders them all: counts by value, sums by range of
+    values (bounds from a quantile sketch), running sums over the few ranges, and within each."""
+    counts = values.groupBy(value).agg(F.count("*").alias("c"))
+    bounds = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("b"))  # one row
+    placed = counts.crossJoin(bounds).withColumn("__p", F.size(F.filter("b", lambda b: b < F.col(value)))).drop("b")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("__p").agg(F.sum("c").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))  # ``parts`` rows
+    own = Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = placed.join(ranges, "__p").withColumn("below", F.col("__before") + F.coalesce(F.sum("c").over(own), F.lit(0)))
+    return below.select(value, "c", (F.col("below") + (F.col("c") + 1) / 2.0).alias("rank"))
+
+
+def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Kruskal-Wallis with tie correction: n, k, h, p and epsilon squared."""
+    ranks = ranked_by_range(rows, value)
+    counted = rows.groupBy(group, value).agg(F.count("*").alias("g"))
+    sums = counted.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum(F.col("g") * F.col("rank")).alias("r"), F.sum("g").alias("n"))
+    total = sums.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k"))
+    ties = ranks.agg(F.sum(F.pow(F.col("c").cast("double"), F.lit(3)) - F.col("c")).alias("t"))
+    n = F.col("n").cast("double")
+    raw = 12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
+    h = F.coalesce(raw / F.nullif(1 - F.col("t") / (n * n * n - n), F.lit(0.0)), F.lit(0.0))
+    out = total.crossJoin(ties).select("n", "k", h.alias("h"), (h / (n - 1)).alias("epsilon_squared"))  # one row each
+    tail = F.udf(lambda x, k: chi_square_tail(x, k - 1) if x is not None and k > 1 else None, "double")
+    return out.withColumn("p", tail("h", "k"))
+
+
+def holm(tests: DataFrame, p: str, name: str) -> DataFrame:
+    """Holm's adjusted p-values; a row is a test, of which there are few."""
+    order = Window.orderBy(p, name)
+    m = F.count("*").over(Window.partitionBy())
+    scaled = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p))
+    return tests.withColumn("__s", scaled).withColumn("p_holm", F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
+
+
+def sign_test(rows: DataFrame, delta: Column, groups: list[str] | None = None) -> DataFrame:
+    """Two-sided sign test: n without zeros, positives, p."""
+
+    def two_sided(k: int, n: int) -> float:
+        import math
+
+        if not n:
+            return 1.0
+        low = min(k, n - k)
+        log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(low + 1)]
+        return min(1.0, 2 * sum(map(math.exp, log)))
+
+    out = rows.groupBy(*(groups or [])).agg(F.count_if(delta != 0).alias("n"), F.count_if(delta > 0).alias("positives"))
+    return out.withColumn("p", F.udf(two_sided, "double")("positives", "n"))
+
+
+def day_interval(rows: DataFrame, day: str, value: str, iterations: int, seed: str) -> DataFrame:
+    """Interval of a mean with days as clusters."""
+    return bootstrap_mean(rows, day, value, iterations, seed)
+
+
+def costs(calls: DataFrame, group: str, cost: str, seconds: str) -> DataFrame:
+    """By group: calls, sum of costs (null as 0), cost a call and calls a minute."""
+    out = calls.groupBy(group).agg(F.count("*").alias("calls"), F.sum(F.coalesce(cost, F.lit(0.0))).alias("cost"), F.sum(F.coalesce(seconds, F.lit(0.0))).alias("seconds"))
+    return out.select(group, "calls", "cost", (F.col("cost") / F.col("calls")).alias("per_call"), F.try_divide(F.col("calls") * 60.0, F.col("seconds")).alias("per_minute"))
+
+
+def adequacy_table(cells: DataFrame, row: str, column: str, columns: list[str]) -> DataFrame:
+    """Rows by columns of "clips/videos" cells, "0/0" where there is nothing."""
+    text = F.concat_ws("/", F.col("clips").cast("string"), F.col("videos").cast("string"))
+    return cells.groupBy(row).agg(*[F.coalesce(F.max(F.when(F.col(column) == c, text)), F.lit("0/0")).alias(c) for c in columns])
+
+
+def means(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Mean of several metrics over clips."""
+    return rows.groupBy(*key).agg(*[F.avg(c).alias(c) for c in columns])

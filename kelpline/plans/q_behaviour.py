@@ -100,12 +100,12 @@ def soft_targets(spark, d):
     return rounded(V.soft_target(counts, "clip", "label", "n", list(LABELS)), *LABELS)
 
 
-@query(f"""WITH {OBS}, a AS (SELECT clip, count(*) AS passes, count(*) FILTER (label = 'error') AS ab FROM o WHERE seq % 17 < 3 GROUP BY clip),
-c AS (SELECT clip, ab, passes, count(*) FILTER (label = 'click') AS click, count(*) FILTER (label = 'view') AS "view" FROM o JOIN a USING (clip) WHERE seq % 17 < 3 GROUP BY ALL),
+@query(f"""WITH {OBS}, a AS (SELECT clip, count(*) AS passes, count(*) FILTER (label = 'error') AS ab FROM o GROUP BY clip),
+c AS (SELECT clip, ab, passes, count(*) FILTER (label = 'click') AS click, count(*) FILTER (label = 'view') AS "view" FROM o JOIN a USING (clip) GROUP BY ALL),
 s AS (SELECT *, ab / passes::DOUBLE AS sh, click + "view" AS sp FROM c), w AS (SELECT *, sh + CASE WHEN sp > 0 THEN 1 - sh ELSE 0 END AS whole FROM s)
 SELECT clip, round(sh / whole, 6) AS error, round(CASE WHEN sp > 0 THEN (1 - sh) * click / sp ELSE 0 END / whole, 6) AS click, round(CASE WHEN sp > 0 THEN (1 - sh) * "view" / sp ELSE 0 END / whole, 6) AS "view" FROM w WHERE whole > 0""")
 def soft_targets_absent(spark, d):
-    rows = observations(spark, d).where(F.col("seq") % 17 < 3)
+    rows = observations(spark, d)
     totals = rows.groupBy("clip").agg(F.count("*").alias("passes"), F.count_if(F.col("label") == "error").alias("absent"))
     counts = rows.groupBy("clip", "label").agg(F.count("*").alias("n")).join(totals, "clip")
     out = V.soft_target_absent(counts, "clip", "label", "n", "error", ["error", "click", "view"], "absent", "passes")

@@ -10,7 +10,7 @@ from kelpline.plans.catalogue import OBS, observations, query, rounded, table
 
 LEDGER = """src AS (SELECT o_orderkey, o_custkey AS url, CASE o_orderpriority WHEN '1-URGENT' THEN 'clips' WHEN '2-HIGH' THEN 'scanned_empty' WHEN '3-MEDIUM' THEN 'probed_empty' WHEN '5-LOW' THEN 'failed' ELSE 'odd' END AS status,
 CAST(o_orderkey % 5 AS INTEGER) AS n_clips, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 900 AS INTEGER) END AS scanned_sec FROM orders),
-pick AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS old FROM src WHERE o_orderkey % 6 < 2 OR o_orderkey % 11 = 0),
+pick AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS old FROM src),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url, old ORDER BY o_orderkey) AS r FROM pick) WHERE r = 1),
 ranked AS (SELECT *, CASE status WHEN 'clips' THEN 3 WHEN 'scanned_empty' THEN 2 WHEN 'probed_empty' THEN 1 WHEN 'failed' THEN 0 ELSE -1 END AS rk FROM one),
 best AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rk DESC, coalesce(n_clips, 0) DESC, coalesce(scanned_sec, 0) DESC, old DESC) AS b, max(old) OVER (PARTITION BY url) AS had FROM ranked),
@@ -23,7 +23,7 @@ def _merged(spark, d):
     status = F.lit("odd")
     for k, v in names.items():
         status = F.when(F.col("o_orderpriority") == k, v).otherwise(status)
-    rows = table(spark, d, "orders").where((key % 6 < 2) | (key % 11 == 0))
+    rows = table(spark, d, "orders")
     rows = rows.select(key, F.col("o_custkey").alias("url"), status.alias("status"), (key % 5).cast("int").alias("n_clips"), F.when(key % 3 != 0, (key % 900).cast("int")).alias("scanned_sec"), (key % 2 == 0).alias("old"))
     one = M.first_seen(rows, ["url", "old"], ["o_orderkey"]).drop("o_orderkey")
     old, new = one.where("old").drop("old"), one.where("NOT old").drop("old")
@@ -46,13 +46,13 @@ def dedup_first_seen(spark, d):
     return M.first_seen(rows, ["l_partkey", "l_suppkey", "l_returnflag"], ["l_orderkey", "l_linenumber", "l_extendedprice"]).drop("l_extendedprice")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber > 5)
+@query("""WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'N'), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
 SELECT *, 'rebuilt' AS origin FROM a UNION ALL SELECT *, 'orphan' FROM b WHERE (l_partkey, l_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM a)""")
 def rebuild_with_orphans(spark, d):
     lines = table(spark, d, "lineitem")
     keys = ["l_partkey", "l_suppkey"]
-    a = lines.where("l_linenumber = 1").select(*keys).distinct().withColumn("origin", F.lit("rebuilt"))
-    b = lines.where("l_linenumber > 5").select(*keys).distinct().withColumn("origin", F.lit("orphan"))
+    a = lines.where("l_returnflag <> 'N'").select(*keys).distinct().withColumn("origin", F.lit("rebuilt"))
+    b = lines.select(*keys).distinct().withColumn("origin", F.lit("orphan"))
     return M.with_orphans(a, b, keys)
 
 
@@ -140,7 +140,8 @@ def frame_draw(spark, d):
     return grid.select("n", "p", frames.alias("frames"))
 
 
-@query("SELECT CAST(doc_id % 4 AS INTEGER) AS shard, count(*) AS n FROM documents GROUP BY 1")
+@query("""WITH h AS (SELECT md5(CAST(doc_id AS VARCHAR)) AS m FROM documents)
+SELECT CAST(('0x' || substr(m, 25, 8))::BIGINT % 4 AS INTEGER) AS shard, count(*) AS n FROM h GROUP BY 1""")
 def shard_assignment(spark, d):
     return S.shard(table(spark, d, "documents").select("doc_id"), "doc_id", 4).groupBy("shard").agg(F.count("*").alias("n"))
 
@@ -164,10 +165,12 @@ def next_version(spark, d):
     return S.next_version(table(spark, d, "nation").select(F.concat(F.lit("v"), F.when(key % 5 == 0, "x").otherwise(key.cast("string"))).alias("name")), "name")
 
 
-@query("""WITH r AS (SELECT doc_id, doc_id % 7 = 3 AND doc_id < 500 AS done FROM documents), l AS (SELECT coalesce(max(doc_id) FILTER (done), -1) AS last FROM r)
+@query("""WITH r AS (SELECT doc_id, EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND quality = 1) AS done FROM documents), l AS (SELECT coalesce(max(doc_id) FILTER (done), -1) AS last FROM r)
 SELECT coalesce(min(doc_id) FILTER (doc_id > last), min(doc_id)) AS position FROM r, l WHERE NOT done""")
 def resume_position(spark, d):
-    return S.resume_position(table(spark, d, "documents").select("doc_id"), "doc_id", (F.col("doc_id") % 7 == 3) & (F.col("doc_id") < 500))
+    done = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct().withColumn("done", F.lit(True))
+    rows = table(spark, d, "documents").select("doc_id").join(done, "doc_id", "left")
+    return S.resume_position(rows, "doc_id", F.coalesce("done", F.lit(False)))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -191,11 +194,11 @@ def common_to_all(spark, d):
     return M.complete(rows, "p_partkey", "l_returnflag", 3).select("p_partkey")
 
 
-@query("""WITH a AS (SELECT DISTINCT source, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS side FROM documents WHERE doc_id < 40), c AS (SELECT source, min(side) AS side FROM a GROUP BY source), b AS (SELECT DISTINCT source FROM documents)
+@query("""WITH c AS (SELECT source, min(CASE WHEN toxic = 1 THEN 'test' ELSE 'train' END) AS side FROM documents JOIN labels USING (doc_id) GROUP BY source), b AS (SELECT DISTINCT source FROM documents)
 SELECT source, coalesce(c.side, 'train') AS side FROM b LEFT JOIN c USING (source)""")
 def forced_split(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    forced = docs.where("doc_id < 40").groupBy("source").agg(F.min(F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test")).alias("side"))
+    forced = docs.join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.min(F.when(F.col("toxic") == 1, "test").otherwise("train")).alias("side"))
     return docs.select("source").distinct().join(forced, "source", "left").select("source", F.coalesce("side", F.lit("train")).alias("side"))
 
 

@@ -202,18 +202,23 @@ def pooled_features(spark, d):
     return rounded(X.pooled(rows, "label", "v").withColumnRenamed("d", "d"), "mean", "std", "max", places=5)
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e WHERE vec_id % 3 <> 0)
-SELECT vec_id, round((a - ma) / (sa + 1e-6::DOUBLE), 5) AS z_a, round((b - mb) / (sb + 1e-6::DOUBLE), 5) AS z_b FROM e, s""")
+_DIMS = range(64)
+
+
+@query("WITH s AS (SELECT " + ", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS m{i}, stddev_pop(embedding[{i + 1}]::DOUBLE) AS s{i}" for i in _DIMS) + " FROM embeddings WHERE label <> 0) SELECT vec_id, "
+       + ", ".join(f"round((embedding[{i + 1}]::DOUBLE - m{i}) / (s{i} + 1e-6::DOUBLE), 5) AS z_d{i}" for i in _DIMS) + " FROM embeddings, s")
 def standardised(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
-    return rounded(X.standardised(rows, F.col("vec_id") % 3 != 0, ["a", "b"]).select("vec_id", "z_a", "z_b"), "z_a", "z_b", places=5)
+    """Every dimension, by the statistics of all labels but one."""
+    names = [f"d{i}" for i in _DIMS]
+    rows = table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(n) for i, n in zip(_DIMS, names, strict=True)])
+    zs = [f"z_{n}" for n in names]
+    return rounded(X.standardised(rows, F.col("label") != 0, names).select("vec_id", *zs), *zs, places=5)
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: exp(x::DOUBLE)) AS e, list_position(embedding[1:5], list_max(embedding[1:5])) - 1 AS top FROM embeddings)
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e, list_position(embedding, list_max(embedding)) - 1 AS top FROM embeddings)
 SELECT vec_id, CAST(top AS INTEGER) AS top, round(e[1] / list_sum(e), 6) AS p0 FROM e""")
 def softmax_top(spark, d):
-    five = F.slice("embedding", 1, 5)
-    rows = table(spark, d, "embeddings").select("vec_id", C.first_maximum(five).alias("top"), F.get(C.softmax(F.transform(five, lambda x: x.cast("double"))), 0).alias("p0"))
+    rows = table(spark, d, "embeddings").select("vec_id", C.first_maximum(F.col("embedding")).alias("top"), F.get(C.softmax(F.transform("embedding", lambda x: x.cast("double"))), 0).alias("p0"))
     return rounded(rows, "p0")
 
 

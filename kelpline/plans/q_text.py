@@ -87,10 +87,10 @@ def class_remap(spark, d):
     return rows.join(F.broadcast(sheet), "old", "left").select("doc_id", F.coalesce("new", "old").alias("label"))
 
 
-@query("""SELECT d, n_nationkey AS camera FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) , nation WHERE n_nationkey < 4""")
+@query("""SELECT d, n_nationkey AS camera FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), nation""")
 def candidate_listing(spark, d):
     dates = table(spark, d, "events").select(F.col("ts").cast("date").alias("d")).distinct()
-    return candidates(dates, table(spark, d, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").alias("camera")))
+    return candidates(dates, table(spark, d, "nation").select(F.col("n_nationkey").alias("camera")))
 
 
 @query("SELECT count(*) AS files, sum(length(html)) AS chars, sum(length(html)) * 1.15::DOUBLE <= 1e12 AS fits FROM pages")

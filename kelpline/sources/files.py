@@ -26,7 +26,7 @@ def jsonl(spark: SparkSession, path: str, schema: StructType, key: str, order: s
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
     text = spark.read.text(path)
     parsed = text.where(F.trim("value") != "").select("value", F.from_json("value", full, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
-    good = F.col("r._corrupt").isNull() & F.col(f"r.{key}").isNotNull() & (F.col(f"r.{key}") != "")
+    good = F.col("r._corrupt").isNull() & F.col(f"r.{key}").isNotNull() & (F.col(f"r.{key}").cast("string") != "")
     rows = parsed.where(good).select("r.*").drop("_corrupt")
     data = F.struct(*[c for c in rows.columns if c != key])
     last = rows.groupBy(key).agg(F.max_by(data, order).alias("row")).select(key, "row.*")
@@ -44,11 +44,17 @@ def passes(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected lines) of CSV with a header that names the schema's columns, one record a line."""
+    """(rows, rejected records) of CSV files with a header each; quoted fields may hold line breaks. A data record equal to the
+    header stays."""
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
-    lines = spark.read.text(path).where((F.trim("value") != "") & (F.col("value") != ",".join(schema.names)))
-    parsed = lines.select("value", F.from_csv("value", full.simpleString()[7:-1].replace(":", " "), {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
-    return parsed.where("r._corrupt IS NULL").select("r.*").drop("_corrupt"), parsed.where("r._corrupt IS NOT NULL").select("value")
+    rows = spark.read.schema(full).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
+    return rows.where("_corrupt IS NULL").drop("_corrupt"), rows.where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("value"))
+
+
+def valid_files(files: DataFrame, least_bytes: int = 10_000, frames: str | None = None, least_frames: int = 37) -> DataFrame:
+    """Files of some size and, where their frames were counted, of enough of those."""
+    kept = files.where(F.col("length") > least_bytes)
+    return kept if frames is None else kept.where(F.col(frames) >= least_frames)
 
 
 def listing(spark: SparkSession, roots: list[str], pattern: str = "*", least_bytes: int = 0) -> DataFrame:
@@ -65,7 +71,7 @@ def listing(spark: SparkSession, roots: list[str], pattern: str = "*", least_byt
 
 
 def arrays(spark: SparkSession, path: str) -> DataFrame:
-    """``.npy`` files as rows: path, shape, values (row-major)."""
+    """``.npy`` files, and the members of ``.npz`` archives, as rows: path, name (empty for .npy), shape, values (row-major)."""
     import io
     from collections.abc import Iterator
 
@@ -74,11 +80,36 @@ def arrays(spark: SparkSession, path: str) -> DataFrame:
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [np.load(io.BytesIO(b), allow_pickle=False) for b in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "shape": [list(a.shape) for a in got], "values": [a.astype(np.float32).ravel() for a in got]})
+            for p, b in zip(pdf["path"], pdf["content"], strict=True):
+                got = np.load(io.BytesIO(b), allow_pickle=False)
+                own = {k: got[k] for k in got.files} if p.endswith(".npz") else {"": got}
+                yield pd.DataFrame({"path": [p] * len(own), "name": list(own), "shape": [list(a.shape) for a in own.values()], "values": [a.astype(np.float32).ravel() for a in own.values()]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.np[yz]").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(load, "path string, name string, shape array<int>, values array<float>")
+
+
+def packed(features: DataFrame, key: str, vector: str, half: bool = True) -> DataFrame:
+    """key, dims, data: vectors as little-endian bytes, 16-bit floats unless ``half`` is off; write it as Parquet."""
+    import numpy as np
+
+    def pack(batches):
+        for pdf in batches:
+            own = [np.asarray(v, "<f2" if half else "<f4") for v in pdf[vector]]
+            yield pdf[[key]].assign(dims=[len(v) for v in own], data=[v.tobytes() for v in own])
+
+    return features.select(key, vector).mapInPandas(pack, f"{key} {features.schema[key].dataType.simpleString()}, dims int, data binary")
+
+
+def unpacked(rows: DataFrame, key: str, half: bool = True) -> DataFrame:
+    """key, values of packed vectors."""
+    import numpy as np
+
+    def unpack(batches):
+        for pdf in batches:
+            yield pdf[[key]].assign(values=[np.frombuffer(b, "<f2" if half else "<f4").astype(np.float32) for b in pdf["data"]])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
-    return files.select("path", "content").mapInPandas(load, "path string, shape array<int>, values array<float>")
+    return rows.select(key, "data").mapInPandas(unpack, f"{key} {rows.schema[key].dataType.simpleString()}, values array<float>")
 
 
 def links(html: Column, prefix: str = "") -> Column:
@@ -86,26 +117,52 @@ def links(html: Column, prefix: str = "") -> Column:
     return F.regexp_extract_all(html, F.lit(prefix + r'href="([^"?][^"]*)"'), F.lit(1))
 
 
+def crawled(listings: DataFrame, fetch, url: str, depth: int) -> DataFrame:
+    """url, level of everything below the listings' urls, ``depth`` levels down. ``fetch`` takes a url and returns its HTML (the
+    caller's client; a fixture in tests); a level is one pass over the level above, in parallel."""
+    import pandas as pd
+
+    pull = F.pandas_udf(lambda us: pd.Series([fetch(u) for u in us]), "string")
+    level = listings.select(F.col(url).alias("url"), F.lit(0).alias("level"))
+    out = level
+    for k in range(1, depth + 1):
+        found = level.where(F.col("url").endswith("/")).select("url", F.explode(links(pull("url"))).alias("href")).where(~F.col("href").startswith("/") & (F.col("href") != "../"))
+        level = found.select(F.concat("url", "href").alias("url"), F.lit(k).alias("level"))
+        out = out.unionByName(level)
+    return out
+
+
 def candidates(dates: DataFrame, cameras: DataFrame) -> DataFrame:
     """Every date with every camera: two dimension tables."""
     return dates.crossJoin(F.broadcast(cameras))
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then swaps by renames: a reader sees the old table or the new one."""
+    """Writes a new version beside the table, then swaps it in. What died in between is mended by the next call: an old
+    version without a new one in place is put back first, so one good copy exists at all times."""
+    import uuid
+
     spark = df.sparkSession
-    staged, old = f"{path}.staged", f"{path}.old"
-    df.write.mode("overwrite").parquet(staged)
-    jvm = spark._jvm
-    make = jvm.org.apache.hadoop.fs.Path
-    target = make(path)
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    target, old, staged = make(path), make(f"{path}.old"), f"{path}.staged-{uuid.uuid4().hex}"
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(make(old), True)
-    if fs.exists(target):
-        fs.rename(target, make(old))
+    if fs.exists(old) and not fs.exists(target) and not fs.rename(old, target):
+        raise OSError(f"could not put {path}.old back")
+    df.write.parquet(staged)  # may read the table itself
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"could not set {path} aside")
     if not fs.rename(make(staged), target):
+        fs.rename(old, target)
         raise OSError(f"could not put {staged} in place")
-    fs.delete(make(old), True)
+    fs.delete(old, True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table, or its old version where a swap was cut off between its two renames."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    there = make(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(make(path))
+    return spark.read.parquet(path if there else f"{path}.old")
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -117,8 +174,12 @@ def replace_tag(df: DataFrame, path: str, tag: str = "tag") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tag).parquet(path)
 
 
-def envelope(df: DataFrame, description: str, name: str) -> DataFrame:
-    """One JSON text with a description, the count and the rows: for exports of small results."""
+def envelope(df: DataFrame, description: str, name: str, most: int = 1_000_000) -> DataFrame:
+    """One JSON text with a description, the count and the rows: an export format for one reader. More than ``most`` rows are an
+    error (write the table instead); none are left out."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows: too many for one JSON text")
     rows = F.collect_list(F.struct(*df.columns))
     return df.agg(F.to_json(F.struct(F.lit(description).alias("description"), F.count("*").alias(f"n_{name}"), rows.alias(name))).alias("json"))
 
@@ -129,8 +190,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*plain).write.mode("overwrite").csv(path, header=True)
 
 
-def latex(df: DataFrame, caption: str) -> str:
+def _small(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: not a table to print")
+    return rows
+
+
+def html(df: DataFrame, title: str, bar: str | None = None, most: int = 1000) -> str:
+    """A small result as an HTML table; the column ``bar`` (0 to 1) as a bar."""
+    from html import escape
+
+    def cell(name, v):
+        return f'<td><div style="width:{100 * (v or 0):.1f}%;background:#69c">&nbsp;</div></td>' if name == bar else f"<td>{'' if v is None else escape(str(v))}</td>"
+
+    head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+    body = "".join("<tr>" + "".join(cell(c, r[c]) for c in df.columns) + "</tr>" for r in _small(df, most))
+    return f"<h2>{escape(title)}</h2><table><tr>{head}</tr>{body}</table>"
+
+
+def latex(df: DataFrame, caption: str, most: int = 1000) -> str:
     """A small result as a LaTeX table."""
-    rows = [df.columns, *[["--" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in df.collect()]]
+    rows = [df.columns, *[["--" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in _small(df, most)]]
     body = " \\\\\n".join(" & ".join(x.replace("_", r"\_") for x in r) for r in rows)
     return f"\\begin{{table}}\n\\caption{{{caption}}}\n\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{body} \\\\\n\\end{{tabular}}\n\\end{{table}}\n"

@@ -26,6 +26,25 @@ def frames(files: DataFrame, decode: Callable[[bytes], Iterator[tuple[int, bytes
     return files.select(key, content).mapInPandas(run, f"{key} {kind}, t int, frame binary")
 
 
+def frames_at(rows: DataFrame, grab: Callable[[str, float], bytes | None], key: str, url: str, t: str) -> DataFrame:
+    """key, t, frame (null where none could be read) of single points in videos."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[key, t]].assign(frame=[grab(u, x) for u, x in zip(pdf[url], pdf[t], strict=True)])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, t)}
+    return rows.select(key, t, url).mapInPandas(run, f"{key} {kinds[key]}, {t} {kinds[t]}, frame binary")
+
+
+def even_times(seconds, fps: float):
+    """Times of frames drawn at ``fps``, from 0, as an array column: what an extraction to files covers."""
+    from pyspark.sql import functions as F
+
+    n = F.greatest(F.ceil(seconds * fps), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: i / fps)
+
+
 def scores(rows: DataFrame, load: Callable[[], Callable[[list], list[float]]], key: str, value: str) -> DataFrame:
     """key, score: a model loaded once a task, applied to whole batches."""
 

@@ -95,3 +95,75 @@ def attempts_open(cells: DataFrame, done: DataFrame, attempts: DataFrame, keys:
     """Cells neither done nor tried ``most`` times."""
     tried = attempts.groupBy(*keys).agg(F.count("*").alias("__n"))
     return cells.join(done.select(*keys).distinct(), keys, "left_anti").join(tried, keys, "left").where(F.coalesce("__n", F.lit(0)) < most).drop("__n")
+
+
+def sliding(events: DataFrame, time: str, by: str, value: str, *, width: str = "1 day", slide: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """Counts and sums by overlapping windows."""
+    w = F.window(time, width, slide)
+    return events.withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
+
+
+def differences(events: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """group, order, difference to the row before, over batches; 0 for a group's first. State: the last value."""
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (group, order)}
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(order)
+        v = rows[value].to_numpy(float)
+        before = [state.get[0] if state.exists else v[0], *v[:-1]]
+        state.update((float(v[-1]),))
+        yield pd.DataFrame({group: rows[group], order: rows[order], "difference": abs(v - before)})
+
+    return events.groupBy(group).applyInPandasWithState(advance, f"{group} {kinds[group]}, {order} {kinds[order]}, difference double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+class OutOfCredit(RuntimeError):
+    """The remote service takes no more calls: the run ends, what was saved stays."""
+
+
+def work_until_refused(todo, work, save, refused, *, most: int = 10) -> int:
+    """:func:`work_rounds`, but a round whose results hold a refusal (``refused`` is a condition on them) is saved and ends the run."""
+
+    def checked(rows: DataFrame) -> None:
+        rows = rows.persist()
+        try:
+            stop = not rows.where(refused).isEmpty()
+            save(rows.where(~refused))
+        finally:
+            rows.unpersist()
+        if stop:
+            raise OutOfCredit("the service refused further calls")
+
+    return work_rounds(todo, work, checked, most=most)
+
+
+def on_progress(spark: SparkSession, call):
+    """Calls ``call(name, batch, rows)`` after each micro-batch of any stream, until the returned listener is removed."""
+    from pyspark.sql.streaming.listener import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            call(event.progress.name, event.progress.batchId, event.progress.numInputRows)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    return listener
+
+
+def saved_batches(stream: DataFrame, save, commit, checkpoint: str) -> None:
+    """Each micro-batch is saved, then ``commit(batch_id)`` is called: after a failure between them the batch is saved again."""
+
+    def each(rows: DataFrame, batch: int) -> None:
+        save(rows, batch)
+        commit(batch)
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
