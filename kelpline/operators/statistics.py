@@ -139,7 +139,7 @@ def bootstrap_auc(rows: DataFrame, cluster: str, score: str, positive: Column, i
 def kruskal_h(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Kruskal-Wallis H (without tie correction) and its epsilon squared."""
     ranks = ranked_by_range(rows, value)
-    sums = rows.groupBy(group, value).agg(F.count("*").alias("g")).join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum(F.col("g") * F.col("rank")).alias("r"), F.sum("g").alias("n"))
+    sums = rows.groupBy(group, value).agg(F.count("*").alias("__g")).join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum(F.col("__g") * F.col("rank")).alias("r"), F.sum("__g").alias("n"))
     total = sums.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k"))
     n = F.col("n").cast("double")
     h = 12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
@@ -299,8 +299,8 @@ def ranked_by_range(values: DataFrame, value: str, parts: int = 256) -> DataFram
 def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Kruskal-Wallis with tie correction: n, k, h, p and epsilon squared."""
     ranks = ranked_by_range(rows, value)
-    counted = rows.groupBy(group, value).agg(F.count("*").alias("g"))
-    sums = counted.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum(F.col("g") * F.col("rank")).alias("r"), F.sum("g").alias("n"))
+    counted = rows.groupBy(group, value).agg(F.count("*").alias("__g"))
+    sums = counted.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum(F.col("__g") * F.col("rank")).alias("r"), F.sum("__g").alias("n"))
     total = sums.agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.count("*").alias("k"))
     ties = ranks.agg(F.sum(F.pow(F.col("c").cast("double"), F.lit(3)) - F.col("c")).alias("t"))
     n = F.col("n").cast("double")

@@ -231,7 +231,7 @@ def cosine_to_first(spark, d):
 
 @query()
 def linear_head(spark, d):
-    """A weighted linear classifier on frozen features; its accuracy is held in the tests."""
+    """A weighted linear classifier on frozen features. The labels of ``embeddings`` follow none of them: tests hold the head to its own rows, and to features that tell."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
