@@ -3,7 +3,8 @@
 The examples make a prefix tree with counts.  Its states are visited from the
 root; a state merges into an earlier one where the shares of strings that end
 there, and that go on with each symbol, agree within Hoeffding's bound, there
-and in all states below.  Symbols are classes of characters.
+and in all states below; of several such the one that makes its continuations
+likeliest.  Symbols are characters, or classes of them.
 """
 
 from __future__ import annotations
@@ -14,27 +15,28 @@ import numpy as np
 
 #: Character classes of a credential's format, in this order.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
-SYMBOLS = len(CLASSES)
 CLASS_OF = np.full(256, -1, np.int8)
 for _k, _chars in enumerate(CLASSES):
     for _c in _chars:
         CLASS_OF[ord(_c)] = _k
-_SIZE = np.array([len(c) for c in CLASSES])
-
-
-def symbols(text: str) -> np.ndarray:
-    return CLASS_OF[np.frombuffer(text.encode("latin-1"), np.uint8)]
+#: Each character of a token as a symbol of its own.
+CHARACTERS = "".join(CLASSES)
+CHARACTER_OF = np.full(256, -1, np.int8)
+for _k, _c in enumerate(CHARACTERS):
+    CHARACTER_OF[ord(_c)] = _k
 
 
 class Automaton:
-    """Log-probabilities by state and symbol; a last, shared state takes what no example showed."""
+    """Log-probabilities by state and symbol; a last, shared state takes what no example showed, or the first, with ``restart``."""
 
-    def __init__(self, examples: list[str], alpha: float = 0.05, longest: int = 64):
+    def __init__(self, examples: list[str], alpha: float = 0.05, of: np.ndarray = CLASS_OF, restart: bool = False):
+        self.restart = restart
+        self.of, self.symbols = of, int(of.max()) + 1
         self.count, self.final, self.next, self.passes = [0], [0], [{}], [{}]
         for text in examples:
             state = 0
             self.count[0] += 1
-            for s in symbols(text[:longest]).tolist():
+            for s in of[np.frombuffer(text.encode("latin-1"), np.uint8)].tolist():
                 child = self.next[state].get(s)
                 if child is None:
                     child = self.next[state][s] = len(self.count)
@@ -67,6 +69,12 @@ class Automaton:
                     todo.append((x, y))
         return True
 
+    def _likelihood(self, a: int, b: int) -> float:
+        """Of b's continuations and ends, as state a has them."""
+        total = self.count[a] + 0.1 * (self.symbols + 1)
+        out = self.final[b] * math.log((self.final[a] + 0.1) / total)
+        return out + sum(n * math.log((self.passes[a].get(s, 0) + 0.1) / total) for s, n in self.passes[b].items())
+
     def _fold(self, a: int, b: int) -> None:
         """Adds the tree below b to state a."""
         todo = [(a, b)]
@@ -89,11 +97,11 @@ class Automaton:
                 break
             fringe = max(owners, key=lambda q: (self.count[q], -q))
             parent, symbol = owners[fringe]
-            for r in red:
-                if self._alike(r, fringe):
-                    self.next[parent][symbol] = r
-                    self._fold(r, fringe)
-                    break
+            alike = [r for r in red if self._alike(r, fringe)]
+            if alike:
+                r = max(alike, key=lambda r: self._likelihood(r, fringe))
+                self.next[parent][symbol] = r
+                self._fold(r, fringe)
             else:
                 red.append(fringe)
         self.states = red
@@ -101,12 +109,12 @@ class Automaton:
     def _tables(self) -> None:
         place = {q: i for i, q in enumerate(self.states)}
         n = len(place)
-        self.step = np.full((n + 1, SYMBOLS), n, np.int32)
-        self.log_p = np.full((n + 1, SYMBOLS), math.log(0.02 / SYMBOLS))
+        self.step = np.full((n + 1, self.symbols), 0 if self.restart else n, np.int32)
+        self.log_p = np.full((n + 1, self.symbols), math.log(0.02 / self.symbols))
         self.log_end = np.full(n + 1, math.log(0.02))
         for q, i in place.items():
-            total = self.count[q] + 0.1 * (SYMBOLS + 1)
-            for s in range(SYMBOLS):
+            total = self.count[q] + 0.1 * (self.symbols + 1)
+            for s in range(self.symbols):
                 self.log_p[i, s] = math.log((self.passes[q].get(s, 0) + 0.1) / total)
                 if s in self.next[q]:
                     self.step[i, s] = place[self.next[q][s]]
@@ -114,7 +122,7 @@ class Automaton:
 
 
 def log_likelihoods(automata: list[Automaton], codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per string (rows of ``codes``, padded, longest first) the best automaton's log-likelihood of its classes."""
+    """Per string (rows of ``codes``, padded, longest first) the best automaton's log-likelihood of its symbols."""
     best = np.full(len(codes), -np.inf)
     for a in automata:
         state = np.zeros(len(codes), np.int64)
@@ -130,16 +138,11 @@ def log_likelihoods(automata: list[Automaton], codes: np.ndarray, lengths: np.nd
     return best
 
 
-def padded(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, class codes, lengths) of the strings, longest first."""
+def padded(strings: list[str], of: np.ndarray = CLASS_OF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, symbols, lengths) of the strings, longest first."""
     lengths = np.array([len(s) for s in strings])
     order = np.argsort(-lengths, kind="stable")
     codes = np.zeros((len(strings), int(lengths.max(initial=0))), np.int8)
     for i, k in enumerate(order):
-        codes[i, : lengths[k]] = symbols(strings[k])
+        codes[i, : lengths[k]] = of[np.frombuffer(strings[k].encode("latin-1"), np.uint8)]
     return order, codes, lengths[order]
-
-
-def uniform_log(strings: list[str]) -> np.ndarray:
-    """Log-probability of each string's characters within their classes, when all are alike."""
-    return np.array([-np.log(_SIZE[symbols(s)]).sum() for s in strings])

@@ -2,17 +2,23 @@
 
 Three base patterns find assignments, access keys and hexadecimal runs.  The
 labelled credentials they yield in a bounded sample of the corpus, with
-examples of published token formats, train one probabilistic automaton a
-format (:mod:`kelpline.llm.automata`); ordinary long tokens of the same sample
-train the background.  Every token of the base alphabet with 12 or more
-characters, in every text, is scored by the log-likelihood ratio of the best
-format over the background.  Tokens above the threshold (the sample's most
-credential-like ordinary token by a quarter more and then some, and two nats a
-character) become spans
-of kind ``format`` unless a base span covers part of them.
-
-Null text counts as empty and has no spans. Without ordinary tokens or
-examples only base spans are found.
+examples of published token formats, train one probabilistic automaton of
+characters a format (:mod:`kelpline.llm.automata`); ordinary long tokens of the
+same sample train the background: an automaton of character classes, and which
+character follows which within them.  Every token of the base alphabet with 12
+or more characters, in every text, is scored by the log-likelihood ratio of the
+best format over the background.
+
+Ratios of all tokens of all texts make a histogram; how many of them are
+credentials is the share that explains it best (expectation maximisation over
+the two kinds), and a token whose odds, with that share, are 99 to 1 or better
+becomes a span of kind ``format``, where it also gains ``PER_CHARACTER`` nats a
+character. Spans within a base span aren't added.
+
+Null and empty texts have no spans; long texts and tokens are scored whole.
+Equal ratios get equal verdicts; repeated rows keep a row each. Columns named
+``base`` or ``spans`` are replaced, others kept. An empty table gives an empty
+one; without ordinary tokens or examples only base spans are found.
 """
 
 from __future__ import annotations
@@ -44,7 +50,7 @@ FORMATS = (
     ("ghp_", _DIGITS + _LOWER + _UPPER, 36),
     ("glpat-", _DIGITS + _LOWER + _UPPER + "_-", 20),
     ("sk_live_", _DIGITS + _LOWER + _UPPER, 24),
-    ("xoxb-", _DIGITS, 12),
+    ("xoxb-", _DIGITS + _LOWER + _UPPER + "-", 50),
     ("AIza", _DIGITS + _LOWER + _UPPER + "_-", 35),
     ("eyJ", _DIGITS + _LOWER + _UPPER + "_-", 60),
     ("", _DIGITS + "abcdef", 40),
@@ -65,22 +71,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 class Formats:
     """The learned automata, the background and the threshold."""
 
-    PER_CHARACTER = 2.0  # nats that a credential gains on ordinary text, at least
+    PER_CHARACTER = 1.0  # nats that a credential gains on ordinary text, at least
+    LEAST, ODDS = 10.0, 99.0
+    LOW, HIGH = -400, 400  # of the histogram, a nat a bin
 
     def __init__(self, examples: dict[str, list[str]], ordinary: list[str]):
         """Each half of the ordinary tokens is scored by what the other half teaches; those that look like a format
         are set aside, as unlabelled credentials, and the rest is the background."""
-        self.formats = [A.Automaton(own) for own in examples.values() if own]
-        self.threshold, kept = 0.0, []
+        self.formats = [A.Automaton(own, of=A.CHARACTER_OF) for own in examples.values() if own]
+        self.threshold, kept = self.LEAST, []
         for own, other in ((ordinary[::2], ordinary[1::2]), (ordinary[1::2], ordinary[::2])):
             self._learn(other or own)
             kept += [t for t, ratio in zip(own, self.scores(own), strict=True) if ratio <= self.PER_CHARACTER * len(t)]
         self._learn(kept or ordinary)
-        self.threshold = max(float(self.scores(kept or ordinary).max(initial=0.0)) * 1.25 + 5, 10.0)
+
+    def calibrate(self, histogram: np.ndarray) -> None:
+        """The threshold from counts of all tokens' ratios, a bin a nat from LOW to HIGH."""
+        total = histogram.sum()
+        if not total:
+            return
+        odds = np.exp(np.clip(np.arange(self.LOW, self.HIGH + 1), -50, 50))
+        share = 0.01
+        for _ in range(200):
+            share = float((histogram * (share * odds / (share * odds + 1 - share))).sum() / total)
+            share = min(max(share, 1 / (total + 1)), 0.5)
+        self.threshold = max(float(np.log((1 - share) / share * self.ODDS)), self.LEAST)
 
     def _learn(self, ordinary: list[str]) -> None:
-        ordinary = sorted({*ordinary, *(w.upper() for w in ordinary), *(w.lower() for w in ordinary)})  # words shout and whisper
-        self.background = [A.Automaton(ordinary)]
+        ordinary = sorted({*ordinary, *(w.upper() for w in ordinary), *(w.lower() for w in ordinary), *(w.capitalize() for w in ordinary)})  # words shout and whisper, and begin sentences
+        self.background = [A.Automaton(ordinary, restart=True)]
         pairs = np.full((256, 256), 0.02)
         for w in ordinary:
             c = self._folded(w)
@@ -97,23 +116,48 @@ class Formats:
         out = np.empty(len(tokens))
         if not tokens:
             return out
-        order, codes, lengths = A.padded(tokens)
-        ratio = A.log_likelihoods(self.formats, codes, lengths) - A.log_likelihoods(self.background, codes, lengths)
+        order, codes, lengths = A.padded(tokens, A.CHARACTER_OF)
+        ratio = A.log_likelihoods(self.formats, codes, lengths) - A.log_likelihoods(self.background, _CLASS_OF_CHARACTER[codes], lengths)
         out[order] = ratio
         usual = np.empty(len(tokens))
         for i, t in enumerate(tokens):
             c = self._folded(t)
             usual[i] = self.pair[c[:-1], c[1:]].sum() - self.in_class[np.frombuffer(t.encode(), np.uint8)[1:]].sum()
-        return out + A.uniform_log(tokens) - usual
+        return out - usual
 
     def is_credential(self, tokens: list[str]) -> np.ndarray:
-        return self.scores(tokens) > np.maximum(self.threshold, [self.PER_CHARACTER * len(t) for t in tokens])
+        return self.verdicts(tokens, self.scores(tokens))
+
+    def verdicts(self, tokens: list[str], scores: np.ndarray) -> np.ndarray:
+        return scores > np.maximum(self.threshold, [self.PER_CHARACTER * len(t) for t in tokens])
 
     @staticmethod
     def _folded(token: str) -> np.ndarray:
         return np.frombuffer(token.lower().encode(), np.uint8)
 
 
+_CLASS_OF_CHARACTER = A.CLASS_OF[np.frombuffer(A.CHARACTERS.encode(), np.uint8)]
+
+
+class Scored:
+    """Scores of tokens, each computed once while they are held."""
+
+    KEPT = 300_000
+
+    def __init__(self, formats: Formats):
+        self.formats, self.known = formats, {}
+
+    def add(self, tokens: set[str]) -> None:
+        fresh = [t for t in tokens if t not in self.known]
+        if len(self.known) + len(fresh) > self.KEPT:
+            self.known.clear()
+            fresh = list(tokens)
+        fresh.sort(key=len)
+        for k in range(0, len(fresh), 2000):  # of like length
+            part = fresh[k : k + 2000]
+            self.known.update(zip(part, self.formats.scores(part).tolist(), strict=True))
+
+
 def published(per_format: int, seed: int) -> dict[str, list[str]]:
     rng = np.random.default_rng(seed)
     return {f"{prefix}{n}": [prefix + "".join(rng.choice(list(alphabet), n)) for _ in range(per_format)] for prefix, alphabet, n in FORMATS}
@@ -150,7 +194,35 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     ordinary = examples.pop("ordinary", [])
     if not ordinary:
         return None
-    return Formats({**published(per_kind, seed), **examples}, ordinary)
+    formats = Formats({**published(per_kind, seed), **examples}, ordinary)
+    formats.calibrate(ratios(df.select(F.col(text_col).alias("text")), formats))
+    return formats
+
+
+def ratios(texts: DataFrame, formats: Formats) -> np.ndarray:
+    """Counts of the ratios of every token outside base spans, over all texts; a task sends a histogram of fixed size."""
+    shipped = texts.sparkSession.sparkContext.broadcast(formats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, scored = shipped.value, Scored(shipped.value)
+        counts = np.zeros(model.HIGH - model.LOW + 1, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                own: list[str] = []
+                for text in pc.fill_null(batch.column(0).slice(lo, 256), "").to_pylist():
+                    tokens = list(TOKEN.finditer(text))
+                    spans = base_spans(text) if tokens else []
+                    own += [m.group() for m in tokens if not any(a <= m.start() and m.end() <= b for _, a, b in spans)]
+                scored.add(set(own))
+                values = np.array([scored.known[t] for t in own])
+                counts += np.bincount(np.clip(np.round(values), model.LOW, model.HIGH).astype(np.int64) - model.LOW, minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bin", "n"])
+
+    out = np.zeros(formats.HIGH - formats.LOW + 1, np.int64)
+    for r in texts.mapInArrow(W.tidied(run), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most as many rows as bins
+        out[r["bin"]] = r["n"]
+    return out
 
 
 def scan(df: DataFrame, formats: Formats | None, *, text_col: str = "text") -> DataFrame:
@@ -162,7 +234,7 @@ def scan(df: DataFrame, formats: Formats | None, *, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        scores: dict[str, bool] = {}
+        scored = None if model is None else Scored(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
@@ -171,16 +243,11 @@ def scan(df: DataFrame, formats: Formats | None, *, text_col: str = "text") -> D
                 every = [list(x) for x in base]
                 if model is not None:
                     tokens = [[(m.group(), m.start(), m.end()) for m in TOKEN.finditer(t)] for t in texts]
-                    fresh = list({w for own in tokens for w, _, _ in own if w not in scores})
-                    if len(scores) + len(fresh) > 300_000:
-                        scores.clear()
-                        fresh = list({w for own in tokens for w, _, _ in own})
-                    for size in range(0, len(fresh), 20_000):
-                        part = sorted(fresh[size : size + 20_000], key=len)
-                        for k in range(0, len(part), 2000):  # of like length
-                            scores.update(zip(part[k : k + 2000], model.is_credential(part[k : k + 2000]).tolist(), strict=True))
+                    words = sorted({w for own in tokens for w, _, _ in own})
+                    scored.add(set(words))
+                    secret = {w for w, yes in zip(words, model.verdicts(words, np.array([scored.known[w] for w in words])), strict=True) if yes}
                     for own, mine, b in zip(tokens, every, base, strict=True):
-                        mine += [("format", i, j) for w, i, j in own if scores[w] and not any(x < j and i < y for _, x, y in b)]
+                        mine += [("format", i, j) for w, i, j in own if w in secret and not any(x <= i and j <= y for _, x, y in b)]
                         mine.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
                 cols = [pa.array([[{"kind": k, "start": i, "end": j} for k, i, j in own] for own in which], kind) for which in (base, every)]
                 yield pa.RecordBatch.from_arrays([*some.columns, *cols], names=[*batch.schema.names, "base", "spans"])

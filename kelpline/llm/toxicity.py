@@ -1,18 +1,25 @@
 """Toxicity by labelled neighbours: exact TF-IDF cosine over a block-max inverted index.
 
 A bounded sample of labelled texts (``per_class`` of each label, chosen by a
-hash of the id) are the examples.  Terms are the ``terms`` words that tell the
-labels apart best by chi-square; their document frequencies are counted over
-all documents.  Every text's vector is compared with the examples exactly:
-blocks of examples carry each term's largest weight, blocks are visited by
-falling upper bound, and the search ends when no block can reach the k-th best
-cosine.  Examples that tie with the k-th all vote.  Votes weigh by closeness
-and by their label's share among all labelled rows; a logistic curve fitted on
+hash of the id) are the examples.  Terms are all words that two of them or more
+hold; a term's weight is its inverse document frequency, counted over all
+documents, times how well it tells the labels apart: its chi-square over
+``telling``, within ``floor`` and 1.  So every example has a vector, words that
+tell decide where there are any, and other words elsewhere.  Every text's
+vector is compared with the examples exactly: postings are kept by term and
+block of examples, with each block's greatest weight; the blocks of the highest
+bounds are scored first, then all whose bound reaches the k-th best cosine.
+Examples that tie with the k-th all vote.  Votes weigh by closeness and by
+their label's share among all labelled rows; a logistic curve fitted on
 leave-one-out votes calibrates the score.
 
 Texts without any of the terms (null and empty ones too) get the calibrated
-share of toxic examples among the examples without any. Without labels of
-both kinds every score is the only label's value, or 0.
+share of toxic examples among the examples without any, and long texts are
+taken whole. Without labels of both kinds every score is the only label's
+value, or 0. Of several labels of an id the graver counts; repeated rows keep a
+row each, and equal texts equal scores; ids in several rows are examples once a
+text. Columns named ``score`` or ``evidence`` are replaced, others kept; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -43,45 +50,79 @@ def term_counts(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tu
 
 
 class Neighbours:
-    """Examples' unit vectors in an inverted index with block maxima."""
+    """Examples' unit vectors in an inverted index with block maxima.
+
+    ``pair_*`` are the (term, block) pairs in order: block, greatest weight, and where the pair's postings begin;
+    ``first`` says where a term's pairs begin.
+    """
+
+    ROUND = 4  # blocks in the first round
 
     def __init__(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, idf: np.ndarray, labels: np.ndarray, ids: list, weight: tuple[float, float], k: int):
-        self.idf, self.k = idf, k
-        dense = np.zeros((n, len(idf)), np.float32)
-        dense[rows, terms] = (1 + np.log(counts)) * idf[terms]
-        norm = np.sqrt((dense**2).sum(axis=1))
-        dense /= np.maximum(norm, 1e-12)[:, None]
-        order = np.lexsort((np.arange(n), dense.argmax(axis=1), norm == 0))  # like examples share blocks
-        pad = -n % BLOCK
-        self.postings = np.concatenate([dense[order], np.zeros((pad, len(idf)), np.float32)]).T.copy()  # term by example
-        self.top = self.postings.reshape(len(idf), -1, BLOCK).max(axis=2)
-        self.labels, self.ids, self.norm = labels[order], [ids[i] for i in order], norm[order]
+        self.idf, self.k, self.n = idf, k, n
+        value = ((1 + np.log(counts)) * idf[terms]).astype(np.float32)
+        norm = np.sqrt(np.bincount(rows, value.astype(float) ** 2, n))
+        value /= np.maximum(norm, 1e-12)[rows].astype(np.float32)
+        strongest = np.full(n, len(idf))  # like examples share blocks
+        order = np.lexsort((value, rows))
+        last = np.flatnonzero(np.append(rows[order][1:] != rows[order][:-1], True)) if len(rows) else np.empty(0, np.int64)
+        strongest[rows[order][last]] = terms[order][last]
+        place = np.empty(n, np.int64)
+        placed = np.lexsort((np.arange(n), strongest, norm == 0))
+        place[placed] = np.arange(n)
+        example = place[rows]
+        order = np.lexsort((example, terms))
+        self.example, self.value, term = example[order].astype(np.int32), value[order], terms[order]
+        block = self.example // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        begin = np.flatnonzero(new)
+        self.pair_block, self.pair_at = block[begin], np.append(begin, len(term))
+        self.pair_top = np.maximum.reduceat(self.value, begin) if len(begin) else np.empty(0, np.float32)
+        self.first = np.searchsorted(term[begin], np.arange(len(idf) + 1))
+        self.blocks = -(-n // BLOCK)
+        self.labels, self.ids, self.norm = labels[placed], [ids[i] for i in placed], norm[placed]
         self.vote = np.where(self.labels == 1, weight[1], weight[0])
-        self.n = n
         none = self.norm == 0
         own = self.vote * none
         self.nothing = float(((own * self.labels).sum() + self.share()) / (own.sum() + 1))
         self.slope, self.offset = 1.0, 0.0
         self._calibrate()
 
+    @staticmethod
+    def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
     def share(self) -> float:
         return float((self.vote * self.labels).sum() / self.vote.sum())
 
     def search(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """All examples whose cosine is at least the k-th best, with it; zero cosines only where there are no others."""
-        bounds = weights @ self.top[terms]
-        best_first = np.argsort(-bounds, kind="stable")
+        size = self.first[terms + 1] - self.first[terms]
+        pair = self._ranges(self.first[terms], size)
+        weight = np.repeat(weights, size)
+        bounds = np.bincount(self.pair_block[pair], weight * self.pair_top[pair], self.blocks)
         found, sims, least = [], [], 0.0
-        for lo in range(0, len(best_first), 4):  # four blocks at a time
-            blocks = best_first[lo : lo + 4]
-            blocks = blocks[bounds[blocks] > max(least - 1e-6, 0)]
-            if not len(blocks):
-                break
-            at = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = weights @ self.postings[np.ix_(terms, at)]
-            keep = (s > 0) & (at != without)
-            found.append(at[keep])
-            sims.append(s[keep])
+        todo = bounds > 0
+        if self.blocks > self.ROUND:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[np.argpartition(-bounds, self.ROUND)[: self.ROUND]] = True
+            rounds = (chosen & todo, ~chosen & todo)
+        else:
+            rounds = (todo,)
+        for blocks in rounds:
+            blocks = blocks & (bounds > least - 1e-6)
+            own = blocks[self.pair_block[pair]]
+            if not own.any():
+                continue
+            at = pair[own]
+            n = self.pair_at[at + 1] - self.pair_at[at]
+            posting = self._ranges(self.pair_at[at], n)
+            s = np.bincount(self.example[posting], np.repeat(weight[own], n) * self.value[posting], self.n)
+            hit = np.flatnonzero(s > 0)
+            hit = hit[hit != without]
+            found.append(hit)
+            sims.append(s[hit])
             every = np.concatenate(sims)
             if len(every) >= self.k:
                 least = float(np.partition(every, len(every) - self.k)[len(every) - self.k])
@@ -105,12 +146,15 @@ class Neighbours:
 
     def _calibrate(self) -> None:
         x = np.empty(self.n)
+        order = np.argsort(self.example, kind="stable")
+        term = np.repeat(np.repeat(np.arange(len(self.idf)), np.diff(self.first)), np.diff(self.pair_at))
+        cut = np.searchsorted(self.example[order], np.arange(self.n + 1))
         for i in range(self.n):
             if self.norm[i] == 0:
                 x[i] = self.nothing
                 continue
-            terms = np.flatnonzero(self.postings[:, i])
-            x[i] = self.raw(*self.search(terms, self.postings[terms, i], without=i))
+            own = slice(*cut[i : i + 2])
+            x[i] = self.raw(*self.search(term[order[own]], self.value[order[own]], without=i))
         x = np.clip(x, 1e-4, 1 - 1e-4)
         x, w, y = np.log(x / (1 - x)), self.vote / self.vote.mean(), self.labels
         a, b = 1.0, 0.0
@@ -124,7 +168,7 @@ class Neighbours:
         self.slope, self.offset = max(float(a), 0.05), float(b)
 
 
-def learn(labelled: DataFrame, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, terms: int = 512, k: int = 25) -> tuple[np.ndarray, Neighbours] | float:
+def learn(labelled: DataFrame, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, telling: float = 30.0, floor: float = 0.2, k: int = 25) -> tuple[np.ndarray, Neighbours] | float:
     """(sorted hashes of the terms, index), or the constant score where labels don't tell."""
     spark = documents.sparkSession
     known = labelled.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -136,7 +180,7 @@ def learn(labelled: DataFrame, documents: DataFrame, *, id_col: str = "doc_id",
     limit = F.when(F.col("y") == 1, F.lit(int(min(1, per_class / totals[1]) * (1 << 40)))).otherwise(F.lit(int(min(1, per_class / totals[0]) * (1 << 40))))
     chosen = known.where(draw < limit)
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").collect()  # about 2 * per_class rows, whole texts
+    sample = texts.join(chosen, "id").distinct().collect()  # about 2 * per_class ids, whole texts
     sample = sorted({(r["id"], r["text"], r["y"]) for r in sample})
     y = np.array([r[2] for r in sample])
     if len(set(y)) < 2:
@@ -151,10 +195,10 @@ def learn(labelled: DataFrame, documents: DataFrame, *, id_col: str = "doc_id",
     n1, n = y.sum(), len(y)
     a, b, c, d = toxic, both - toxic, n1 - toxic, (n - n1) - (both - toxic)
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    usable = np.flatnonzero((both >= 3) & (chi > 15))  # p below 1e-4
+    usable = np.flatnonzero(both >= 2)
     if not len(usable):
-        usable = np.argsort(-chi, kind="stable")[:terms]
-    picked = np.sort(hashes[usable[np.argsort(-chi[usable], kind="stable")[:terms]]])
+        usable = np.arange(len(hashes))
+    picked, tells = hashes[usable], np.clip(chi[usable] / telling, floor, 1.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(len(picked), np.int64), 0
@@ -162,11 +206,12 @@ def learn(labelled: DataFrame, documents: DataFrame, *, id_col: str = "doc_id",
             rows += batch.num_rows
             for _, _, data, offsets in W.text_slices(batch.column(0)):
                 df += np.bincount(term_counts(data, offsets, picked)[1], minlength=len(picked))
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(picked)), pa.int32()), pa.array([rows, *df], pa.int64())], names=["term", "n"])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([rows, *df[at].tolist()], pa.int64())], names=["term", "n"])
 
     counted = {r[0]: r[1] for r in texts.select("text").mapInArrow(W.tidied(count), "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
     df = np.array([counted.get(i, 0) for i in range(len(picked))])
-    idf = np.log((1 + counted.get(-1, 0)) / (1 + df)) + 1
+    idf = (np.log((1 + counted.get(-1, 0)) / (1 + df)) + 1) * tells
     index = Neighbours(*term_counts(data, offsets, picked), n, idf, y, [r[0] for r in sample], (totals[0] / max((y == 0).sum(), 1), totals[1] / max(n1, 1)), k)
     return picked, index
 
@@ -195,7 +240,7 @@ def score(df: DataFrame, model, *, text_col: str = "text") -> DataFrame:
                     own = slice(cut[i], cut[i + 1])
                     key = term[own].tobytes() + count[own].tobytes()
                     if key not in seen:
-                        if len(seen) >= 50_000:
+                        if len(seen) >= 10_000:
                             seen.clear()
                         w = weight[own] / np.sqrt((weight[own] ** 2).sum())
                         near, sims = index.search(term[own], w)

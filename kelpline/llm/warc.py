@@ -7,10 +7,15 @@ finds frames by their block headers, loads the dictionary from the leading
 frame and validates the version line, required headers, lengths, digests and
 the closing of every record; faults end the read with the archive's name.
 
-Archives are rows of binary content in a table below the shared folder; the
-reader takes any frame with a binary column, Spark's ``binaryFile`` too.
-Null html is an empty payload. Rows equal in id and payload to the smallest
-are responses as well. A null id counts as the largest.
+Archives are files below the shared folder, one an archive, written by the
+executors through Spark's text writer: an archive's bytes are one line, and the
+line's end is the payload of a last skippable frame, so every file is a valid
+archive. The reader takes them as Spark's ``binaryFile`` rows, or any frame with
+a binary column.
+Null html is an empty payload; long ones are whole records. Rows equal in id
+and payload to the smallest are responses as well. A null id counts as the
+largest. Repeated rows keep a record each, other columns are ignored, an empty
+table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm import words as W
-from kelpline.llm.store import materialise, table
+from kelpline.llm.store import fresh_path, table
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 END = b"\r\n\r\n"
+#: Head of a skippable frame of one byte: the end of the line that follows an archive.
+LAST_FRAME = (0x184D2A50).to_bytes(4, "little") + (1).to_bytes(4, "little")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
@@ -172,7 +179,7 @@ def page_of(headers: dict[str, str], block: bytes) -> tuple:
 
 
 def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, sample_rows: int = 300, dictionary_bytes: int = 32 << 10, level: int = 3, limit: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """A table of archives (archive string, records int, content binary) in the shared folder.
+    """Archive files below the shared folder, as rows (archive string, content binary).
 
     The dictionary is trained on about ``sample_rows`` pages, chosen by a hash.
     Payloads shorter than ``least_bytes`` are never revisits.
@@ -184,8 +191,14 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     sample = [bytes(r[0]) for r in rows.where(draw).select("payload").collect()]
     dictionary = train_dictionary([page_record(0, "http://", p, None, date) for p in sample], dictionary_bytes)
     keyed = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    first = keyed.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first")
-    placed = keyed.join(first, "sha", "left").select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    ids = keyed.where(F.octet_length("payload") >= least_bytes).select("id", "sha")
+    first = ids.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # equal payloads are dealt over sixteen keys, and only their ids and digests; payloads move once, by id
+    first = first.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(first, ["sha", "salt"])
+    repeats = salted.where(~F.col("id").eqNullSafe(F.col("first"))).select(F.col("id").alias("own"), F.col("sha").alias("own_sha"), "first").distinct()
+    same = F.col("id").eqNullSafe(F.col("own")) & (F.col("sha") == F.col("own_sha"))
+    placed = keyed.join(repeats, same, "left").select("id", "url", "payload", F.col("first").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, part, number, held = Writer(dictionary, level, limit), TaskContext.get().partitionId(), 0, 0
@@ -206,7 +219,15 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
         if held:
             yield done()
 
-    return materialise(placed.mapInArrow(W.tidied(run), "archive string, records int, content binary"), "archives")
+    made = placed.mapInArrow(W.tidied(run), "archive string, records int, content binary")
+    path = fresh_path(pages.sparkSession, "archives")
+    made.select(F.concat("content", F.lit(LAST_FRAME)).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return archive_files(pages.sparkSession, path)
+
+
+def archive_files(spark, path: str) -> DataFrame:
+    """(archive, content) of the archive files below a path."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
 
 
 def read_archives(archives: DataFrame, *, name_col: str = "archive", content_col: str = "content") -> DataFrame:

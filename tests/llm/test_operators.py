@@ -211,6 +211,19 @@ def test_decontamination_equals_brute_force(spark, tmp_path, edge, bench):
     assert found["clean"] == "So:  mu "
 
 
+def test_a_benchmark_of_many_parts_is_united(spark, bench):
+    rng = np.random.default_rng(31)
+    items = [(i, prose(rng, int(n), 12)) for i, n in enumerate(rng.integers(0, 25, 30))]
+    texts = [prose(rng, int(n), 12) for n in rng.integers(0, 200, 25)] + [" ".join(t for _, t in items), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("items", F.lit("x"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    want = {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    for part_bytes in (1, 150, 1 << 20):
+        out = decontaminate.scan(docs, benchmark, part_bytes=part_bytes)
+        assert out.columns == ["doc_id", "text", "n_words", "n_hit", "items", "spans"]
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"])) for r in out.collect()} == want
+
+
 def test_decontamination_of_nothing(spark, empty, edge, bench):
     assert decontaminate.scan(empty, bench).count() == 0
     assert decontaminate.scan(edge, bench.limit(0)).where("n_hit > 0").count() == 0

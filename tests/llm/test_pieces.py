@@ -56,8 +56,9 @@ def test_short_items_and_nulls_in_benchmark():
     p = decontaminate.Phrases([(1, "one two"), (2, None), (3, ""), (None, "x y z")], 10)
     data, offsets = sliced(["zero one two three", None, "x y z"])
     w = words.split_words(data, offsets)
-    start, owners, length = decontaminate.occurrences(p, w)
-    assert {(int(s), p.items[o[0]], int(n)) for s, o, n in zip(start, owners, length, strict=True)} == {(1, "1", 2), (4, "", 3)}
+    start, which, length = decontaminate.occurrences(p, w)
+    _, item = p.items_of(np.arange(len(start)), which)
+    assert {(int(s), p.items[k], int(n)) for s, k, n in zip(start, item, length, strict=True)} == {(1, "1", 2), (4, "", 3)}
 
 
 def test_weighted_sampling_estimates_weighted_jaccard():
@@ -234,7 +235,12 @@ def test_merged_states_accept_the_format():
 
 
 def brute_neighbours(index, w):
-    s = w @ index.postings[:, : index.n]
+    dense = np.zeros((len(index.idf), index.n), np.float32)
+    for term in range(len(index.idf)):
+        for pair in range(index.first[term], index.first[term + 1]):
+            for at in range(index.pair_at[pair], index.pair_at[pair + 1]):
+                dense[term, index.example[at]] = index.value[at]
+    s = w @ dense
     order = np.sort(s[s > 0])[::-1]
     least = order[min(index.k, len(order)) - 1] if len(order) else 1
     return {i for i in range(index.n) if s[i] > 0 and s[i] >= least - 1e-6}
