@@ -1,7 +1,11 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
 Each stage takes what its predecessor kept, written as Parquet and read again;
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents``, and any others, whatever
+their names. Null and empty texts have no language and go in the first stage;
+of repeated rows one stays in the second; long texts are taken whole; ties go
+to the least id. An empty table gives an empty one, an empty benchmark leaves
+texts as they are, and without labelled languages nothing passes the first.
 """
 
 from __future__ import annotations
@@ -18,25 +22,30 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no language model accepts go."""
-    found = langid.identify(docs, langid.learn(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    own, c = _apart(docs)
+    found = langid.identify(own, langid.learn(own, id_col=c["doc_id"], text_col=c["text"], lang_col=c["lang"]), text_col=c["text"])
+    return found.where(~F.col("rejected")).select(*own.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the least id stays."""
-    return neardup.deduplicated(docs).select(*docs.columns)
+    own, c = _apart(docs)
+    return neardup.deduplicated(own, id_col=c["doc_id"], text_col=c["text"]).select(*own.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    return _with_text(found, docs.columns, decontaminate.without_spans(F.col("text"), F.col("spans")), F.size("spans") > 0)
+    own, c = _apart(docs)
+    found = decontaminate.scan(own, table(spark, sf_dir, "benchmark"), text_col=c["text"])
+    text = decontaminate.without_spans(F.col(c["text"]), F.col("spans"))
+    return _with_text(found, own.columns, c, text).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts become [SECRET]."""
-    found = secrets.scan(docs, secrets.learn(docs))
-    return _with_text(found, docs.columns, spans.redacted(F.col("text"), F.col("spans"), "[SECRET]"), F.size("spans") > 0)
+    own, c = _apart(docs)
+    found = secrets.scan(own, secrets.learn(own, id_col=c["doc_id"], text_col=c["text"]), text_col=c["text"])
+    return _with_text(found, own.columns, c, spans.redacted(F.col(c["text"]), F.col("spans"), "[SECRET]")).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +53,17 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-def _with_text(found: DataFrame, columns: list[str], text, changed) -> DataFrame:
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns by number, which clash with no operator's, and the number of each name."""
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return own, dict(zip(docs.columns, own.columns, strict=True))
+
+
+def _with_text(found: DataFrame, columns: list[str], c: dict[str, str], text) -> DataFrame:
     """The columns of documents with the new text, and its length where it changed."""
-    new = found.withColumn("__text", text)
-    chars = F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars"))
-    return new.withColumns({"n_chars": chars, "text": F.col("__text")}).select(*columns)
+    new = found.withColumn("new_text", text)
+    chars = F.when(F.size("spans") > 0, F.length("new_text").cast("long")).otherwise(F.col(c["n_chars"]))
+    return new.withColumns({c["n_chars"]: chars, c["text"]: F.col("new_text")}).select(*columns)
 
 
 STAGES = [
