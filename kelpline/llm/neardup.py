@@ -18,7 +18,8 @@
 
 Texts of one to four words have one shingle; null, empty and word-less texts
 only equal their exact copies (null counts as empty). Repeated ids keep one
-row each.
+row each. Other columns are kept, whatever their names; an empty table gives an
+empty one. Ties for a class's head go to the least id, null last.
 """
 
 from __future__ import annotations
@@ -403,10 +404,12 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """``df`` with one row of each class: that of the least id (null ids last)."""
     _, placed = _classes(df, id_col=id_col, text_col=text_col, size=size, threshold=threshold, bands=bands, rows=rows, floor=floor, seed=seed)
     order = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("key"))
-    heads = placed.groupBy("comp").agg(F.min(order).alias("head")).select(F.col("head.id").alias("__kept"), F.col("head.key").alias("__key"))
-    keyed = df.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    kept = keyed.join(heads, (keyed["__key"] == heads["__key"]) & keyed[id_col].eqNullSafe(heads["__kept"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
+    heads = placed.groupBy("comp").agg(F.min(order).alias("head")).select(F.col("head.id").alias("kept"), F.col("head.key").alias("key"))
+    own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names that clash with none
+    ident, text = (own.columns[df.columns.index(c)] for c in (id_col, text_col))
+    keyed = own.withColumn("own_key", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    kept = keyed.join(heads, (keyed["own_key"] == heads["key"]) & keyed[ident].eqNullSafe(heads["kept"]), "left_semi")
+    return kept.dropDuplicates([ident, "own_key"]).drop("own_key").toDF(*df.columns)
 
 
 def op2_minhash_neardup(spark, sf_dir: str) -> DataFrame:

@@ -68,10 +68,21 @@ class Encoder:
         self.plain = list(self._runs(self.PROBE.split())) != list(self._whole(self.PROBE))
         self.clear()
 
+    def shrink(self) -> None:
+        """Keeps the half of the runs that were looked up most."""
+        keep = np.sort(np.argpartition(-self.uses, self.KEPT // 2)[: self.KEPT // 2])
+        runs, sizes = list(self.known), self.lengths[keep]
+        place = np.cumsum(sizes) - sizes
+        self.pool = self.pool[np.arange(int(sizes.sum())) + np.repeat(self.starts[keep] - place, sizes)]
+        self.starts, self.lengths, self.uses = place, sizes, self.uses[keep] // 2
+        self.known = {runs[k]: i for i, k in enumerate(keep.tolist())}
+        self.pieces = {}
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self.starts, self.lengths, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.uses = np.empty(0, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -93,6 +104,7 @@ class Encoder:
         sizes = np.fromiter(map(len, ids_of), np.int64, len(runs))
         self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.pool)])
         self.lengths = np.concatenate([self.lengths, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(runs), np.int64)])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids_of), np.uint32, int(sizes.sum()))])
         self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
 
@@ -114,7 +126,7 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; all their runs are looked up, and new ones encoded, together."""
         if len(self.known) > self.KEPT:
-            self.clear()
+            self.shrink()
         apart = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.specials) or any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [[] if i in apart else t.split() for i, t in enumerate(texts)]
         flat = list(chain.from_iterable(split))
@@ -128,6 +140,7 @@ class Encoder:
                 at = np.maximum(at, 0)
         if not self.known:
             return [apart.get(i, np.empty(0, np.uint32)) for i in range(len(texts))]
+        self.uses += np.bincount(at, minlength=len(self.uses))
         ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
         size = self.lengths[at]
         place = np.cumsum(size) - size

@@ -136,7 +136,7 @@ def test_telling_terms_equal_brute_force(spark):
     rng = np.random.default_rng(14)
     texts = [prose(rng, 30, 80) for _ in range(80)]
     for i in range(0, 60, 2):
-        texts[i] = f"{texts[i]} {rng.choice(['zor', 'blax', 'quin'])} a{i % 14}@ex.org {rng.choice(['mip', 'w3x'])} {prose(rng, 5, 80)}"
+        texts[i] = f"{texts[i]} {rng.choice(['zor', 'blax', 'quin'])} {'q' * (i % 5 == 0)}{i}z a{i % 14}@ex.org {rng.choice(['mip', 'w3x'])} {prose(rng, 5, 80)}"
     n, window, theta, support = len(texts), 8, 0.9, 3
     df = Counter(w for t in texts for w in set(words_of(t)))
     near, holders = Counter(), Counter()

@@ -126,6 +126,11 @@ def test_encoder_equals_the_tokenizer():
 
     path = packing.default_tokenizer()
     plain, own = Tokenizer.from_file(path), packing.Encoder(path)
+    small = packing.Encoder(path)
+    small.KEPT = 4
+    for t in ("a b c d e f", "a b g h", "a i j k l", "a b m A n o p"):  # forgets rare runs on the way
+        assert [x.tolist() for x in small.encode_many([t, "a b"])] == [plain.encode(x, add_special_tokens=False).ids for x in (t, "a b")]
+    assert "a" in small.known
     texts = ["", " ", "It's THE end.", "café CAFÉ İx ΣΣ", "a\x1cb <|endoftext|> c", "y" * 200 + " z", "世界 12,5", "̈a", "the end"]
     for some in (texts, texts[5:6], [], [""]):
         want = [plain.encode(t, add_special_tokens=False).ids for t in some]
