@@ -28,9 +28,10 @@ def keep_better(existing: DataFrame, incoming: DataFrame, key: str, rank: Column
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key (nulls equal)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The first row of each key (nulls equal): the least of each task, then of all; rows aren't ordered."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("__first"))
+    return first.select(*[c if c in keys else F.col(f"__first.{c}").alias(c) for c in rows.columns])
 
 
 def with_orphans(rebuilt: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,13 +105,35 @@ def greedy_keep_overall(rows: DataFrame, group: str, key: str, vector: str, with
     return left.join(kept.select(key), key, "left_semi").select(group, key)
 
 
-def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, threshold: float) -> DataFrame:
-    """Pairs of one group (the clips of one video) with at least that cosine."""
-    from kelpline.functions.scalars import dot, unit
+def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, threshold: float, block: int = 1024) -> DataFrame:
+    """Pairs of one group (the clips of one video) with at least that cosine, once each, a < b.
 
-    u = rows.select(group, F.col(key), unit(F.col(vector)).alias("v"))
-    a, b = u.select(group, F.col(key).alias("a"), F.col("v").alias("va")), u.select(group, F.col(key).alias("b"), F.col("v").alias("vb"))
-    return a.join(b, group).where("a < b").select(group, "a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    A group is dealt into blocks of about ``block`` rows by a hash of the key; every two blocks meet in a task of their own, in
+    one matrix product, so a large group is many tasks of bounded size.
+    """
+    import numpy as np
+    import pandas as pd
+
+    blocks = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
+    dealt = rows.select(group, key, vector).join(blocks, group).withColumn("__own", F.pmod(F.xxhash64(key), F.col("__n")).cast("int"))
+    cells = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumns({"__i": F.least("__own", "__other"), "__j": F.greatest("__own", "__other")})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["__i"].iloc[0]), int(pdf["__j"].iloc[0])
+        sides = []
+        for k in (i, j):
+            own = pdf[pdf["__own"] == k]
+            v = np.stack([np.asarray(x, float) for x in own[vector]]) if len(own) else np.empty((0, 1))
+            sides.append((own[key].to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]))
+        (a, u), (b, w) = sides
+        s = u @ w.T if len(a) and len(b) else np.empty((len(a), len(b)))
+        x, y = np.nonzero(s >= threshold)
+        lower = a[x] < b[y] if i == j else a[x] != b[y]
+        x, y = x[lower], y[lower]
+        return pd.DataFrame({group: pdf[group].iloc[0], "a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y]), "cosine": s[x, y]})
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (group, key)}
+    return cells.select(group, key, vector, "__own", "__i", "__j").groupBy(group, "__i", "__j").applyInPandas(compare, f"{group} {kind[group]}, a {kind[key]}, b {kind[key]}, cosine double")
 
 
 def union_keys(parts: list[DataFrame], key: str) -> DataFrame:

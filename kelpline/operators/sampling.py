@@ -18,19 +18,31 @@ def shuffled(key: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), key.cast("string")))
 
 
+def _before(groups: DataFrame, key: str, amount: Column, seed: str) -> DataFrame:
+    """``groups`` with ``__before``, the sum of ``amount`` over what precedes a group in hashed order, and ``__all``, over all.
+
+    Hashes spread evenly over 256 ranges by their first digits: sums by range, running sums over those 256 rows and within
+    each range, so no task orders all groups.
+    """
+    h = shuffled(F.col(key), seed)
+    rows = groups.withColumns({"__h": h, "__range": F.substring(h, 1, 2), "__a": amount})
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("__range").agg(F.sum("__a").alias("__s")).select("__range", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__lower"), F.sum("__s").over(Window.partitionBy()).alias("__all"))
+    own = Window.partitionBy("__range").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(ranges, "__range").withColumn("__before", F.col("__lower") + F.coalesce(F.sum("__a").over(own), F.lit(0)))
+
+
 def quota_split(groups: DataFrame, key: str, amount: str, quota: int, seed: str) -> DataFrame:
     """Whole groups, in hashed order, to train until what went before reaches the quota. Groups are aggregated first: one row each."""
-    h = shuffled(F.col(key), seed)
-    before = F.coalesce(F.sum(amount).over(Window.orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return groups.withColumn("__h", h).select(key, amount, F.when(before < quota, "train").otherwise("test").alias("split"))
+    placed = _before(groups, key, F.col(amount), seed)
+    return placed.select(key, amount, F.when(F.col("__before") < quota, "train").otherwise("test").alias("split"))
 
 
 def fraction_split(groups: DataFrame, key: str, share: float, seed: str, forced: list) -> DataFrame:
     """The first ``share`` of hashed groups, and the forced ones, are test."""
-    w = Window.orderBy("__h", key)
-    place = F.row_number().over(w)
-    n = F.count("*").over(Window.partitionBy())
-    return groups.withColumn("__h", shuffled(F.col(key), seed)).select(key, F.when((place <= F.floor(n * share)) | F.col(key).isin(forced), "test").otherwise("train").alias("split"))
+    placed = _before(groups, key, F.lit(1), seed)
+    first = F.col("__before") + 1 <= F.floor(F.col("__all") * share)
+    return placed.select(key, F.when(first | F.col(key).isin(forced), "test").otherwise("train").alias("split"))
 
 
 def round_robin(rows: DataFrame, group: str, key: str, *, most: int, limit: int, seed: str) -> DataFrame:
@@ -72,8 +84,8 @@ def upsampled(rows: DataFrame, label: str, key: str, *, power: float = 0.5, cap:
     """Rows repeated towards a tempered class balance: times = (largest/n)**power, at most ``cap``; the broken part by hash."""
     counts = rows.groupBy(label).agg(F.count("*").alias("__n"))
     top = counts.agg(F.max("__n").alias("__top"))
-    times = counts.crossJoin(F.broadcast(top)).select(label, F.least(F.pow(F.col("__top") / F.col("__n"), F.lit(power)), F.lit(cap)).alias("times"))  # one row a class
-    joined = rows.join(F.broadcast(times), label)
+    times = counts.crossJoin(top).select(label, F.least(F.pow(F.col("__top") / F.col("__n"), F.lit(power)), F.lit(cap)).alias("times"))  # one row and one row a class
+    joined = rows.join(times, label)
     extra = (md5_modulus(F.concat(F.lit(seed), F.col(key).cast("string")), 1000) < (F.col("times") - F.floor("times")) * 1000).cast("int")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.floor("times").cast("int") + extra))).drop("times")
 

@@ -154,10 +154,15 @@ def hungarian_match(spark, d):
     return T.match_frames(rows, "frame", "side", "seq", "value", "y", radius=60.0)
 
 
-@query()
+_PAIRS = """q AS (SELECT seq // 12 AS frame, seq, value AS x, k::DOUBLE AS y FROM o), p AS (SELECT a.frame, a.seq AS a, b.seq AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM q a JOIN q b ON a.frame = b.frame AND a.seq % 2 = 0 AND b.seq % 2 = 1)"""
+
+
+@query(f"""WITH RECURSIVE {OBS}, {_PAIRS}, r AS (SELECT DISTINCT frame, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::STRUCT(d DOUBLE, a BIGINT, b BIGINT) AS m FROM p
+UNION ALL SELECT frame, list_append(ua, m.a), list_append(ub, m.b), m FROM (SELECT r.frame, r.ua, r.ub, min({{'d': p.d, 'a': p.a::BIGINT, 'b': p.b::BIGINT}}) AS m FROM r JOIN p ON p.frame = r.frame WHERE d <= 60 AND NOT list_contains(ua, p.a) AND NOT list_contains(ub, p.b) GROUP BY r.frame, r.ua, r.ub))
+SELECT CAST(frame AS BIGINT) AS frame, m.a AS a, m.b AS b, round(m.d, 5) AS distance FROM r WHERE m IS NOT NULL""")
 def nearest_match(spark, d):
     rows = observations(spark, d).select((F.floor(F.col("seq") / 12)).alias("frame"), F.when(F.col("seq") % 2 == 0, "a").otherwise("b").alias("side"), "seq", "value", F.col("k").cast("double").alias("y"))
-    return T.match_frames(rows, "frame", "side", "seq", "value", "y", radius=60.0, greedy=True)
+    return rounded(T.match_frames(rows, "frame", "side", "seq", "value", "y", radius=60.0, greedy=True), "distance", places=5)
 
 
 @query()
@@ -167,16 +172,24 @@ def tracklet_links(spark, d):
     return T.link_tracklets(rows, "clip", "track", radius=30.0)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey % 500 AS graph, l_partkey % 20 AS a, l_suppkey % 20 AS b, l_quantity::DOUBLE AS n FROM lineitem), u AS (SELECT graph, a, b FROM e UNION SELECT graph, b, a FROM e),
+reach AS (SELECT graph, a, a AS b FROM u UNION SELECT r.graph, r.a, u.b FROM reach r JOIN u ON u.graph = r.graph AND u.a = r.b), h AS (SELECT graph, a, min(b) AS h FROM reach GROUP BY ALL),
+c AS (SELECT graph, count(*) AS nodes, count(DISTINCT h) AS components FROM h GROUP BY graph), m AS (SELECT graph, count(*) AS edges, sum(n) AS total_length, greatest(0, 1 - stddev_pop(n) / avg(n)) AS symmetry FROM e GROUP BY graph)
+SELECT graph, nodes, edges, components, edges - nodes + components AS cycles, round(total_length, 4) AS total_length, round(symmetry, 6) AS symmetry FROM c JOIN m USING (graph)""")
 def graph_metrics(spark, d):
     edges = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("graph"), (F.col("l_partkey") % 20).alias("a"), (F.col("l_suppkey") % 20).alias("b"), F.col("l_quantity").alias("length"))
-    return T.graph_metrics(edges, "graph", "a", "b", "length")
+    out = T.graph_metrics(edges, "graph", "a", "b", "length")
+    return out.withColumns({"total_length": F.round("total_length", 4), "symmetry": F.round("symmetry", 6)})
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, s AS (SELECT clip, label AS node, seq, CASE WHEN k % 5 <> 0 THEN value END AS v, row_number() OVER (PARTITION BY clip, label ORDER BY seq) AS r FROM o),
+f AS (SELECT clip, node, seq, r, CASE WHEN v IS NULL THEN 'occluded' ELSE 'detected' END AS state, v::DOUBLE AS fitted FROM s WHERE r = 1
+UNION ALL SELECT s.clip, s.node, s.seq, s.r, CASE WHEN v IS NULL THEN 'occluded' WHEN fitted IS NULL OR abs(v - fitted) <= 40 THEN 'detected' ELSE 'fitted' END,
+CASE WHEN v IS NULL THEN fitted WHEN fitted IS NULL OR abs(v - fitted) <= 40 THEN v ELSE 0.5::DOUBLE * v + 0.5::DOUBLE * fitted END FROM f JOIN s ON s.clip = f.clip AND s.node = f.node AND s.r = f.r + 1)
+SELECT clip, node, seq, state, round(fitted, 6) AS fitted FROM f""")
 def arm_states(spark, d):
     rows = observations(spark, d).select("clip", F.col("label").alias("node"), "seq", F.when(F.col("k") % 5 != 0, F.col("value")).alias("value"))
-    return T.arm_states(rows, "clip", "node", "seq", "value", jump=40.0)
+    return rounded(T.arm_states(rows, "clip", "node", "seq", "value", jump=40.0), "fitted")
 
 
 @query("""WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)

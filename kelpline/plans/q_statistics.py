@@ -237,7 +237,7 @@ def linear_head(spark, d):
 
     rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     n = rows.groupBy("label").agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(n), "label").withColumn("w", 1.0 / F.sqrt("n"))
+    rows = rows.join(n, "label").withColumn("w", 1.0 / F.sqrt("n"))
     model = LogisticRegression(weightCol="w", maxIter=30, regParam=0.01).fit(rows.where(F.col("vec_id") % 4 != 0))
     return model.transform(rows).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 

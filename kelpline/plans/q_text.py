@@ -84,7 +84,7 @@ def class_remap(spark, d):
     sheet = spark.createDataFrame([("Resting", ["Stationary in open"]), ("Moving", ["Crawling", "Arm walking"])], "new string, maps_from array<string>").select("new", F.explode("maps_from").alias("old"))
     names = F.array(*[F.lit(x) for x in ("Crawling", "Arm walking", "Stationary in open", "Other")])
     rows = table(spark, d, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 4).cast("int")).alias("old"))
-    return rows.join(F.broadcast(sheet), "old", "left").select("doc_id", F.coalesce("new", "old").alias("label"))
+    return rows.join(sheet, "old", "left").select("doc_id", F.coalesce("new", "old").alias("label"))
 
 
 @query("""SELECT d, n_nationkey AS camera FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), nation""")

@@ -134,7 +134,7 @@ def crawled(listings: DataFrame, fetch, url: str, depth: int) -> DataFrame:
 
 def candidates(dates: DataFrame, cameras: DataFrame) -> DataFrame:
     """Every date with every camera: two dimension tables."""
-    return dates.crossJoin(F.broadcast(cameras))
+    return dates.crossJoin(cameras)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -174,6 +174,15 @@ def replace_tag(df: DataFrame, path: str, tag: str = "tag") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tag).parquet(path)
 
 
+def cached(spark: SparkSession, path: str, mode: str, make) -> DataFrame:
+    """What ``make()`` gives for a mode, computed once and kept below the path by mode; a table with a success mark is whole."""
+    at = f"{path}/mode={mode}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
 def envelope(df: DataFrame, description: str, name: str, most: int = 1_000_000) -> DataFrame:
     """One JSON text with a description, the count and the rows: an export format for one reader. More than ``most`` rows are an
     error (write the table instead); none are left out."""

@@ -37,6 +37,35 @@ def frames_at(rows: DataFrame, grab: Callable[[str, float], bytes | None], key:
     return rows.select(key, t, url).mapInPandas(run, f"{key} {kinds[key]}, {t} {kinds[t]}, frame binary")
 
 
+def windows_until(files: DataFrame, decode: Callable[[bytes], Iterator[tuple[int, float]]], key: str, content: str, *, batch: int = 64, length: int = 20, step: int = 20, threshold: float = 0.5, least_share: float = 0.5, most: int = 2) -> DataFrame:
+    """key, start, visible_frac, scanned: greedy windows of a file's scores (one a second, decoded and scored by ``decode`` as it
+    goes). A file is read in batches and left as soon as ``most`` windows lie in what was read; ``scanned`` says how far that was."""
+    import itertools
+
+    def found(scores: list[float]) -> list[tuple[int, float]]:
+        out, at = [], 0
+        while at + length <= len(scores) and len(out) < most:
+            share = sum(s >= threshold for s in scores[at : at + length]) / length
+            if share > least_share:
+                out.append((at, share))
+            at += step if share > least_share else 1
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, raw in zip(pdf[key], pdf[content], strict=True):
+                scores, own, source = [], [], decode(raw)
+                while len(own) < most and (more := list(itertools.islice(source, batch))):
+                    scores += [s for _, s in more]
+                    own = found(scores)
+                rows += [(k, start, share, len(scores)) for start, share in own]
+            yield pd.DataFrame(rows, columns=[key, "start", "visible_frac", "scanned"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, content).mapInPandas(run, f"{key} {kind}, start long, visible_frac double, scanned long")
+
+
 def even_times(seconds, fps: float):
     """Times of frames drawn at ``fps``, from 0, as an array column: what an extraction to files covers."""
     from pyspark.sql import functions as F

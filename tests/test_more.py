@@ -189,6 +189,23 @@ def test_points_in_videos(spark):
     assert spark.range(1).select(seams.even_times(F.lit(2.0), 2.0).alias("t")).first()["t"] == [0, 0.5, 1.0, 1.5]
 
 
+def test_a_file_is_left_once_enough_is_found(spark, tmp_path):
+    read = []
+
+    def decode(raw):
+        for t, b in enumerate(bytes(raw)):
+            read.append(t)
+            yield t, b / 255
+
+    on, off = bytes([255]), bytes([0])
+    rows = spark.createDataFrame([(1, bytearray(off * 10 + on * 60 + off * 300)), (2, bytearray(off * 200))], "id int, raw binary")
+    got = [tuple(r) for r in seams.windows_until(rows, decode, "id", "raw").collect()]
+    assert got == [(1, 1, 0.55, 64), (1, 21, 1.0, 64)]
+    calls = []
+    make = lambda: calls.append(1) or spark.range(3)
+    assert [files.cached(spark, str(tmp_path / "p"), "ema", make).count() for _ in range(2)] == [3, 3] and calls == [1]
+
+
 def test_stream_forms(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(int(g), i, float(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 60), rng.normal(size=60), strict=True))]
