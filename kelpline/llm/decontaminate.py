@@ -234,3 +234,23 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
         F.size("spans").cast("long").alias("n_spans"),
     )
+
+
+def oracle(window: int = 10) -> str:
+    """The contract view in SQL: windows of every length that an item needs, joined as texts."""
+    upper = "".join(chr(c) for c in range(0x41, 0x5B))
+    words = lambda x: f"regexp_extract_all(translate(coalesce({x}, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    ahead = lambda n: " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER v" for k in range(1, n))])
+    runs = " UNION ALL ".join(f"SELECT r, k, {n} AS n, {ahead(n)} AS win FROM dw WHERE {n} IN (SELECT n FROM it) WINDOW v AS (PARTITION BY r ORDER BY k)" for n in range(1, window + 1))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS ws FROM documents),
+it AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, ws, least({window}, len(ws)) AS n FROM (SELECT item_id, {words('text')} AS ws FROM benchmark) WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM it)),
+dw AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
+runs AS ({runs}),
+hit AS (SELECT r, k, runs.n, item FROM runs JOIN iw ON runs.n = iw.n AND runs.win = iw.win),
+cov AS (SELECT DISTINCT r, unnest(range(k, k + n)) AS k FROM (SELECT DISTINCT r, k, n FROM hit)),
+isl AS (SELECT r, count(*) AS n_hit, count(*) FILTER (gap) AS n_spans FROM (SELECT r, coalesce(k - lag(k) OVER (PARTITION BY r ORDER BY k) > 1, true) AS gap FROM cov) GROUP BY r),
+own AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN isl USING (r) LEFT JOIN own USING (r)"""

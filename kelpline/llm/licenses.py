@@ -6,7 +6,9 @@ SHA-256 digest is looked up among the digests of known licence texts and
 notices.  The whole text is looked up by a hash join, and so is each of its
 lines (notices are usually one line of a longer text).
 
-Null text counts as empty; empty canonical forms match nothing.
+Null text counts as empty; empty canonical forms match nothing; long texts are
+hashed whole. Repeated rows keep a row each, other columns are ignored, an empty
+table gives an empty one.
 """
 
 from __future__ import annotations

@@ -27,7 +27,6 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -163,10 +162,9 @@ def plain_samples(row: np.ndarray, value: np.ndarray, samples: int, seed: int) -
     return best
 
 
-@lru_cache(maxsize=1)
 def sampler(samples: int, seed: int) -> Sampler:
     """This process's tables."""
-    return Sampler(samples, seed)
+    return W.resident(__name__, (samples, seed), lambda: Sampler(samples, seed))
 
 
 def band_keys(samples: np.ndarray, rows: int) -> np.ndarray:

@@ -11,14 +11,15 @@ Ranks are counted within tasks and shifted by sums over tasks, so equal
 lengths never meet in one task.
 
 Null text is empty: one piece of the closing id alone. Longer documents are
-cut into full pieces and a rest. Repeated ids keep a row each.
+cut into full pieces and a rest. Repeated rows keep their pieces each; pieces of
+equal length are placed in order of tasks. Other columns are ignored, an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -50,7 +51,7 @@ class Encoder:
     That is only done for a vocabulary on which both ways agree for a probe.
     """
 
-    KEPT, LONGEST = 250_000, 48
+    KEPT, LONGEST = 400_000, 48
     PROBE = "It's A caf\u00e9, (WE'LL)  12.5 \u00c9t\u00e9!! x_y@z.org \u0152uvre 'tis ''re"
 
     def __init__(self, path: str):
@@ -162,10 +163,9 @@ class Encoder:
         return self.pool[np.arange(int(size.sum())) + np.repeat(self.starts[at] - place, size)]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """This process's encoder; it and what it has learned outlive a task."""
-    return Encoder(path)
+    return W.resident(__name__, (path,), lambda: Encoder(path))
 
 
 def plan(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:

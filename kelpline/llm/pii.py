@@ -12,7 +12,10 @@ document.  Terms with a ratio of ``theta`` or more are spans of kind ``term``
 wherever they stand, in documents without the entity too; :func:`sanitised`
 generalises them to ``[TERM]`` and removes the entities.
 
-Null text counts as empty. Repeated rows count as documents of their own.
+Null text counts as empty; long texts are scanned whole. Repeated rows count as
+documents of their own. Spans are ordered by kind, then start; a term span that
+ties with a base span's place isn't added. Other columns are ignored, an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -145,8 +148,39 @@ def _hashes(values: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(v) - (1 << 63) for v in values]
 
 
-def term_frequencies(df: DataFrame, text_col: str) -> DataFrame:
-    """(term, df) over all texts; tasks send each word once with their own count."""
+def _slots(term: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each term (int64 hashes) in a filter of 2 ** ``bits`` bits."""
+    return [(W.mix(term.view(np.uint64) + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(3)]
+
+
+class Filter:
+    """A Bloom filter of terms (distinct), of about sixteen bits each and 8 MB at most: it spares other words the shuffle."""
+
+    def __init__(self, terms: DataFrame):
+        bits = self.bits = int(np.clip(np.ceil(np.log2(16 * terms.count() + 1)), 16, 26))
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have = np.zeros(1 << bits, bool)
+            for batch in batches:
+                for slot in _slots(batch.column(0).to_numpy(), bits):
+                    have[slot] = True
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(have).tobytes(), 1)], pa.binary())], names=["have"])
+
+        self.have = np.zeros(1 << (bits - 3), np.uint8)
+        for r in terms.select("term").coalesce(4).mapInArrow(W.tidied(fill), "have binary").toLocalIterator():  # filters of fixed size
+            self.have |= np.frombuffer(zlib.decompress(r.have), np.uint8)
+
+    def of(self, term: np.ndarray) -> np.ndarray:
+        """Places of the terms that may be in it."""
+        at = np.arange(len(term))
+        for slot in _slots(term, self.bits):
+            at = at[(self.have[slot[at] >> 3] >> (7 - (slot[at] & 7)).astype(np.uint8)) & 1 > 0]
+        return at
+
+
+def term_frequencies(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """(term, df) of ``terms`` (distinct) over all texts; tasks send each term once with their own count."""
+    shipped = df.sparkSession.sparkContext.broadcast(Filter(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -163,9 +197,10 @@ def term_frequencies(df: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in W.text_slices(batch.column(0)):
                 words = W.split_words(data, offsets)
-                row = W.row_of(words.first)
-                order = np.lexsort((words.hash, row))
-                h, r = words.hash[order], row[order]
+                at = shipped.value.of(words.hash.view(np.int64))
+                h, r = words.hash[at], W.row_of(words.first)[at]
+                order = np.lexsort((h, r))
+                h, r = h[order], r[order]
                 once = np.ones(len(h), bool)
                 once[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
                 held.append(np.unique(h[once], return_counts=True))
@@ -179,42 +214,19 @@ def term_frequencies(df: DataFrame, text_col: str) -> DataFrame:
         yield rows(*merged())
 
     counts = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(W.tidied(run), "term long, n long")
-    return counts.groupBy("term").agg(F.sum("n").alias("df"))
-
-
-def _slots(term: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three places of each term (int64 hashes) in a filter of 2 ** ``bits`` bits."""
-    return [(W.mix(term.view(np.uint64) + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(3)]
+    return counts.groupBy("term").agg(F.sum("n").alias("df")).join(terms, "term")
 
 
 def term_places(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """(key, start, end) of every place of ``terms`` (distinct) in the texts, by their digests.
-
-    A Bloom filter of the terms, of about sixteen bits each and 8 MB at most, spares other words the join.
-    """
-    bits = int(np.clip(np.ceil(np.log2(16 * terms.count() + 1)), 16, 26))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(1 << bits, bool)
-        for batch in batches:
-            for slot in _slots(batch.column(0).to_numpy(), bits):
-                have[slot] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(have).tobytes(), 1)], pa.binary())], names=["have"])
-
-    have = np.zeros(1 << (bits - 3), np.uint8)
-    for r in terms.select("term").coalesce(4).mapInArrow(W.tidied(fill), "have binary").toLocalIterator():  # filters of fixed size
-        have |= np.frombuffer(zlib.decompress(r.have), np.uint8)
-    shipped = df.sparkSession.sparkContext.broadcast(have)
+    """(key, start, end) of every place of ``terms`` (distinct) in the texts, by their digests."""
+    shipped = df.sparkSession.sparkContext.broadcast(Filter(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
         for batch in batches:
             for a, b, data, offsets in W.text_slices(batch.column(1)):
                 words = W.split_words(data, offsets)
                 term = words.hash.view(np.int64)
-                at = np.arange(len(term))
-                for slot in _slots(term, bits):
-                    at = at[(known[slot[at] >> 3] >> (7 - (slot[at] & 7)).astype(np.uint8)) & 1 > 0]
+                at = shipped.value.of(term)
                 row, chars = W.row_of(words.first)[at], W.char_starts(data)
                 ends = [pa.array((chars[x[at]] - chars[offsets[row]]).astype(np.int32)) for x in (words.start, words.end)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(term[at]), *ends], names=["key", "term", "start", "end"])
@@ -233,7 +245,7 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windo
     pairs = materialise(pairs, "pairs")
     entities = pairs.where("heads > 0").select("entity", F.col("heads").alias("df_entity"))
     likely = pairs.where((F.col("co") > 0) & (F.col("heads") == 0)).select("entity", "term", "co")
-    terms = likely.select("term").distinct().join(term_frequencies(df, text_col), "term")
+    terms = term_frequencies(df, text_col, materialise(likely.select("term").distinct(), "terms"))
     known = likely.join(entities, "entity").join(terms, "term")
     n = F.lit(float(max(total, 2)))
     whole = F.when(F.col("co") >= support, -F.log(F.col("df_entity") / n)).otherwise(F.log(n))

@@ -26,7 +26,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from kelpline.llm import licenses
+    from kelpline.llm import decontaminate, licenses, warc
 
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op9_licenses": licenses.oracle(), **whole}
+    return {"op3_decontaminate": decontaminate.oracle(), "op9_licenses": licenses.oracle(), "op10_warc": warc.oracle(), **whole}

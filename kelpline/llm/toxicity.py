@@ -180,7 +180,7 @@ def learn(labelled: DataFrame, documents: DataFrame, *, id_col: str = "doc_id",
     limit = F.when(F.col("y") == 1, F.lit(int(min(1, per_class / totals[1]) * (1 << 40)))).otherwise(F.lit(int(min(1, per_class / totals[0]) * (1 << 40))))
     chosen = known.where(draw < limit)
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(chosen, "id").distinct().collect()  # about 2 * per_class ids, whole texts
+    sample = texts.join(F.broadcast(chosen), "id").distinct().collect()  # about 2 * per_class ids, whole texts
     sample = sorted({(r["id"], r["text"], r["y"]) for r in sample})
     y = np.array([r[2] for r in sample])
     if len(set(y)) < 2:

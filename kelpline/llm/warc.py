@@ -252,3 +252,13 @@ def read_archives(archives: DataFrame, *, name_col: str = "archive", content_col
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     """Contract view: one row per page, from the archives as read back."""
     return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("archive")
+
+
+def oracle() -> str:
+    """The contract view in SQL."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    five = "CAST((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31 AS INTEGER)"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT h, min(page_id) AS head FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('{letters}', 1 + {five}, 1)), '') AS payload_digest,
+CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM p JOIN f USING (h)"""

@@ -86,12 +86,31 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
             row = upto
 
 
+_residents: dict[str, dict] = {}
+
+
+def resident(module: str, key: tuple, make: Callable):
+    """What ``make`` gives, once a process for a key: it outlives a task, until a task of another module begins."""
+    own = _residents.setdefault(module, {})
+    if key not in own:
+        own.clear()
+        own[key] = make()
+    return own[key]
+
+
+def leave_others(module: str) -> None:
+    """Drops what other modules keep in this process."""
+    for other in [m for m in _residents if m != module]:
+        del _residents[other]
+
+
 def tidied(run: Callable) -> Callable:
-    """A partition function that hands the memory it freed back to the system at its end: worker processes live on and
-    share an executor's memory with whatever runs next."""
+    """A partition function that hands the memory it freed back to the system at its end, and what other modules keep at its
+    beginning: worker processes live on and share an executor's memory with whatever runs next."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_others(run.__module__)
         try:
             yield from run(batches)
         finally:

@@ -401,8 +401,9 @@ def test_language_without_labels(spark, empty, edge):
 # --- 9
 
 
-def test_licenses_equal_sql(spark, sf_dir):
-    oracle.check(spark, oracle.connect(sf_dir), sf_dir, licenses.op9_licenses, licenses.oracle())
+@pytest.mark.parametrize("name", ["op3_decontaminate", "op9_licenses", "op10_warc"])
+def test_equals_sql(spark, sf_dir, name):
+    oracle.check(spark, oracle.connect(sf_dir), sf_dir, registry.queries()[name], registry.oracle_sql()[name])
 
 
 @pytest.mark.parametrize("name,file", [("Apache-2.0", "Apache-2.0"), ("GPL-1.0", "GPL-1"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.0", "LGPL-2"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("Artistic-1.0-Perl", "Artistic"), ("GFDL-1.2", "GFDL-1.2"), ("GFDL-1.3", "GFDL-1.3"), ("BSD-3-Clause", "BSD")])
