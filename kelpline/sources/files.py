@@ -48,7 +48,8 @@ def csv(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame,
     header stays."""
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
     rows = spark.read.schema(full).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
-    return rows.where("_corrupt IS NULL").drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull() & (F.length(F.concat_ws("", *schema.names)) >= 0)).select(F.col("_corrupt").alias("value"))
+    rows = rows.where(F.length(F.concat_ws("", *schema.names)) >= 0)  # always: a query of the rejects alone isn't allowed
+    return rows.where("_corrupt IS NULL").drop("_corrupt"), rows.where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("value"))
 
 
 def valid_files(files: DataFrame, least_bytes: int = 10_000, frames: str | None = None, least_frames: int = 37) -> DataFrame:
