@@ -17,6 +17,9 @@ _QUERIES = {
     "op8_language_id": "langid",
     "op9_licenses": "licenses",
     "op10_warc": "warc",
+    "op11_periodic_runs": "periodic",
+    "op12_fill_in_middle": "fim",
+    "op13_url_filter": "urlfilter",
 }
 
 
@@ -26,7 +29,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from kelpline.llm import decontaminate, licenses, warc
+    from kelpline.llm import decontaminate, fim, licenses, urlfilter, warc
 
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op3_decontaminate": decontaminate.oracle(), "op9_licenses": licenses.oracle(), "op10_warc": warc.oracle(), **whole}
+    parts = {"op3_decontaminate": decontaminate, "op9_licenses": licenses, "op10_warc": warc, "op12_fill_in_middle": fim, "op13_url_filter": urlfilter}
+    return {**{name: module.oracle() for name, module in parts.items()}, **whole}
