@@ -215,12 +215,17 @@ def scan(docs: DataFrame, *, text_col: str = "text", exponent: int = 4, least: i
 
 def planted(text: Column, h: Column) -> Column:
     """The contract's texts: where h % 10 = 0 the words from a on repeat the first p of them."""
-    words = F.regexp_extract_all(text, F.lit(WORD), 0)
-    n, g = F.size(words), F.floor(h / 10)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, source(i))), " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def tail_repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        cycles = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(cycles, F.lit(1), n - a)), " ")).otherwise("")
+
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD), 0))  # a row of one, so that the words are taken once
+    return F.when(h % 10 == 0, F.get(F.transform(words, tail_repeated), 0)).otherwise(text)
 
 
 def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
