@@ -60,5 +60,5 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-for _part in ("q_behaviour", "q_selection", "q_signals", "q_statistics", "q_text", "q_joins", "q_more"):
+for _part in ("q_behaviour", "q_selection", "q_signals", "q_statistics", "q_text", "q_joins", "q_more", "q_streams", "q_rounds"):
     importlib.import_module(f"kelpline.plans.{_part}")

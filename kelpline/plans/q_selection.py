@@ -17,7 +17,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rk DESC, coalesc
 merged AS (SELECT url, status, n_clips, scanned_sec, CASE WHEN had = 0 THEN 'added' WHEN old = 0 THEN 'updated' ELSE 'unchanged' END AS outcome FROM best WHERE b = 1)"""
 
 
-def _merged(spark, d):
+def ledger_sides(spark, d):
+    """The ledger's rows and those that come in, one a url each."""
     key = F.col("o_orderkey")
     names = {"1-URGENT": "clips", "2-HIGH": "scanned_empty", "3-MEDIUM": "probed_empty", "5-LOW": "failed"}
     status = F.lit("odd")
@@ -26,7 +27,11 @@ def _merged(spark, d):
     rows = table(spark, d, "orders")
     rows = rows.select(key, F.col("o_custkey").alias("url"), status.alias("status"), (key % 5).cast("int").alias("n_clips"), F.when(key % 3 != 0, (key % 900).cast("int")).alias("scanned_sec"), (key % 2 == 0).alias("old"))
     one = M.first_seen(rows, ["url", "old"], ["o_orderkey"]).drop("o_orderkey")
-    old, new = one.where("old").drop("old"), one.where("NOT old").drop("old")
+    return one.where("old").drop("old"), one.where("NOT old").drop("old")
+
+
+def _merged(spark, d):
+    old, new = ledger_sides(spark, d)
     return M.keep_better(old, new, "url", M.status_rank(F.col("status")), ["n_clips", "scanned_sec"])
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.streaming import signals
+from kelpline.streaming import scans, signals
 
 
 def scratch(spark: SparkSession) -> str:
@@ -21,10 +21,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/kelpline/stream-{uuid.uuid4().hex}"
 
 
-def finished_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    events = raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def scanned(spark: SparkSession, sf_dir: str, fold, inputs: list[str]) -> DataFrame:
+    """What an ordered scan of the events by user has given at the stream's end; sessions end two days after their last row."""
     at = scratch(spark)
+    with scans.state_store(spark):
+        out = scans.scan(events_stream(spark, sf_dir), fold, "user_id", "ts", "event_id", inputs, gap="2 days", late="1 hour")
+        return signals.run_to_end(out, f"{at}/out", f"{at}/state")
+
+
+def finished_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, at = events_stream(spark, sf_dir), scratch(spark)
     out = signals.run_to_end(signals.tumbling(events, "ts", "event_type", "value"), f"{at}/out", f"{at}/state")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -1,13 +1,9 @@
-"""Structured Streaming forms of the signal operators; each equals its batch form on the same rows."""
+"""Structured Streaming: windows, sessions, work rounds, commits. Scans that keep state are in :mod:`kelpline.streaming.scans`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -28,49 +24,6 @@ def sessions(events: DataFrame, time: str, by: str, *, gap: str = "30 minutes",
     return events.withWatermark(time, late).groupBy(s.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def greedy(events: DataFrame, group: str, order: str, visible: str, *, length: int = 20, step: int = 20, threshold: float = 0.5, least_share: float = 0.5, most: int | None = None) -> DataFrame:
-    """Greedy windows over rows as they come: group, start, visible_frac. State: rows of the open window and its place."""
-    kind = events.schema[group].dataType.simpleString()
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, start, found = state.get if state.exists else ([], 0, 0)
-        held, out = list(held), []
-        rows = pd.concat(list(batches)).sort_values(order)
-        for x in rows[visible]:
-            if most is not None and found >= most:
-                break
-            held.append(float(x))
-            while len(held) >= length and (most is None or found < most):
-                share = sum(v >= threshold for v in held[:length]) / length
-                if share > least_share:
-                    out.append((key[0], start, share))
-                    found += 1
-                    drop = step
-                else:
-                    drop = 1
-                held, start = held[drop:], start + drop
-        state.update((held, start, found))
-        yield pd.DataFrame(out, columns=[group, "start", "visible_frac"])
-
-    if step > length:
-        raise ValueError("the streaming form needs step <= length")
-    return events.groupBy(group).applyInPandasWithState(advance, f"{group} {kind}, start long, visible_frac double", "held array<double>, start long, found int", "append", GroupStateTimeout.NoTimeout)
-
-
-def ema(events: DataFrame, group: str, order: str, value: str, alpha: float = 0.45) -> DataFrame:
-    """The running exponential average and count of each group after each batch; state: both."""
-    kind = events.schema[group].dataType.simpleString()
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        e, n = state.get if state.exists else (None, 0)
-        for x in pd.concat(list(batches)).sort_values(order)[value]:
-            e, n = (float(x) if e is None else alpha * float(x) + (1 - alpha) * e), n + 1
-        state.update((e, n))
-        yield pd.DataFrame({group: [key[0]], "ema": [e], "n": [n]})
-
-    return events.groupBy(group).applyInPandasWithState(advance, f"{group} {kind}, ema double, n long", "ema double, n long", "update", GroupStateTimeout.NoTimeout)
-
-
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs an append stream over what there is and returns what it wrote; a later run goes on from the checkpoint."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
@@ -103,20 +56,6 @@ def sliding(events: DataFrame, time: str, by: str, value: str, *, width: str = "
     return events.withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def differences(events: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """group, order, difference to the row before, over batches; 0 for a group's first. State: the last value."""
-    kinds = {c: events.schema[c].dataType.simpleString() for c in (group, order)}
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order)
-        v = rows[value].to_numpy(float)
-        before = [state.get[0] if state.exists else v[0], *v[:-1]]
-        state.update((float(v[-1]),))
-        yield pd.DataFrame({group: rows[group], order: rows[order], "difference": abs(v - before)})
-
-    return events.groupBy(group).applyInPandasWithState(advance, f"{group} {kinds[group]}, {order} {kinds[order]}, difference double", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
 class OutOfCredit(RuntimeError):
     """The remote service takes no more calls: the run ends, what was saved stays."""
 

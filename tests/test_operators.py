@@ -250,18 +250,6 @@ def test_seams(spark):
     assert cheap.count() == 2 and dear.count() == 1
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    rng = np.random.default_rng(3)
-    schema = StructType([StructField("g", StringType()), StructField("i", LongType()), StructField("x", DoubleType())])
-    rows = [("ab"[i % 2], i, float(rng.random())) for i in range(120)]
-    for k in range(3):
-        spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.parquet(str(tmp_path / f"in/b{k}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    got = signals.run_to_end(signals.greedy(stream, "g", "i", "x", length=5, step=5), str(tmp_path / "out"), str(tmp_path / "ck"))
-    want = W.greedy_windows(spark.createDataFrame(rows, schema), "g", "i", "x", "x", length=5, step=5)
-    assert sorted((r["g"], r["start"]) for r in got.collect()) == sorted((r["g"], r["start"]) for r in want.collect())
-
-
 def test_work_rounds_stop(spark):
     done = []
     assert signals.work_rounds(lambda: spark.range(3).where(~F.col("id").isin(done or [-1])), lambda df: [r["id"] for r in df.limit(1).collect()], done.extend) == 3
