@@ -5,9 +5,10 @@ labelled credentials they yield in a bounded sample of the corpus, with
 examples of published token formats, train one probabilistic automaton of
 characters a format (:mod:`kelpline.llm.automata`); ordinary long tokens of the
 same sample train the background: an automaton of character classes, and which
-character follows which within them.  Every token of the base alphabet with 12
-or more characters, in every text, is scored by the log-likelihood ratio of the
-best format over the background.
+character follows which within them; numbers (addresses, dates, times,
+versions, decimals) train a second one.  Every token of the base alphabet with 12
+or more characters that is more than numbers and separators, in every text, is
+scored by the log-likelihood ratio of the best format over the background.
 
 Ratios of all tokens of all texts make a histogram; how many of them are
 credentials is the share that explains it best (expectation maximisation over
@@ -41,7 +42,10 @@ ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "format")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: A token: 12 or more characters, not all of them numbers and separators (those are addresses, dates, versions, sums).
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{12,}")
+
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Published token formats: prefix, alphabet of the rest, its length.  Fixed values.
@@ -99,9 +103,10 @@ class Formats:
 
     def _learn(self, ordinary: list[str]) -> None:
         ordinary = sorted({*ordinary, *(w.upper() for w in ordinary), *(w.lower() for w in ordinary), *(w.capitalize() for w in ordinary)})  # words shout and whisper, and begin sentences
-        self.background = [A.Automaton(ordinary, restart=True)]
+        figures = numbers(40, 7)
+        self.background = [A.Automaton(ordinary, restart=True), A.Automaton(figures)]
         pairs = np.full((256, 256), 0.02)
-        for w in ordinary:
+        for w in [*ordinary, *figures]:
             c = self._folded(w)
             np.add.at(pairs, (c[:-1], c[1:]), 1)
         self.pair = np.log(pairs / pairs.sum(axis=1, keepdims=True))
@@ -158,6 +163,26 @@ class Scored:
             self.known.update(zip(part, self.formats.scores(part).tolist(), strict=True))
 
 
+def numbers(per_kind: int, seed: int) -> list[str]:
+    """Tokens of figures that are no credentials, alone and beside a word."""
+    rng = np.random.default_rng(seed)
+    n = lambda low, high: int(rng.integers(low, high))
+    kinds = (
+        lambda: ".".join(str(n(0, 256)) for _ in range(4)),
+        lambda: f"{n(1970, 2070)}-{n(1, 13):02d}-{n(1, 29):02d}",
+        lambda: f"{n(1, 29):02d}.{n(1, 13):02d}.{n(1970, 2070)}",
+        lambda: f"{n(1970, 2070)}/{n(1, 13):02d}/{n(1, 29):02d}",
+        lambda: f"{n(1970, 2070)}{n(1, 13):02d}{n(1, 29):02d}T{n(0, 24):02d}{n(0, 60):02d}{n(0, 60):02d}Z",
+        lambda: f"v{n(0, 30)}.{n(0, 60)}.{n(0, 20)}",
+        lambda: f"{n(0, 30)}.{n(0, 60)}.{n(0, 20)}-{rng.choice(['rc', 'beta', 'alpha', 'ubuntu', 'dev', 'final', 'release'])}.{n(0, 99)}",
+        lambda: f"{n(0, 10**6)}.{n(0, 10**6)}",
+        lambda: f"+{n(1, 99)}-{n(100, 999)}-{n(100, 999)}-{n(1000, 9999)}",
+    )
+    words = ("ip", "host", "date", "build", "log", "tar", "gz", "version", "page", "id", "node", "copy", "txt")
+    beside = lambda x: rng.choice([f"{rng.choice(words)}{rng.choice(list('=-_./'))}{x}", f"{x}{rng.choice(list('-_./'))}{rng.choice(words)}"])
+    return [w for make in kinds for _ in range(per_kind) for x in [make()] for w in (x, str(beside(x)))]
+
+
 def published(per_format: int, seed: int) -> dict[str, list[str]]:
     rng = np.random.default_rng(seed)
     return {f"{prefix}{n}": [prefix + "".join(rng.choice(list(alphabet), n)) for _ in range(per_format)] for prefix, alphabet, n in FORMATS}
@@ -176,7 +201,7 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
             for text in batch.column(0).to_pylist():
                 spans = base_spans(text)
                 for kind, a, b in spans:
-                    own = TOKEN.findall(text[a:b])
+                    own = RUN.findall(text[a:b])
                     if own:
                         kinds.append(kind)
                         values.append(own[-1])
