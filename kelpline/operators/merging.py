@@ -97,12 +97,12 @@ def greedy_keep(rows: DataFrame, group: str, key: str, vector: str, threshold: f
 
 
 def greedy_keep_overall(rows: DataFrame, group: str, key: str, vector: str, within: float, overall: float, most: int) -> DataFrame:
-    """:func:`greedy_keep` within groups, then over what is left of all groups, in key order, until ``most`` rows are kept (a stated
-    sample size; the second pass is one sequence by definition)."""
-    few = greedy_keep(rows, group, key, vector, within)
-    left = rows.join(few, [group, key], "left_semi").withColumn("__all", F.lit(1))
-    kept = greedy_keep(left, "__all", key, vector, overall).orderBy(key).limit(most)
-    return left.join(kept.select(key), key, "left_semi").select(group, key)
+    """:func:`greedy_keep` within groups, then in rounds over what is left of all groups, in key order, until ``most`` rows are
+    kept (a stated sample size)."""
+    from kelpline.operators.rounds import greedy_overall
+
+    left = rows.join(greedy_keep(rows, group, key, vector, within), [group, key], "left_semi")
+    return left.join(greedy_overall(left, key, vector, overall, most=most), key, "left_semi").select(group, key)
 
 
 def similar_pairs(rows: DataFrame, group: str, key: str, vector: str, threshold: float, block: int = 1024) -> DataFrame:

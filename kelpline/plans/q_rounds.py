@@ -1 +1,61 @@
 """Queries: choices made in rounds, successors, quantiles and bootstraps without a single group."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kelpline.operators import rounds as R
+from kelpline.plans.catalogue import query, table
+
+_KEPT = """n AS MATERIALIZED (SELECT b.video, b.i, list(a.i) AS near FROM e a JOIN e b ON a.video = b.video AND a.i < b.i AND list_cosine_similarity(a.v, b.v) >= {cut} GROUP BY b.video, b.i),
+g AS (SELECT video, 0::BIGINT AS i, []::BIGINT[] AS kept, max(e.i) AS last FROM e GROUP BY video
+UNION ALL SELECT g.video, g.i + 1, CASE WHEN list_has_any(kept, coalesce(near, [])) THEN kept ELSE list_append(kept, g.i + 1) END, last FROM g LEFT JOIN n ON n.video = g.video AND n.i = g.i + 1 WHERE g.i < last),
+k AS (SELECT video, unnest(kept) AS i FROM g WHERE i = last)"""
+
+
+@query("WITH RECURSIVE e AS (SELECT vec_id // 20 AS video, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) AS i, vec_id, embedding::DOUBLE[] AS v FROM embeddings), " + _KEPT.format(cut=0.3) + " SELECT CAST(video AS BIGINT) AS video, vec_id FROM e JOIN k USING (video, i)")
+def greedy_keep(spark, d):
+    from kelpline.operators import merging as M
+
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("video"), "vec_id", "embedding")
+    return M.greedy_keep(rows, "video", "vec_id", "embedding", 0.3)
+
+
+@query("WITH RECURSIVE e AS (SELECT 0 AS video, row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding::DOUBLE[] AS v FROM embeddings), " + _KEPT.format(cut=0.4) + " SELECT vec_id FROM e JOIN k USING (video, i)")
+def greedy_keep_all(spark, d):
+    """The same over all videos, in rounds."""
+    return R.greedy_overall(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 0.4, head=128)
+
+
+_QUOTA = {"de": 9, "en": 12, "es": 7, "fr": 10}
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT doc_id, lang AS s, source AS v, 'cam' || (doc_id % 5) AS c, n_chars > 2000 AS f, row_number() OVER (PARTITION BY lang, n_chars > 2000 ORDER BY md5('q:' || doc_id), doc_id) AS p FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')),
+z AS (SELECT s, count(*) AS n FROM q GROUP BY s), o AS (SELECT s, row_number() OVER (ORDER BY n, s) AS k, CASE s WHEN 'de' THEN {_QUOTA['de']} WHEN 'en' THEN {_QUOTA['en']} WHEN 'es' THEN {_QUOTA['es']} ELSE {_QUOTA['fr']} END AS quota FROM z),
+g AS (SELECT 1::BIGINT AS k, 0 AS n, true AS f, false AS second, false AS missed, [0, 0]::BIGINT[] AS pos, []::VARCHAR[] AS vs, []::VARCHAR[] AS cs, NULL::BIGINT AS doc_id, 0 AS turn, 0 AS step
+UNION ALL SELECT CASE WHEN ends THEN k + 1 ELSE k END, CASE WHEN ends THEN 0 ELSE n2 END, CASE WHEN ends THEN true WHEN second THEN n2 % 2 = 0 ELSE NOT f END, NOT ends AND NOT second, NOT second AND pick IS NULL,
+CASE WHEN ends THEN [0, 0]::BIGINT[] WHEN f THEN [coalesce(pick.p, 1000000000), pos[2]] ELSE [pos[1], coalesce(pick.p, 1000000000)] END,
+CASE WHEN pick IS NULL THEN vs ELSE list_append(vs, pick.v) END, CASE WHEN pick IS NULL THEN cs ELSE list_append(cs, pick.c) END, pick.doc_id, n, step + 1
+FROM (SELECT *, n2 >= quota OR (second AND missed AND pick IS NULL) AS ends FROM (SELECT *, n + CASE WHEN pick IS NULL THEN 0 ELSE 1 END AS n2 FROM (SELECT g.k, g.n, g.f, g.second, g.missed, g.pos, g.vs, g.cs, g.step, any_value(o.quota) AS quota,
+min(CASE WHEN q.p IS NOT NULL THEN {{'p': q.p, 'v': q.v, 'c': q.c, 'doc_id': q.doc_id}} END) AS pick
+FROM g JOIN o ON o.k = g.k LEFT JOIN q ON q.s = o.s AND q.f = g.f AND q.p > CASE WHEN g.f THEN g.pos[1] ELSE g.pos[2] END AND len(list_filter(g.vs, lambda x: x = q.v)) < 4 AND len(list_filter(g.cs, lambda x: x = q.c)) < 9
+GROUP BY g.k, g.n, g.f, g.second, g.missed, g.pos, g.vs, g.cs, g.step))))
+SELECT g.doc_id, lang AS stratum, g.turn FROM g JOIN documents USING (doc_id) WHERE g.doc_id IS NOT NULL""")
+def quota_sample(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("stratum"), "source", F.concat(F.lit("cam"), F.col("doc_id") % 5).alias("camera"), (F.col("n_chars") > 2000).alias("long"))
+    return R.quota_sample(rows, "stratum", "source", "camera", "doc_id", "long", quota=_QUOTA, per_video=4, per_camera=9, seed="q")
+
+
+@query("""WITH RECURSIVE l AS (SELECT user_id AS g, event_type AS l, count(*) AS n FROM events GROUP BY ALL), d AS (SELECT g, arg_min(l, (-n, l)) AS dom FROM l GROUP BY g),
+r AS (SELECT dom, count(*) AS groups, row_number() OVER (ORDER BY count(*), dom) AS k FROM d GROUP BY dom), names AS (SELECT l, row_number() OVER (ORDER BY l) AS j FROM (SELECT DISTINCT l FROM l)),
+o AS (SELECT d.g, names.j, row_number() OVER (ORDER BY r.k, md5('b:' || d.g), d.g) AS i FROM d JOIN r USING (dom) JOIN names ON names.l = d.dom),
+x AS (SELECT o.i, any_value(o.g) AS g, any_value(o.j) AS j, list(coalesce(l.n, 0) ORDER BY names.j)::BIGINT[] AS ns FROM o CROSS JOIN names LEFT JOIN l ON l.g = o.g AND l.l = names.l GROUP BY o.i),
+s AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS g, 0 AS best, list_transform(range((SELECT 3 * count(*) FROM names)), lambda z: 0::BIGINT) AS have
+UNION ALL SELECT i, g, best, list_transform(have, lambda z, q: z + CASE WHEN (q - 1) % 3 = best THEN ns[(q - 1) // 3 + 1] ELSE 0 END) FROM (
+SELECT x.i, x.g, x.ns, s.have, CASE WHEN d0 >= d1 AND d0 >= d2 THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS best FROM (
+SELECT s.*, x.*, 0.7::DOUBLE - h0 / t AS d0, 0.15::DOUBLE - h1 / t AS d1, 0.15::DOUBLE - h2 / t AS d2 FROM (SELECT s.i AS was, s.have, s.have[3 * (x.j - 1) + 1]::DOUBLE AS h0, s.have[3 * (x.j - 1) + 2]::DOUBLE AS h1, s.have[3 * (x.j - 1) + 3]::DOUBLE AS h2,
+greatest(1, s.have[3 * (x.j - 1) + 1] + s.have[3 * (x.j - 1) + 2] + s.have[3 * (x.j - 1) + 3])::DOUBLE AS t FROM s JOIN x ON x.i = s.i + 1) s JOIN x ON x.i = s.was + 1) s JOIN x ON x.i = s.was + 1))
+SELECT g AS clip, ['train', 'val', 'test'][best + 1] AS split FROM s WHERE g IS NOT NULL""")
+def balanced_split(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("clip"), "event_type")
+    return R.balanced_split(rows, "clip", "event_type", {"train": 0.7, "val": 0.15, "test": 0.15}, seed="b", chunk=60)

@@ -217,25 +217,3 @@ SELECT a.video AS video, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similar
 def near_duplicate_pairs(spark, d):
     rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("video"), "vec_id", "embedding")
     return rounded(M.similar_pairs(rows, "video", "vec_id", "embedding", 0.3), "cosine")
-
-
-@query()
-def greedy_keep(spark, d):
-    """Sequential by definition: held against brute force in the tests."""
-    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("video"), "vec_id", "embedding")
-    return M.greedy_keep(rows, "video", "vec_id", "embedding", 0.3)
-
-
-@query()
-def balanced_split(spark, d):
-    from kelpline.operators.tracking import balanced_split as fold
-
-    return fold(table(spark, d, "documents").select("source", "lang"), "source", "lang", {"train": 0.7, "val": 0.15, "test": 0.15})
-
-
-@query()
-def quota_sample(spark, d):
-    from kelpline.operators.tracking import quota_sample as choose
-
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang", (F.col("n_chars") > 2000).alias("long")).withColumn("stratum", F.concat_ws("-", "lang", (F.col("doc_id") % 3).cast("string")))
-    return choose(rows, "stratum", "source", "lang", "doc_id", "long", quota=12, per_video=4, per_camera=12)

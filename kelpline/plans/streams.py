@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.sources import stage
 from kelpline.streaming import scans, signals
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared one; a temporary one where none is set and driver and executors are one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="kelpline-")
-    return f"{base.rstrip('/')}/kelpline/stream-{uuid.uuid4().hex}"
+    return stage.folder(spark, "stream")
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

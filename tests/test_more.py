@@ -89,13 +89,52 @@ def test_greedy_overall_equals_a_loop(spark):
     assert sorted(r["id"] for r in M.greedy_keep_overall(df, "video", "id", "vec", 0.93, 0.95, 10).collect()) == want
 
 
-def test_matches_equal_brute_force(spark, sf_dir):
-    near = QUERIES["nearest_match"](spark, sf_dir).toPandas()
+def test_matches_equal_an_exhaustive_search(spark, sf_dir):
+    """Each frame's least total distance over all one-to-one matchings, of which the pairs within the radius stay."""
+    from kelpline.plans.catalogue import observations
+
     best = QUERIES["hungarian_match"](spark, sf_dir).toPandas()
-    for out in (near, best):
-        frame = next(c for c in out.columns if c not in ("a", "b", "distance"))
-        assert not out.duplicated([frame, "a"]).any() and not out.duplicated([frame, "b"]).any()
-    assert best["distance"].sum() >= 0 and len(near) > 0
+    points = observations(spark, sf_dir).selectExpr("seq div 12 AS frame", "seq", "value", "double(k) AS y").toPandas()
+    got = {f: g for f, g in best.groupby("frame")}
+    for f, own in points.groupby("frame"):
+        a, b = own[own["seq"] % 2 == 0], own[own["seq"] % 2 == 1]
+        if len(a) > len(b):
+            a, b = b, a
+        d = np.hypot(a["value"].to_numpy()[:, None] - b["value"].to_numpy(), a["y"].to_numpy()[:, None] - b["y"].to_numpy())
+        orders = np.array(list(itertools.permutations(range(len(b)), len(a))))
+        totals = d[np.arange(len(a)), orders].sum(axis=1)
+        want = d[np.arange(len(a)), orders[totals.argmin()]]
+        found = got[f]["distance"].to_numpy() if f in got else np.empty(0)
+        assert sorted(found) == pytest.approx(sorted(want[want <= 60.0]))
+
+
+def test_tracklets_equal_a_loop(spark):
+    from kelpline.operators import tracking as T
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for clip in range(6):
+        for track in range(25):
+            first = int(rng.integers(0, 60))
+            rows.append((clip, track, first, first + int(rng.integers(0, 6)), *[float(x) for x in rng.uniform(0, 12, 4)]))
+    df = spark.createDataFrame(rows, "clip int, track long, first int, last int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r["clip"], r["track"]): r["chain"] for r in T.link_tracklets(df, "clip", "track", radius=2.0).collect()}
+    for clip in range(6):
+        own = {r[1]: r for r in rows if r[0] == clip}
+        after: dict = {}
+        while True:  # the cheapest link left, again and again
+            open_ = [(math.hypot(own[b][4] - own[a][6], own[b][5] - own[a][7]), a, b) for a in own for b in own if a != b and a not in after and b not in after.values() and 1 <= own[b][2] - own[a][3] <= 8]
+            open_ = [x for x in open_ if x[0] <= 2.0 * (own[x[2]][2] - own[x[1]][3])]
+            if not open_:
+                break
+            _, a, b = min(open_)
+            after[a] = b
+        before = {b: a for a, b in after.items()}
+        for track in own:
+            head = track
+            while head in before:
+                head = before[head]
+            assert got[clip, track] == head
 
 
 def test_graph_metrics_and_states_by_hand(spark):

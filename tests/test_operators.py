@@ -149,20 +149,6 @@ def test_greedy_keep_equals_brute_force(spark):
     assert {r["k"] for r in M.greedy_keep(df, "g", "k", "v", 0.5).collect()} == want
 
 
-def test_splits_keep_groups_whole(spark):
-    rows = spark.createDataFrame([(f"v{i % 23}", "ab"[i % 2 if i % 5 else 0]) for i in range(200)], "g string, label string")
-    out = T.balanced_split(rows, "g", "label", {"train": 0.7, "test": 0.3})
-    assert out.count() == 23 and M.leaks(rows.join(out, "g"), "g", "split").isEmpty()
-
-
-def test_quota_sample_holds_its_caps(spark):
-    rows = spark.createDataFrame([(f"s{i % 4}", f"v{i % 9}", f"c{i % 2}", i, i % 3 == 0) for i in range(300)], "s string, v string, c string, k int, f boolean")
-    out = T.quota_sample(rows, "s", "v", "c", "k", "f", quota=5, per_video=3, per_camera=4).join(rows.select("k", "v", "c"), "k").collect()
-    assert len(out) > 0
-    for key, most in (("s", 5), ("v", 3)):
-        assert max(sum(r[key] == x for r in out) for x in {r[key] for r in out}) <= most
-
-
 def test_tracklets_link_over_gaps(spark):
     t = spark.createDataFrame([("a", 1, 0, 5, 0.0, 0.0, 1.0, 1.0), ("a", 2, 8, 9, 1.5, 1.0, 2.0, 2.0), ("a", 3, 30, 31, 2.0, 2.0, 2.0, 2.0)], "clip string, track long, first long, last long, x0 double, y0 double, x1 double, y1 double")
     assert {r["track"]: r["chain"] for r in T.link_tracklets(t, "clip", "track", radius=1.0).collect()} == {1: 1, 2: 1, 3: 3}
