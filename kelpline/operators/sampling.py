@@ -18,7 +18,7 @@ def shuffled(key: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), key.cast("string")))
 
 
-def _before(groups: DataFrame, key: str, amount: Column, seed: str) -> DataFrame:
+def before_in_order(groups: DataFrame, key: str, amount: Column, seed: str) -> DataFrame:
     """``groups`` with ``__before``, the sum of ``amount`` over what precedes a group in hashed order, and ``__all``, over all.
 
     Hashes spread evenly over 256 ranges by their first digits: sums by range, running sums over those 256 rows and within
@@ -34,13 +34,13 @@ def _before(groups: DataFrame, key: str, amount: Column, seed: str) -> DataFrame
 
 def quota_split(groups: DataFrame, key: str, amount: str, quota: int, seed: str) -> DataFrame:
     """Whole groups, in hashed order, to train until what went before reaches the quota. Groups are aggregated first: one row each."""
-    placed = _before(groups, key, F.col(amount), seed)
+    placed = before_in_order(groups, key, F.col(amount), seed)
     return placed.select(key, amount, F.when(F.col("__before") < quota, "train").otherwise("test").alias("split"))
 
 
 def fraction_split(groups: DataFrame, key: str, share: float, seed: str, forced: list) -> DataFrame:
     """The first ``share`` of hashed groups, and the forced ones, are test."""
-    placed = _before(groups, key, F.lit(1), seed)
+    placed = before_in_order(groups, key, F.lit(1), seed)
     first = F.col("__before") + 1 <= F.floor(F.col("__all") * share)
     return placed.select(key, F.when(first | F.col(key).isin(forced), "test").otherwise("train").alias("split"))
 
@@ -109,6 +109,25 @@ def resume_position(rows: DataFrame, index: str, done: Column) -> DataFrame:
     return both.agg(F.coalesce(F.min(F.when(F.col(index) > F.col("last"), F.col(index))), F.min(index)).alias("position"))
 
 
+def next_open(rows: DataFrame, queue: str, index: str, open_: Column, *, width: int = 10_000) -> DataFrame:
+    """For every position of a queue the next one that is open, from the queue's start again after its end: queue, index, next,
+    all_done. Where nothing is open, next is the following position, or the last.
+
+    Positions are numbered from 0. Stretches of ``width`` positions have their first open one; what lies ahead of a position is
+    the rest of its stretch, then the first of the stretches after it, then the first of all, so no task orders a queue.
+    """
+    own = rows.select(queue, index, open_.alias("__open")).withColumn("__stretch", F.floor(F.col(index) / width))
+    first = F.min(F.when(F.col("__open"), F.col(index)))
+    stretches = own.groupBy(queue, "__stretch").agg(first.alias("__first"), F.max(index).alias("__last"))
+    after = Window.partitionBy(queue).orderBy("__stretch").rowsBetween(1, Window.unboundedFollowing)
+    every = Window.partitionBy(queue)
+    stretches = stretches.select(queue, "__stretch", F.min("__first").over(after).alias("__later"), F.min("__first").over(every).alias("__any"), F.max("__last").over(every).alias("__end"))
+    ahead = Window.partitionBy(queue, "__stretch").orderBy(index).rowsBetween(1, Window.unboundedFollowing)
+    placed = own.withColumn("__next", F.min(F.when(F.col("__open"), F.col(index))).over(ahead)).join(stretches, [queue, "__stretch"])
+    following = F.least(F.col(index) + 1, F.col("__end"))
+    return placed.select(queue, index, F.coalesce("__next", "__later", "__any", following).alias("next"), F.col("__any").isNull().alias("all_done"))
+
+
 def water_filled(rows: DataFrame, label: str, key: str, budget: int, seed: str = "w") -> DataFrame:
     """At most ``budget`` rows, classes as even as their sizes allow: all of a small class, a common level for the others.
 

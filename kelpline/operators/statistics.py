@@ -22,16 +22,18 @@ def auc(rows: DataFrame, score: str, positive: Column, groups: list[str] | None
         won = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
         sums = below.groupBy(*groups).agg(won.alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     else:
-        ranked = counts.join(ranked_by_range(rows.where(positive.isNotNull()), score).select(score, "rank"), score)
+        ranked = ranked_counts(counts.withColumn("c", F.col("p") + F.col("n")).where("c > 0"), score)
         n1 = F.sum("p").cast("double")
         sums = ranked.agg((F.sum(F.col("p") * F.col("rank")) - n1 * (n1 + 1) / 2).alias("won"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return sums.select(*(groups or []), "n_pos", "n_neg", (F.col("won") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"))
 
 
 def fp_at_recall(rows: DataFrame, score: str, positive: Column, recall: float) -> DataFrame:
-    """The cut that reaches the recall (linear quantile of positives) and the share of negatives at or above it."""
-    cut = rows.agg(F.percentile(F.when(positive, F.col(score)), 1 - recall).alias("cut"))
-    return rows.crossJoin(F.broadcast(cut)).agg(F.max("cut").alias("cut"), F.avg(F.when(~positive, (F.col(score) >= F.col("cut")).cast("double"))).alias("fp_rate"))
+    """The cut that reaches the recall (linear quantile of positives, exact) and the share of negatives at or above it."""
+    from kelpline.operators.quantiles import exact_quantiles
+
+    cut = F.lit(exact_quantiles(rows.where(positive), F.col(score), [1 - recall])[0]).cast("double")
+    return rows.agg(F.avg(F.when(~positive, (F.col(score) >= cut).cast("double"))).alias("fp_rate")).select(cut.alias("cut"), "fp_rate")
 
 
 def gate_rates(rows: DataFrame, gate: Column, positive: Column) -> DataFrame:
@@ -125,17 +127,6 @@ def bootstrap_mean(rows: DataFrame, cluster: str, value: str, iterations: int, s
     return each.agg(F.count("*").alias("iterations"), F.avg("x").alias("estimate"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
 
 
-def bootstrap_auc(rows: DataFrame, cluster: str, score: str, positive: Column, iterations: int, seed: str) -> DataFrame:
-    """Cluster bootstrap of the rank AUC, one joint draw of clusters for both kinds; draws without both kinds are skipped."""
-    counts = rows.groupBy(cluster, F.col(score).alias("__s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    drawn = counts.join(multiplicities(rows.select(cluster).distinct(), cluster, iterations, seed), cluster)
-    weighted = drawn.groupBy("iteration", "__s").agg(F.sum(F.col("m") * F.col("p")).alias("p"), F.sum(F.col("m") * F.col("n")).alias("n"))
-    before = Window.partitionBy("iteration").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    below = weighted.withColumn("b", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    each = below.groupBy("iteration").agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("x")).where("x IS NOT NULL")
-    return each.agg(F.count("*").alias("iterations"), F.avg("x").alias("estimate"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
-
-
 def kruskal_h(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Kruskal-Wallis H (without tie correction) and its epsilon squared."""
     ranks = ranked_by_range(rows, value)
@@ -164,24 +155,6 @@ def standardised(rows: DataFrame, fit: Column, columns: list[str], least: float
     return out.withColumns({f"z_{c}": (F.col(c) - F.col(f"__m_{c}")) / (F.col(f"__s_{c}") + least) for c in columns}).drop(*[f"__{k}_{c}" for c in columns for k in "ms"])
 
 
-def bootstrap_auc_delta(rows: DataFrame, cluster: str, a: str, b: str, positive: Column, iterations: int, seed: str) -> DataFrame:
-    """Paired difference of two scores' AUC over the same draws of clusters, and whether its interval includes zero."""
-    from functools import reduce
-
-    drawn = multiplicities(rows.select(cluster).distinct(), cluster, iterations, seed)
-    parts = []
-    for name, score in (("a", a), ("b", b)):
-        counts = rows.groupBy(cluster, F.col(score).alias("__s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-        parts.append(counts.join(drawn, cluster).groupBy("iteration", "__s").agg(F.sum(F.col("m") * F.col("p")).alias("p"), F.sum(F.col("m") * F.col("n")).alias("n")).withColumn("score", F.lit(name)))
-    every = reduce(DataFrame.unionByName, parts)
-    before = Window.partitionBy("iteration", "score").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    below = every.withColumn("b", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    each = below.groupBy("iteration", "score").agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("x"))
-    delta = each.groupBy("iteration").agg((F.max(F.when(F.col("score") == "a", F.col("x"))) - F.max(F.when(F.col("score") == "b", F.col("x")))).alias("d")).where("d IS NOT NULL")
-    out = delta.agg(F.count("*").alias("iterations"), F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
-    return out.withColumn("includes_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
-
-
 def by_subset(rows: DataFrame, subsets: dict[str, Column], value: str) -> DataFrame:
     """n and mean of a value by subset; a row counts in every subset it belongs to."""
     member = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in subsets.items()]))
@@ -221,9 +194,9 @@ def drawn_clusters(clusters: DataFrame, cluster: str, iterations: int, seed: str
 
     Clusters are numbered once (one row each); a draw picks a number, so the n draws of an iteration are spread like any rows.
     """
-    numbered = clusters.select(cluster).distinct().withColumn("__h", F.md5(F.concat(F.lit(seed + ":"), F.col(cluster).cast("string"))))
-    every = Window.partitionBy().orderBy("__h", cluster)
-    numbered = numbered.select(cluster, (F.row_number().over(every) - 1).alias("__i"))
+    from kelpline.operators.sampling import before_in_order
+
+    numbered = before_in_order(clusters.select(cluster).distinct(), cluster, F.lit(1), seed).select(cluster, F.col("__before").cast("int").alias("__i"))
     n = numbered.agg(F.count("*").alias("__n"))  # one row
     draws = n.select("__n", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")).where("__n > 0")
     draws = draws.select("iteration", "__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k"))
@@ -284,16 +257,20 @@ def chi_square_tail(x: float, df: int) -> float:
 
 
 def ranked_by_range(values: DataFrame, value: str, parts: int = 256) -> DataFrame:
-    """Mid-rank of each distinct value over all rows, without one task that orders them all: counts by value, sums by range of
-    values (bounds from a quantile sketch), running sums over the few ranges, and within each."""
-    counts = values.groupBy(value).agg(F.count("*").alias("c"))
+    """Mid-rank of each distinct value over all rows, without one task that orders them all."""
+    return ranked_counts(values.groupBy(value).agg(F.count("*").alias("c")), value, parts)
+
+
+def ranked_counts(counts: DataFrame, value: str, parts: int = 256) -> DataFrame:
+    """``counts`` (a row a value, ``c`` of each) with the mid-rank: sums by range of values (bounds from a quantile sketch), running
+    sums over the few ranges, and within each."""
     bounds = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("b"))  # one row
     placed = counts.crossJoin(bounds).withColumn("__p", F.size(F.filter("b", lambda b: b < F.col(value)))).drop("b")
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     ranges = placed.groupBy("__p").agg(F.sum("c").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))  # ``parts`` rows
     own = Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = placed.join(ranges, "__p").withColumn("below", F.col("__before") + F.coalesce(F.sum("c").over(own), F.lit(0)))
-    return below.select(value, "c", (F.col("below") + (F.col("c") + 1) / 2.0).alias("rank"))
+    below = placed.join(F.broadcast(ranges), "__p").withColumn("below", F.col("__before") + F.coalesce(F.sum("c").over(own), F.lit(0)))
+    return below.select(*counts.columns, (F.col("below") + (F.col("c") + 1) / 2.0).alias("rank"))
 
 
 def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -116,6 +116,47 @@ def kinematics(points: DataFrame, group: str, t: str, x: str, y: str) -> DataFra
     return rows.withColumn("acceleration", (F.col("speed") - F.lag("speed").over(w)) / F.col("__dt")).drop("__dt")
 
 
+def gated_kinematics(nodes: DataFrame, clip: str, node: str, index: str, x: str, y: str, state: str, *, stride: int, fps: float, gate: tuple[str, ...] | None = ("detected", "fitted")) -> DataFrame:
+    """Motion of each node from the clip's latest frame at least ``stride`` earlier: clip, node, index, prev_index, distance, speed,
+    acceleration.
+
+    A row needs the node in both frames with a state of ``gate`` (null: any), so a node that is held without evidence makes no
+    motion. The acceleration is the change of velocity since the node's last row that was made, over the time between the two;
+    null for its first. One node a frame; frames are those of any node.
+    """
+    frames = nodes.select(clip, index).distinct()
+    ago = Window.partitionBy(clip).orderBy(index).rangeBetween(Window.unboundedPreceding, -stride)
+    pairs = frames.withColumn("prev_index", F.max(index).over(ago)).where("prev_index IS NOT NULL")
+    shown = nodes if gate is None else nodes.where(F.col(state).isin(*gate))
+    here = shown.select(clip, node, index, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    there = shown.select(clip, node, F.col(index).alias("prev_index"), F.col(x).alias("__px"), F.col(y).alias("__py"))
+    moved = here.join(pairs, [clip, index]).join(there, [clip, node, "prev_index"])
+    dt = (F.col(index) - F.col("prev_index")) / fps
+    moved = moved.withColumns({"distance": F.hypot(F.col("__x") - F.col("__px"), F.col("__y") - F.col("__py")), "__vx": (F.col("__x") - F.col("__px")) / dt, "__vy": (F.col("__y") - F.col("__py")) / dt})
+    w = Window.partitionBy(clip, node).orderBy(index)
+    since = (F.col(index) - F.lag(index).over(w)) / fps
+    change = F.hypot(F.col("__vx") - F.lag("__vx").over(w), F.col("__vy") - F.lag("__vy").over(w)) / since
+    return moved.select(clip, node, index, "prev_index", "distance", (F.col("distance") / dt).alias("speed"), change.alias("acceleration"))
+
+
+def patience_stops(rows: DataFrame, run: str, step: str, metric: str, patience: int) -> DataFrame:
+    """Where each run ends that stops once ``patience`` steps in a row bring no new best: run, best, best_step, stop_step, stopped.
+
+    A step is a new best if its metric exceeds all before it (nulls and NaN never do); what follows a best is its island, and
+    the first island long enough ends the run. ``stopped`` is false where a run came to its own end.
+    """
+    w = Window.partitionBy(run).orderBy(step)
+    number = F.col(metric).isNotNull() & ~F.isnan(metric)
+    before = F.max(F.when(number, F.col(metric))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    better = number & (before.isNull() | (F.col(metric) > before))
+    marked = rows.select(run, step, metric, better.alias("__better")).withColumn("__island", F.sum(F.col("__better").cast("int")).over(w))
+    marked = marked.withColumn("__bad", F.row_number().over(Window.partitionBy(run, "__island").orderBy(step)) - F.when(F.col("__island") > 0, 1).otherwise(0))
+    ends = marked.withColumn("__stop", F.min(F.when(F.col("__bad") >= patience, F.col(step))).over(Window.partitionBy(run)))
+    ran = ends.where(F.col("__stop").isNull() | (F.col(step) <= F.col("__stop")))
+    best = F.max_by(F.struct(F.col(metric).alias("best"), F.col(step).alias("best_step")), F.when(F.col("__better"), F.col(step)))
+    return ran.groupBy(run).agg(best.alias("b"), F.max(step).alias("stop_step"), F.max("__stop").isNotNull().alias("stopped")).select(run, "b.best", "b.best_step", "stop_step", "stopped")
+
+
 def teleports(points: DataFrame, group: str, t: str, value: str, *, factor: float = 4.0, floor: float = 6.0, least_points: int = 4) -> DataFrame:
     """Steps above max(factor times the group's median step, floor): group, steps, jumps; short series left out."""
     w = Window.partitionBy(group).orderBy(t)

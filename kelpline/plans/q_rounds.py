@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from kelpline.operators import bootstrap as B
+from kelpline.operators import quantiles as Q
 from kelpline.operators import rounds as R
-from kelpline.plans.catalogue import query, table
+from kelpline.operators import sampling as S
+from kelpline.operators import windows as W
+from kelpline.plans.catalogue import OBS, observations, query, rounded, table
+from kelpline.plans.q_statistics import SCORED, _scored, toxic
 
 _KEPT = """n AS MATERIALIZED (SELECT b.video, b.i, list(a.i) AS near FROM e a JOIN e b ON a.video = b.video AND a.i < b.i AND list_cosine_similarity(a.v, b.v) >= {cut} GROUP BY b.video, b.i),
 g AS (SELECT video, 0::BIGINT AS i, []::BIGINT[] AS kept, max(e.i) AS last FROM e GROUP BY video
@@ -59,3 +65,72 @@ SELECT g AS clip, ['train', 'val', 'test'][best + 1] AS split FROM s WHERE g IS
 def balanced_split(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("clip"), "event_type")
     return R.balanced_split(rows, "clip", "event_type", {"train": 0.7, "val": 0.15, "test": 0.15}, seed="b", chunk=60)
+
+
+_RESAMPLED = """{x}c AS (SELECT source, row_number() OVER (ORDER BY md5('{seed}:' || source), source) - 1 AS i FROM (SELECT DISTINCT source FROM s{where})), {x}k AS (SELECT count(*) AS n FROM {x}c),
+{x}u AS (SELECT iteration, unnest(range(1, n + 1)) AS k, n FROM (SELECT unnest(range(1, {iterations} + 1)) AS iteration), {x}k),
+{x}m AS (SELECT iteration, source, m FROM (SELECT iteration, CAST(floor(('0x' || substr(md5('{seed}:' || iteration || ':' || k), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * n) AS BIGINT) AS i, count(*) AS m FROM {x}u GROUP BY ALL) JOIN {x}c USING (i))"""
+_WON = """(SELECT a.source AS x, b.source AS y, sum(CASE WHEN a.{score} > b.{score} THEN 1.0::DOUBLE WHEN a.{score} = b.{score} THEN 0.5::DOUBLE ELSE 0 END) AS w, count(*) AS pairs FROM s a JOIN s b ON a.toxic = 1 AND b.toxic <> 1 GROUP BY ALL)"""
+_ENDS = "count(x) AS iterations, round(avg(x), 6) AS {name}, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high"
+
+
+@query(f"""WITH {SCORED}, {_RESAMPLED.format(x='', seed='a', where='', iterations=5000)}, w AS MATERIALIZED {_WON.format(score='n_chars')},
+x AS (SELECT a.iteration, sum(a.m * b.m * w) / sum(a.m * b.m * pairs) AS x FROM w JOIN m a ON a.source = w.x JOIN m b ON b.source = w.y AND b.iteration = a.iteration GROUP BY a.iteration)
+SELECT {_ENDS.format(name='estimate')} FROM x""")
+def bootstrap_auc(spark, d):
+    return rounded(B.bootstrap_auc(_scored(spark, d), "source", "n_chars", toxic(), 5000, "a"), "estimate", "low", "high")
+
+
+@query(f"""WITH {SCORED}, {_RESAMPLED.format(x='p', seed='e+', where=' WHERE toxic = 1', iterations=2000)}, {_RESAMPLED.format(x='q', seed='e-', where=' WHERE toxic <> 1', iterations=2000)}, w AS MATERIALIZED {_WON.format(score='n_chars')},
+x AS (SELECT a.iteration, sum(a.m * b.m * w) / sum(a.m * b.m * pairs) AS x FROM w JOIN pm a ON a.source = w.x JOIN qm b ON b.source = w.y AND b.iteration = a.iteration GROUP BY a.iteration)
+SELECT {_ENDS.format(name='estimate')} FROM x""")
+def bootstrap_auc_apart(spark, d):
+    """Clusters of positives and of negatives drawn by themselves."""
+    return rounded(B.bootstrap_auc(_scored(spark, d), "source", "n_chars", toxic(), 2000, "e", joint=False), "estimate", "low", "high")
+
+
+@query(f"""WITH {SCORED.replace("FROM documents", ", doc_id % 101 AS other FROM documents")}, {_RESAMPLED.format(x='', seed='d', where='', iterations=5000)}, w AS MATERIALIZED {_WON.format(score='n_chars')}, v AS MATERIALIZED {_WON.format(score='other')},
+x AS (SELECT a.iteration, sum(a.m * b.m * (w.w - v.w)) / sum(a.m * b.m * w.pairs) AS x FROM w JOIN v USING (x, y) JOIN m a ON a.source = w.x JOIN m b ON b.source = w.y AND b.iteration = a.iteration GROUP BY a.iteration), r AS (SELECT {_ENDS.format(name='delta')} FROM x)
+SELECT *, low <= 0 AND high >= 0 AS includes_zero FROM r""")
+def bootstrap_auc_delta(spark, d):
+    rows = _scored(spark, d).withColumn("other", F.col("doc_id") % 101)
+    return rounded(B.bootstrap_auc_delta(rows, "source", "n_chars", "other", toxic(), 5000, "d"), "delta", "low", "high")
+
+
+@query("""WITH l AS (SELECT DISTINCT doc_id // 4 AS video FROM labels WHERE toxic = 1 OR quality = 1), r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, doc_id // 4 NOT IN (SELECT video FROM l) AS open FROM documents)
+SELECT lang, i, coalesce(min(CASE WHEN open THEN i END) OVER (PARTITION BY lang ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(CASE WHEN open THEN i END) OVER (PARTITION BY lang), least(i + 1, max(i) OVER (PARTITION BY lang))) AS next,
+min(CASE WHEN open THEN i END) OVER (PARTITION BY lang) IS NULL AS all_done FROM r""")
+def next_unlabelled(spark, d):
+    """For every clip of a queue the next one of a video without labels."""
+    labelled = table(spark, d, "labels").where("toxic = 1 OR quality = 1").select(F.floor(F.col("doc_id") / 4).alias("video"), F.lit(True).alias("done")).distinct()
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 4).alias("video"))
+    rows = rows.withColumn("i", (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).cast("long")).join(labelled, "video", "left")
+    return S.next_open(rows, "lang", "i", F.col("done").isNull(), width=100)
+
+
+@query(f"""WITH {OBS}, b AS (SELECT clip, seq, value, max(value) OVER (PARTITION BY clip ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM o),
+i AS (SELECT *, sum(CASE WHEN top IS NULL OR value > top THEN 1 ELSE 0 END) OVER (PARTITION BY clip ORDER BY seq) AS island FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY clip, island ORDER BY seq) - 1 AS bad FROM i),
+s AS (SELECT *, min(CASE WHEN bad >= 6 THEN seq END) OVER (PARTITION BY clip) AS stop FROM n)
+SELECT clip, max(value) AS best, arg_max(seq, (value, -seq)) AS best_step, max(seq) AS stop_step, max(stop) IS NOT NULL AS stopped FROM s WHERE stop IS NULL OR seq <= stop GROUP BY clip""")
+def patience_stop(spark, d):
+    return W.patience_stops(observations(spark, d).select("clip", "seq", "value"), "clip", "seq", "value", 6)
+
+
+@query(f"""WITH {OBS}, n AS (SELECT clip, label AS node, seq // 40 AS i, avg(value) AS x, avg(k)::DOUBLE AS y, CASE WHEN min(k) % 5 = 0 THEN 'occluded' WHEN min(k) % 5 = 1 THEN 'fitted' ELSE 'detected' END AS state FROM o GROUP BY ALL),
+f AS (SELECT a.clip, a.i, max(b.i) AS prev FROM (SELECT DISTINCT clip, i FROM n) a JOIN (SELECT DISTINCT clip, i FROM n) b ON a.clip = b.clip AND b.i <= a.i - 3 GROUP BY ALL),
+m AS (SELECT c.clip, c.node, c.i, prev, sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)) AS distance, (c.i - prev) / 8.0::DOUBLE AS dt, (c.x - p.x) / ((c.i - prev) / 8.0::DOUBLE) AS vx, (c.y - p.y) / ((c.i - prev) / 8.0::DOUBLE) AS vy
+FROM n c JOIN f USING (clip, i) JOIN n p ON p.clip = c.clip AND p.node = c.node AND p.i = prev WHERE c.state <> 'occluded' AND p.state <> 'occluded'),
+l AS (SELECT *, lag(i) OVER w AS li, lag(vx) OVER w AS lx, lag(vy) OVER w AS ly FROM m WINDOW w AS (PARTITION BY clip, node ORDER BY i))
+SELECT clip, node, i, prev AS prev_index, round(distance, 6) AS distance, round(distance / dt, 6) AS speed, round(sqrt((vx - lx) * (vx - lx) + (vy - ly) * (vy - ly)) / ((i - li) / 8.0::DOUBLE), 6) AS acceleration FROM l""")
+def gated_kinematics(spark, d):
+    first = F.min("k") % 5
+    nodes = observations(spark, d).groupBy("clip", F.col("label").alias("node"), F.floor(F.col("seq") / 40).alias("i")).agg(F.avg("value").alias("x"), F.avg("k").alias("y"), F.when(first == 0, "occluded").when(first == 1, "fitted").otherwise("detected").alias("state"))
+    return rounded(W.gated_kinematics(nodes, "clip", "node", "i", "x", "y", "state", stride=3, fps=8.0), "distance", "speed", "acceleration")
+
+
+@query(f"WITH {OBS} SELECT round(quantile_cont(value, 0.05), 9) AS q05, round(quantile_cont(value, 0.5), 9) AS q50, round(quantile_cont(value, 0.999), 9) AS q999, round(quantile_cont(k, 0.33), 9) AS k33 FROM o")
+def exact_quantiles(spark, d):
+    """In rounds of narrowing ranges; of the tied numbers most ranks fall on a cut."""
+    rows = observations(spark, d).select("value", "k")
+    found = [*Q.exact_quantiles(rows, F.col("value"), [0.05, 0.5, 0.999], few=200), *Q.exact_quantiles(rows, F.col("k"), [0.33], few=200)]
+    return rounded(spark.createDataFrame([tuple(found)], "q05 double, q50 double, q999 double, k33 double"), "q05", "q50", "q999", "k33", places=9)

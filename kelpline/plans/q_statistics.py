@@ -180,15 +180,6 @@ def bootstrap_mean(spark, d):
     return rounded(X.bootstrap_mean(_scored(spark, d), "source", "n_chars", 200, "b"), "estimate", "low", "high", places=4)
 
 
-@query(f"""WITH {SCORED}, c AS (SELECT DISTINCT source FROM s), {DRAWN.format(seed='a')},
-g AS (SELECT iteration, n_chars, sum(m * CAST(toxic = 1 AS INTEGER)) AS p, sum(m * CAST(toxic <> 1 AS INTEGER)) AS n FROM s JOIN m USING (source) WHERE m > 0 GROUP BY ALL),
-b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY iteration ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g),
-x AS (SELECT iteration, sum(p * (b + n / 2.0::DOUBLE)) / nullif(sum(p) * sum(n), 0)::DOUBLE AS x FROM b GROUP BY iteration)
-SELECT count(x) AS iterations, round(avg(x), 6) AS estimate, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM x""")
-def bootstrap_auc(spark, d):
-    return rounded(X.bootstrap_auc(_scored(spark, d), "source", "n_chars", toxic(), 200, "a"), "estimate", "low", "high")
-
-
 @query(f"""WITH {OBS}, r AS (SELECT label, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS r FROM o), s AS (SELECT label, sum(r) AS r, count(*) AS n FROM r GROUP BY label),
 t AS (SELECT sum(n)::DOUBLE AS n, sum(r * r / n) AS s, count(*) AS k FROM s), h AS (SELECT n, k, 12.0::DOUBLE / (n * (n + 1)) * s - 3 * (n + 1) AS h FROM t) SELECT CAST(n AS BIGINT) AS n, k, round(h, 5) AS h, round(h / (n - 1), 8) AS epsilon_squared FROM h""")
 def kruskal_wallis(spark, d):
@@ -242,16 +233,6 @@ def linear_head(spark, d):
     return model.transform(rows).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 
-@query(f"""WITH {SCORED}, c AS (SELECT DISTINCT source FROM s), {DRAWN.format(seed='d')}, v AS (SELECT source, toxic, 'a' AS w, n_chars AS x FROM s UNION ALL SELECT source, toxic, 'b', doc_id % 101 FROM s),
-g AS (SELECT iteration, w, x, sum(m * CAST(toxic = 1 AS INTEGER)) AS p, sum(m * CAST(toxic <> 1 AS INTEGER)) AS n FROM v JOIN m USING (source) WHERE m > 0 GROUP BY ALL),
-b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY iteration, w ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g), e AS (SELECT iteration, w, sum(p * (b + n / 2.0::DOUBLE)) / nullif(sum(p) * sum(n), 0)::DOUBLE AS x FROM b GROUP BY ALL),
-d AS (SELECT iteration, max(x) FILTER (w = 'a') - max(x) FILTER (w = 'b') AS d FROM e GROUP BY iteration), r AS (SELECT count(d) AS iterations, avg(d) AS delta, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM d)
-SELECT iterations, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, low <= 0 AND high >= 0 AS includes_zero FROM r""")
-def bootstrap_auc_delta(spark, d):
-    rows = _scored(spark, d).withColumn("other", F.col("doc_id") % 101)
-    return rounded(X.bootstrap_auc_delta(rows, "source", "n_chars", "other", toxic(), 200, "d"), "delta", "low", "high")
-
-
 @query(f"""WITH {SCORED} SELECT 'seen' AS subset, count(*) AS n, round(avg(n_chars), 6) AS mean FROM s WHERE quality = 1 UNION ALL SELECT 'toxic', count(*), round(avg(n_chars), 6) FROM s WHERE toxic = 1 UNION ALL SELECT 'all', count(*), round(avg(n_chars), 6) FROM s""")
 def subset_means(spark, d):
     subsets = {"seen": F.col("quality") == 1, "toxic": toxic(), "all": F.lit(True)}
