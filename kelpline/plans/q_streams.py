@@ -65,3 +65,28 @@ def ledger_versions(spark, d):
     ledger.write(old)
     ledger.update(lambda rows: M.keep_better(rows, new, "url", M.status_rank(F.col("status")), ["n_clips", "scanned_sec"]).drop("outcome"))
     return ledger.read()
+
+
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, 'cam' || (user_id % 4) AS camera, 1 AS files, true AS filled FROM events WHERE CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY ALL""")
+def listed_clips(spark, d):
+    """Files of a tree by date and camera, listed in parallel within a range of dates."""
+    from kelpline.sources.datasource import clip_listing
+
+    root = streams.scratch(spark)
+    rows = table(spark, d, "events").select(F.to_date("ts").cast("string").alias("date"), F.concat(F.lit("cam"), F.col("user_id") % 4).alias("camera"), "event_id", "value")
+    rows.repartition("date", "camera").write.partitionBy("date", "camera").parquet(root)
+    files = clip_listing(spark, root, dates=4).where("date >= '2024-01-05' AND date <= '2024-01-20'")
+    return files.groupBy("date", "camera").agg(F.count("*").cast("int").alias("files"), (F.min("bytes") > 0).alias("filled"))
+
+
+@query("""WITH e AS (SELECT vec_id // 20 AS video, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) - 1 AS frame, embedding FROM embeddings)
+SELECT CAST(video AS BIGINT) AS video, CAST(frame AS INTEGER) AS frame, round(frame / 10.0::DOUBLE, 6) AS t, len(embedding)::INTEGER AS dims, round(list_avg(embedding::DOUBLE[]), 5) AS mean FROM e WHERE frame % 2 = 0""")
+def sampled_frames(spark, d):
+    """Stacks of ten frames a second, sampled at five by a lateral join with the table function."""
+    from kelpline.sources import datasource
+
+    datasource.register(spark)
+    clips = datasource.stacks(table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("video"), "vec_id", "embedding"), "video", "vec_id", "embedding")
+    found = spark.sql("SELECT video, f.frame, f.t, f.shape, f.pixels FROM {clips}, LATERAL frames(content, 10.0D, 5.0D) f", clips=clips)
+    mean = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size("pixels")
+    return found.select("video", "frame", F.round("t", 6).alias("t"), F.col("shape")[0].alias("dims"), F.round(mean, 5).alias("mean"))
