@@ -115,15 +115,24 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _range_key(df: DataFrame, id_col: str) -> Column:
-    """A long that never falls as the id rises: the number itself, or a text's first seven bytes."""
+    """What ranges of ids are cut by: a number's floor, or the text itself; of null ids the least."""
     if isinstance(df.schema[id_col].dataType, NumericType):
-        key = F.floor(F.col(id_col)).cast("long")
-    else:
-        key = F.conv(F.rpad(F.substring(F.hex(F.col(id_col).cast("string")), 1, 14), 14, "0"), 16, 10).cast("long")
-    return F.coalesce(key, F.lit(-(2**63)))
+        return F.coalesce(F.floor(F.col(id_col)).cast("long"), F.lit(-(2**63)))
+    return F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
+def _bounds(df: DataFrame, key: Column, id_col: str, buckets: int) -> list:
+    """Sorted keys that part the rows into about ``buckets`` ranges of like size: by a sketch of numbers, by a sample of texts of
+    some twenty a range."""
+    if isinstance(df.schema[id_col].dataType, NumericType):
+        found = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], max(20_000, 10 * buckets))).first()[0] or []
+        return sorted(set(found))
+    share = min(1.0, 20 * buckets / max(df.count(), 1))
+    some = sorted(r["key"] for r in df.select(key.alias("key")).sample(share, 7).collect())
+    return sorted(set(some[:: max(1, len(some) // buckets)][1:]))
+
+
+def _bucket(key: Column, bounds: list) -> Column:
     """How many of the sorted bounds are at most ``key``, by a search of two steps."""
     if not bounds:
         return F.lit(0)
@@ -146,8 +155,7 @@ def with_next(df: DataFrame, columns: list[str], *, id_col: str, tie: Column, en
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     size = size if size < 1 << 60 else 0  # unknown
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // RANGE_BYTES, 50_000))
-    bounds = df.select(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], max(20_000, 10 * buckets))).first()[0] or []
-    bucket = _bucket(key, sorted(set(bounds)))
+    bucket = _bucket(key, _bounds(df, key, id_col, buckets))
     keyed = df.withColumns({"__key": key, "__bucket": bucket, "__tie": tie})
     heads = df.select(bucket.alias("__bucket"), key.alias("__key")).groupBy("__bucket").agg(F.min("__key").alias("__key")).collect()  # one row a range
     filled = sorted(r["__bucket"] for r in heads)
@@ -155,7 +163,7 @@ def with_next(df: DataFrame, columns: list[str], *, id_col: str, tie: Column, en
     own = F.struct(*columns)
     if not filled:
         return enrich(df).withColumn("next", own)
-    starts = spark.createDataFrame([(r["__key"], before[r["__bucket"]]) for r in heads], "__key long, __before int")
+    starts = spark.createDataFrame([(r["__key"], before[r["__bucket"]]) for r in heads], f"__key {'long' if isinstance(df.schema[id_col].dataType, NumericType) else 'string'}, __before int")
     at = F.struct(id_col, "__tie")
     first = keyed.join(F.broadcast(starts), "__key").groupBy("__before").agg(F.min_by(F.struct(*df.columns), at).alias("__row"))  # one row a range
     first = enrich(first.select("__before", "__row.*")).select("__before", own.alias("__first"))

@@ -218,3 +218,20 @@ def test_url_query_equals_brute_force_and_sql(spark, tmp_path):
 @pytest.mark.parametrize(("query", "sql"), [(fim.op12_fill_in_middle, fim.oracle()), (urlfilter.op13_url_filter, urlfilter.oracle())], ids=["fim", "urls"])
 def test_queries_equal_sql(spark, sf_dir, query, sql):
     oracle.check(spark, oracle.connect(sf_dir), sf_dir, query, sql)
+
+
+@pytest.mark.parametrize("name", [lambda k: f"doc-{k:010d}", lambda k: str(k), lambda k: "ä" * (k % 50) + str(k)])
+def test_text_ids_spread_over_all_ranges_of_fingerprints(spark, name):
+    """The row that follows by a text id, and ranges of like size however long the ids' common beginning."""
+    from kelpline.llm import fingerprint
+
+    n = 4000
+    rows = [(name(k), f"text {k}") for k in range(n)] + [(None, "null"), ("", "empty")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    key = fingerprint._range_key(df, "doc_id")
+    bounds = fingerprint._bounds(df, key, "doc_id", 16)
+    sizes = [r["count"] for r in df.groupBy(fingerprint._bucket(key, bounds).alias("b")).count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 3 * n / 16
+    got = {r["text"]: r["next"]["text"] for r in fingerprint.with_next(df, ["text"], id_col="doc_id", tie=F.md5("text"), enrich=lambda x: x).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))]
+    assert got == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
