@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kelpline.operators import merging as M
 from kelpline.plans import streams
-from kelpline.plans.catalogue import query, rounded, table
+from kelpline.plans.catalogue import OBS, observations, query, rounded, table
 from kelpline.plans.q_selection import LEDGER, ledger_sides
 from kelpline.streaming import scans
 
@@ -90,3 +90,26 @@ def sampled_frames(spark, d):
     found = spark.sql("SELECT video, f.frame, f.t, f.shape, f.pixels FROM {clips}, LATERAL frames(content, 10.0D, 5.0D) f", clips=clips)
     mean = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size("pixels")
     return found.select("video", "frame", F.round("t", 6).alias("t"), F.col("shape")[0].alias("dims"), F.round(mean, 5).alias("mean"))
+
+
+@query(f"""WITH RECURSIVE {OBS}, t AS (SELECT clip, seq // 50 AS track, min(seq) // 25 AS first, max(seq) // 25 AS last, arg_min(value, seq) AS x0, arg_min(k, seq)::DOUBLE AS y0, arg_max(value, seq) AS x1, arg_max(k, seq)::DOUBLE AS y1 FROM o GROUP BY clip, seq // 50),
+p AS (SELECT a.clip, a.track AS a, b.track AS b, sqrt((b.x0 - a.x1) * (b.x0 - a.x1) + (b.y0 - a.y1) * (b.y0 - a.y1)) AS d, b.first - a.last AS gap FROM t a JOIN t b ON a.clip = b.clip AND a.track <> b.track AND b.first - a.last BETWEEN 1 AND 8),
+r AS (SELECT DISTINCT clip, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::STRUCT(d DOUBLE, a BIGINT, b BIGINT) AS m FROM p
+UNION ALL SELECT clip, list_append(ua, m.a), list_append(ub, m.b), m FROM (SELECT r.clip, r.ua, r.ub, min({{'d': p.d, 'a': p.a::BIGINT, 'b': p.b::BIGINT}}) AS m FROM r JOIN p ON p.clip = r.clip WHERE d <= 6 * gap AND NOT list_contains(ua, p.a) AND NOT list_contains(ub, p.b) GROUP BY r.clip, r.ua, r.ub))
+SELECT clip, m.a AS track, m.b AS next, round(m.d, 5) AS cost FROM r WHERE m IS NOT NULL""")
+def stream_tracklets(spark, d):
+    """Links of tracklets that come as a stream; a row far ahead closes the last gaps."""
+    from kelpline.streaming.signals import event_stream
+
+    at = streams.scratch(spark)
+    rows = observations(spark, d).groupBy("clip", F.floor(F.col("seq") / 50).alias("track")).agg(
+        (F.floor(F.min("seq") / 25) + 1).alias("first"), (F.floor(F.max("seq") / 25) + 1).alias("last"),
+        F.min_by("value", "seq").alias("x0"), F.min_by(F.col("k").cast("double"), "seq").alias("y0"), F.max_by("value", "seq").alias("x1"), F.max_by(F.col("k").cast("double"), "seq").alias("y1"),
+    )
+    ahead = rows.agg((F.max("last") + 1000).alias("first")).select(F.lit(-1).cast("long").alias("clip"), F.lit(-1).cast("long").alias("track"), "first", F.col("first").alias("last"), *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    rows = rows.unionByName(ahead).withColumn("ts", F.timestamp_seconds("first"))
+    rows.write.parquet(f"{at}/in")
+    with scans.state_store(spark):
+        links = scans.track_links(event_stream(spark, f"{at}/in", rows.schema, files_per_trigger=1000), "clip", "ts", radius=6.0, late="30 seconds")
+        out = streams.signals.run_to_end(links, f"{at}/out", f"{at}/state")
+    return rounded(out, "cost", places=5)

@@ -14,8 +14,10 @@ the rows of one lateness and the fold's value.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
+from math import hypot
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -193,3 +195,90 @@ def scan(events: DataFrame, fold, group: str, time: str, order: str, inputs: lis
     work = OrderedScan(fold, group, pending, ["t", "row", *names], round(span.total_seconds() * 1_000_000))
     found = rows.groupBy(group).transformWithStateInPandas(work, f"{group} {kind[group]}, session long, {fold.out}", "Append", "EventTime")
     return found.withColumn("session", F.timestamp_micros("session"))
+
+
+class TrackLinks(StatefulProcessor):
+    """Links of one clip's tracklets, taken once no row to come can change them.
+
+    The cheapest pair of all is taken first, then the cheapest of what is left: so a pair may be taken as soon as it is the
+    cheapest left at both its ends and no further pair can appear there. That is so at the earlier track's end once all tracks
+    that begin up to ``most_gap`` frames later are known, at the later track's beginning once all that begin before it are. What
+    has been taken, and ends that no pair is left for, go from the state.
+    """
+
+    OPEN = "track long, first long, last long, x0 double, y0 double, x1 double, y1 double, linked_out boolean, linked_in boolean"
+
+    def __init__(self, clip: str, most_gap: int, radius: float, frame_ms: int):
+        self.clip, self.most_gap, self.radius, self.frame_ms = clip, most_gap, radius, frame_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", self.OPEN)
+
+    def _wake(self, frame: int) -> None:
+        self.handle.registerTimer(frame * self.frame_ms - 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [r for pdf in rows for r in pdf[["track", "first", "last", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)]
+        self.open.appendList([(*r, False, False) for r in new])
+        for r in new:
+            self._wake(r[2] + self.most_gap)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = timerValues.getCurrentWatermarkInMs() // self.frame_ms  # all tracks that begin up to this frame have come
+        tracks = {r[0]: list(r) for r in self.open.get()}
+        begun = sorted(tracks.values(), key=lambda t: t[1])
+        firsts = [t[1] for t in begun]
+        pairs = []
+        for a in tracks.values():
+            if a[7]:
+                continue
+            for b in begun[bisect_right(firsts, a[2]) : bisect_right(firsts, a[2] + self.most_gap)]:
+                gap = b[1] - a[2]
+                cost = hypot(b[3] - a[5], b[4] - a[6])
+                if b[0] != a[0] and not b[8] and cost <= self.radius * gap:
+                    pairs.append((cost, a[0], b[0]))
+        pairs.sort()
+        out, waiting_out, waiting_in = [], set(), set()
+        for cost, i, j in pairs:  # the cheapest left first; a pair that must wait holds up what shares an end with it
+            a, b = tracks[i], tracks[j]
+            if a[7] or b[8]:
+                continue
+            if i in waiting_out or j in waiting_in or a[2] + self.most_gap > known or b[1] > known:
+                waiting_out.add(i)
+                waiting_in.add(j)
+                continue
+            a[7] = b[8] = True
+            out.append((key[0], i, j, cost))
+        left = [tuple(t) for t in tracks.values() if self._matters(t, known, waiting_out, waiting_in)]
+        if len(left) < len(tracks) or out:
+            if left:
+                self.open.put(left)
+            else:
+                self.open.clear()
+        for t in left:
+            if t[2] + self.most_gap > known:
+                self._wake(t[2] + self.most_gap)
+        if out:
+            yield pd.DataFrame(out, columns=[self.clip, "track", "next", "cost"])
+
+    def _matters(self, t: list, known: int, waiting_out: set, waiting_in: set) -> bool:
+        ends = not t[7] and (t[2] + self.most_gap > known or t[0] in waiting_out)
+        begins = not t[8] and (t[1] > known or t[0] in waiting_in)
+        return ends or begins
+
+    def close(self) -> None:
+        pass
+
+
+def track_links(tracks: DataFrame, clip: str, time: str, *, most_gap: int = 8, radius: float, frame: str = "1 second", late: str) -> DataFrame:
+    """Links (clip, track, next, cost) of a stream of tracklets (track, first, last, x0, y0, x1, y1), ends to beginnings over gaps of
+    up to ``most_gap`` frames and ``radius`` times the gap, cheapest first: those of the batch form over all tracks.
+
+    ``time`` is the instant of a track's first frame, whole frames after the epoch (frame 0 would be late from the start); a track comes within ``late`` of it.
+    """
+    span = tracks.sparkSession.sql(f"SELECT CAST(INTERVAL {frame} AS INTERVAL DAY TO SECOND) AS s").first()["s"]  # one constant
+    kind = tracks.schema[clip].dataType.simpleString()
+    work = TrackLinks(clip, most_gap, radius, round(span.total_seconds() * 1000))
+    return tracks.withWatermark(time, late).groupBy(clip).transformWithStateInPandas(work, f"{clip} {kind}, track long, next long, cost double", "Append", "EventTime")
