@@ -296,20 +296,35 @@ def holm(tests: DataFrame, p: str, name: str) -> DataFrame:
     return tests.withColumn("__s", scaled).withColumn("p_holm", F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
 
 
-def sign_test(rows: DataFrame, delta: Column, groups: list[str] | None = None) -> DataFrame:
-    """Two-sided sign test: n without zeros, positives, p."""
+def half_tail(k: int, n: int) -> float:
+    """P(X <= k) of n fair tosses: the regularised incomplete beta function at a half, by its continued fraction (some sqrt(n) steps)."""
+    import math
 
-    def two_sided(k: int, n: int) -> float:
-        import math
+    if k < 0 or n <= 0:
+        return 0.0 if k < 0 else 1.0
+    if k >= n:
+        return 1.0
+    if 2 * k > n:  # the fraction converges below the mean
+        return 1.0 - half_tail(n - k - 1, n)
+    a, b, x, tiny = n - k, k + 1.0, 0.5, 1e-300
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a + b) * math.log(0.5)) / a
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1) or tiny)
+    out = d
+    for m in range(1, 10_000_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + step * d or tiny)
+            c = 1.0 + step / c or tiny
+            out *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return min(1.0, front * out)
 
-        if not n:
-            return 1.0
-        low = min(k, n - k)
-        log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(low + 1)]
-        return min(1.0, 2 * sum(map(math.exp, log)))
 
+def sign_test(rows: DataFrame, delta: Column, groups: list[str] | None = None) -> DataFrame:
+    """Two-sided sign test: n without zeros, positives, p (exact)."""
     out = rows.groupBy(*(groups or [])).agg(F.count_if(delta != 0).alias("n"), F.count_if(delta > 0).alias("positives"))
-    return out.withColumn("p", F.udf(two_sided, "double")("positives", "n"))
+    two_sided = F.udf(lambda k, n: min(1.0, 2 * half_tail(min(k, n - k), n)), "double")  # of a row a group
+    return out.withColumn("p", two_sided("positives", "n"))
 
 
 def day_interval(rows: DataFrame, day: str, value: str, iterations: int, seed: str) -> DataFrame:

@@ -82,10 +82,10 @@ def seed_verdict(spark, d):
 
 @query(f"""WITH {OBS}, v AS (SELECT label, round(value / 10) AS v FROM o), r AS (SELECT label, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM v), s AS (SELECT label, sum(r) AS r, count(*) AS n FROM r GROUP BY label),
 t AS (SELECT sum(n)::DOUBLE AS n, sum(r * r / n) AS s, count(*) AS k FROM s), c AS (SELECT sum(pow(c::DOUBLE, 3) - c) AS t FROM (SELECT count(*) AS c FROM v GROUP BY v)),
-h AS (SELECT n, k, (12.0::DOUBLE / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM t, c) SELECT CAST(n AS BIGINT) AS n, k, round(h, 5) AS h, round(h / (n - 1), 8) AS epsilon_squared FROM h""")
+h AS (SELECT n, k, (12.0::DOUBLE / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h FROM t, c) SELECT CAST(n AS BIGINT) AS n, k, round(h, 5) AS h, round(h / (n - 1), 8) AS epsilon_squared, round(CASE k WHEN 5 THEN exp(-h / 2) * (1 + h / 2) WHEN 3 THEN exp(-h / 2) END, 7) AS p FROM h""")
 def kruskal_ties(spark, d):
     rows = observations(spark, d).select("label", F.round(F.col("value") / 10).alias("v"))
-    return X.kruskal(rows, "label", "v").select("n", "k", F.round("h", 5).alias("h"), F.round("epsilon_squared", 8).alias("epsilon_squared"))
+    return X.kruskal(rows, "label", "v").select("n", "k", F.round("h", 5).alias("h"), F.round("epsilon_squared", 8).alias("epsilon_squared"), F.round("p", 7).alias("p"))
 
 
 @query(f"""WITH {OBS}, t AS (SELECT label, 1 / (1.0::DOUBLE + sum(k)) AS p FROM o GROUP BY label), s AS (SELECT label, p, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p, label) + 1) * p) AS s FROM t)
@@ -95,9 +95,10 @@ def holm_adjusted(spark, d):
     return rounded(X.holm(tests, "p", "label"), "p", "p_holm", places=9)
 
 
-@query(f"WITH {OBS} SELECT camera, count(*) FILTER (value <> k) AS n, count(*) FILTER (value > k) AS positives FROM o GROUP BY camera")
+@query(f"""WITH {OBS}, c AS (SELECT camera, count(*) FILTER (k <> 50) AS n, count(*) FILTER (k > 50) AS positives FROM o GROUP BY camera), i AS (SELECT *, unnest(range(least(positives, n - positives) + 1)) AS i FROM c)
+SELECT camera, n, positives, round(least(1.0::DOUBLE, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0::DOUBLE)))), 6) AS p FROM i GROUP BY ALL""")
 def sign_counts(spark, d):
-    return X.sign_test(observations(spark, d), F.col("value") - F.col("k"), ["camera"]).drop("p")
+    return rounded(X.sign_test(observations(spark, d).select("camera", "k"), F.col("k") - 50, ["camera"]), "p")
 
 
 @query("SELECT l_shipmode AS mode, count(*) AS calls, round(sum(coalesce(CASE WHEN l_returnflag <> 'A' THEN CAST(l_tax AS DOUBLE) END, 0)), 4) AS cost, round(sum(coalesce(CASE WHEN l_returnflag <> 'A' THEN CAST(l_tax AS DOUBLE) END, 0)) / count(*), 6) AS per_call, round(count(*) * 60.0::DOUBLE / sum(CAST(l_quantity AS DOUBLE)), 6) AS per_minute FROM (SELECT l_returnflag AS l_shipmode, * EXCLUDE (l_shipmode) FROM (SELECT *, 1 AS l_shipmode FROM lineitem)) GROUP BY 1")

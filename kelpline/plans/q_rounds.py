@@ -134,3 +134,15 @@ def exact_quantiles(spark, d):
     rows = observations(spark, d).select("value", "k")
     found = [*Q.exact_quantiles(rows, F.col("value"), [0.05, 0.5, 0.999], few=200), *Q.exact_quantiles(rows, F.col("k"), [0.33], few=200)]
     return rounded(spark.createDataFrame([tuple(found)], "q05 double, q50 double, q999 double, k33 double"), "q05", "q50", "q999", "k33", places=9)
+
+
+@query()
+def soft_network(spark, d):
+    """A network on soft targets over the vectors; held against a dense version in the tests."""
+    from kelpline.operators import network
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), "label")
+    classes = rows.agg(F.max("label").alias("top")).first()["top"] + 1  # a small number of classes
+    soft = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.when(c == F.col("label"), 0.9).otherwise(0.1 / max(classes - 1, 1)))
+    model = network.fit(rows.withColumn("y", soft), "vec_id", "x", "y", hidden=[16], epochs=10, rate=0.05)
+    return model.scored(rows, "vec_id", "x").select("vec_id", "predicted")

@@ -134,15 +134,16 @@ def top_frames_in_order(spark, d):
     return S.best_in_order(observations(spark, d).select("clip", "seq", "value"), "clip", "value", "seq", 6)
 
 
-@query("""WITH g AS (SELECT n, p FROM (SELECT unnest(range(1, 61)) AS n), (SELECT unnest(range(1, 6)) AS p)),
-i AS (SELECT n, p, least(n - 1, CAST(round_even((p - 1) * (n / 10.0::DOUBLE) / 5.0::DOUBLE + i * (n / 10.0::DOUBLE), 0) AS INTEGER)) AS x FROM g, (SELECT unnest(range(10)) AS i))
-SELECT CAST(n AS INTEGER) AS n, CAST(p AS INTEGER) AS p, CASE WHEN n <= 10 THEN array_to_string(range(n), ',') ELSE string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY lpad(CAST(x AS VARCHAR), 3, '0')) END AS frames FROM (SELECT DISTINCT n, p, x FROM i) GROUP BY n, p""".replace("string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY lpad(CAST(x AS VARCHAR), 3, '0'))", "string_agg(CAST(x AS VARCHAR), ',' ORDER BY x)"))
+@query("""WITH c AS (SELECT user_id AS clip, count(*) AS n FROM events GROUP BY 1), g AS (SELECT clip, n, p FROM c, (SELECT unnest(range(1, 6)) AS p)),
+i AS (SELECT clip, n, p, least(n - 1, CAST(round_even((p - 1) * (n / 10.0::DOUBLE) / 5.0::DOUBLE + i * (n / 10.0::DOUBLE), 0) AS INTEGER)) AS x FROM g, (SELECT unnest(range(10)) AS i))
+SELECT clip, CAST(n AS INTEGER) AS n, CAST(p AS INTEGER) AS p, CASE WHEN n <= 10 THEN array_to_string(range(n), ',') ELSE string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY lpad(CAST(x AS VARCHAR), 3, '0')) END AS frames FROM (SELECT DISTINCT clip, n, p, x FROM i) GROUP BY clip, n, p""".replace("string_agg(DISTINCT CAST(x AS VARCHAR), ',' ORDER BY lpad(CAST(x AS VARCHAR), 3, '0'))", "string_agg(CAST(x AS VARCHAR), ',' ORDER BY x)"))
 def frame_draw(spark, d):
     from kelpline.functions.scalars import interleaved
 
-    grid = spark.range(1, 61).select(F.col("id").cast("int").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("p"))
+    clips = observations(spark, d).groupBy("clip").agg(F.count("*").cast("int").alias("n"))
+    grid = clips.select("clip", "n", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("p"))
     frames = F.array_join(F.transform(interleaved(F.col("n"), 10, F.col("p"), 5), lambda x: x.cast("string")), ",")
-    return grid.select("n", "p", frames.alias("frames"))
+    return grid.select("clip", "n", "p", frames.alias("frames"))
 
 
 @query("""WITH h AS (SELECT md5(CAST(doc_id AS VARCHAR)) AS m FROM documents)
@@ -178,9 +179,11 @@ def resume_position(spark, d):
     return S.resume_position(rows, "doc_id", F.coalesce("done", F.lit(False)))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
 def open_work(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """Candidates without a finished row: urgent orders stand for what is done."""
+    done = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").select("c_custkey").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("""WITH cells AS (SELECT n_nationkey AS k, p FROM nation, (SELECT unnest(range(1, 6)) AS p)), tries AS (SELECT s_nationkey AS k, s_suppkey % 5 + 1 AS p, count(*) AS n FROM supplier GROUP BY ALL)
@@ -207,9 +210,13 @@ def forced_split(spark, d):
     return docs.select("source").distinct().join(forced, "source", "left").select("source", F.coalesce("side", F.lit("train")).alias("side"))
 
 
-@query("""SELECT CAST(vec_id // 20 AS BIGINT) AS video, count(*) AS n FROM embeddings GROUP BY 1""")
+@query("""WITH e AS (SELECT vec_id // 20 AS video, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT video, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), m AS (SELECT video, i, avg(x) AS m FROM x GROUP BY ALL)
+SELECT CAST(video AS BIGINT) AS video, any_value(n) AS n, round(sqrt(sum(m * m)), 5) AS centre FROM m JOIN (SELECT video, count(*) AS n FROM e GROUP BY video) USING (video) GROUP BY video""")
 def vectors_by_video(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 20).alias("video")).agg(F.count("*").alias("n"))
+    """Vectors of each video and the length of their mean, which is small where they point everywhere."""
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("video"), F.posexplode("embedding").alias("i", "x"))
+    means = rows.groupBy("video", "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
+    return means.groupBy("video").agg(F.max("n").alias("n"), F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 5).alias("centre"))
 
 
 @query("""WITH e AS (SELECT vec_id // 20 AS video, vec_id, embedding FROM embeddings)

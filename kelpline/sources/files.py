@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-def json_object(spark: SparkSession, path: str, value_type: str, key: str = "key") -> DataFrame:
-    """A JSON object keyed by id, as rows of key and value."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string,{value_type}>"))).toDF(key, "value")
-
-
-def json_envelope(spark: SparkSession, path: str, name: str, item_type: str) -> DataFrame:
-    """A JSON list, or an object that holds the list under a name."""
-    text = spark.read.text(path, wholetext=True)
-    bare = F.from_json("value", f"array<{item_type}>")
-    held = F.from_json("value", f"struct<`{name}`:array<{item_type}>>").getField(name)
-    return text.select(F.inline(F.when(F.ltrim("value").startswith("["), bare).otherwise(held)))
+def json_object(spark: SparkSession, path: str, value_type: str, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """JSON objects keyed by id, a file each: (rows of key and value, rejects). Rejected are files that hold no such object, and
+    entries whose value isn't of the type (key and all)."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = text.withColumn("loose", F.from_json("value", "map<string,string>"))
+    entries = raw.where("loose IS NOT NULL").select("path", F.explode("loose").alias("__k", "__text")).withColumn("__v", _of_type("__text", value_type))
+    bad = raw.where("loose IS NULL").select("path", F.lit(None).cast("string").alias("key"), "value")
+    bad = bad.unionByName(entries.where("__v IS NULL").select("path", F.col("__k").alias("key"), F.col("__text").alias("value")))
+    return entries.where("__v IS NOT NULL").select(F.col("__k").alias(key), F.col("__v").alias("value")), bad
+
+
+def _of_type(text: str, value_type: str) -> Column:
+    """A value that a map or array of strings holds as JSON (strings bare), as the type; null where it isn't one."""
+    if value_type.strip().lower() == "string":
+        return F.col(text)
+    return F.from_json(F.concat(F.lit('{"v":'), F.col(text), F.lit("}")), f"struct<v:{value_type}>")["v"]
+
+
+def json_envelope(spark: SparkSession, path: str, name: str, item_type: str) -> tuple[DataFrame, DataFrame]:
+    """A JSON list, or an object that holds the list under a name: (rows, rejects). Rejected are files that hold neither, and
+    items that aren't of the type."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    bare, held = F.from_json("value", "array<string>"), F.from_json("value", f"struct<`{name}`:array<string>>").getField(name)
+    items = text.withColumn("items", F.when(F.ltrim("value").startswith("["), bare).otherwise(held))
+    each = items.where("items IS NOT NULL").select("path", F.explode("items").alias("text")).withColumn("item", _of_type("text", item_type))
+    bad = items.where("items IS NULL").select("path", "value").unionByName(each.where("item IS NULL").select("path", F.col("text").alias("value")))
+    return each.where("item IS NOT NULL").select("item.*"), bad
 
 
 def jsonl(spark: SparkSession, path: str, schema: StructType, key: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -37,10 +52,15 @@ def jsonl_strict(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
-def passes(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """All pass files of a folder, the pass number taken from the file's name."""
-    rows = spark.read.schema(schema).json(folder, pathGlobFilter="pass*.jsonl")
-    return rows.withColumn("pass", F.regexp_extract(F.col("_metadata.file_name"), r"pass(\d+)", 1).cast("int"))
+def passes(spark: SparkSession, folder: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """All pass files of a folder, the pass number taken from the file's name: (rows, rejects). Rejected are lines that don't parse,
+    and those of files without a number, with the file's name."""
+    full = StructType([*schema.fields, StructField("_corrupt", StringType())])
+    text = spark.read.text(folder, pathGlobFilter="pass*.jsonl").select("value", F.col("_metadata.file_name").alias("file")).where(F.trim("value") != "")
+    number = F.regexp_extract("file", r"^pass(\d+)\.jsonl$", 1).try_cast("int")
+    parsed = text.select("value", "file", number.alias("pass"), F.from_json("value", full, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
+    good = F.col("r._corrupt").isNull() & F.col("pass").isNotNull()
+    return parsed.where(good).select("r.*", "pass").drop("_corrupt"), parsed.where(~good).select("file", "value")
 
 
 def csv(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:

@@ -178,16 +178,30 @@ def test_round_robin_and_resume(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps({"a": {"n": 1}, "b": {"n": 2}}))
-    assert files.json_object(spark, str(tmp_path / "o.json"), "struct<n:int>").count() == 2
-    for name, text in (("l.json", [{"n": 1}]), ("e.json", {"clips": [{"n": 1}]})):
+    rows, rejects = files.json_object(spark, str(tmp_path / "o.json"), "struct<n:int>")
+    assert {(r["key"], r["value"]["n"]) for r in rows.collect()} == {("a", 1), ("b", 2)} and rejects.count() == 0
+    (tmp_path / "o2.json").write_text('{"a": {"n": 1}, "b": "loose", "c": null, "d": {"n": 4}}')
+    rows, rejects = files.json_object(spark, str(tmp_path / "o2.json"), "struct<n:int>")
+    assert {(r["key"], r["value"]["n"]) for r in rows.collect()} == {("a", 1), ("d", 4)} and {r["key"] for r in rejects.collect()} == {"b", "c"}
+    (tmp_path / "o3.json").write_text("no object")
+    assert [x.count() for x in files.json_object(spark, str(tmp_path / "o3.json"), "struct<n:int>")] == [0, 1]
+    (tmp_path / "o4.json").write_text(json.dumps({"a": 'say "x"\n', "b": "1"}))
+    assert {r["value"] for r in files.json_object(spark, str(tmp_path / "o4.json"), "string")[0].collect()} == {'say "x"\n', "1"}
+    for name, text in (("l.json", [{"n": 1}, "x"]), ("e.json", {"clips": [{"n": 1}, 7]})):
         (tmp_path / name).write_text(json.dumps(text))
-        assert files.json_envelope(spark, str(tmp_path / name), "clips", "struct<n:int>").first()["n"] == 1
+        rows, rejects = files.json_envelope(spark, str(tmp_path / name), "clips", "struct<n:int>")
+        assert [r["n"] for r in rows.collect()] == [1] and [r["value"] for r in rejects.collect()] in (["x"], ["7"])
+    (tmp_path / "w.json").write_text('{"other": []}')
+    assert [x.count() for x in files.json_envelope(spark, str(tmp_path / "w.json"), "clips", "struct<n:int>")] == [0, 1]
     (tmp_path / "p").mkdir()
     (tmp_path / "p/pass1.jsonl").write_text('{"key":"a","seq":1,"v":"x"}\n\n{"key":"a","seq":2,"v":"y"}\n{"seq":3}\n{"key":"b","se')
     schema = StructType([StructField("key", StringType()), StructField("seq", LongType()), StructField("v", StringType())])
     rows, rejects = files.jsonl(spark, str(tmp_path / "p/pass1.jsonl"), schema, "key", "seq")
     assert [tuple(r) for r in rows.collect()] == [("a", 2, "y")] and rejects.count() == 2
-    assert files.passes(spark, str(tmp_path / "p"), schema).first()["pass"] == 1
+    (tmp_path / "p/passes.jsonl").write_text('{"key":"z","seq":1,"v":"x"}\n')
+    rows, rejects = files.passes(spark, str(tmp_path / "p"), schema)
+    assert sorted((r["pass"], r["seq"]) for r in rows.collect()) == [(1, 1), (1, 2), (1, 3)]
+    assert sorted((r["file"], r["value"][:8]) for r in rejects.collect()) == [("pass1.jsonl", '{"key":"'), ("passes.jsonl", '{"key":"')]
     (tmp_path / "c.csv").write_text("a,b\n1,x\nbad,y\n")
     good, bad = files.csv(spark, str(tmp_path / "c.csv"), StructType([StructField("a", IntegerType()), StructField("b", StringType())]))
     assert good.count() == 1 and bad.count() == 1
