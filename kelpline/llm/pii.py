@@ -3,12 +3,13 @@
 Four base patterns find e-mail addresses, IP addresses, card numbers and phone
 numbers.  Each distinct value is a protected entity.  A term within ``window``
 words of an entity discloses it as far as knowing the term makes the entity
-expected: PMI(term; entity) = log(N co / (df_term df_entity)), relative to the
-entity's whole information -log(df_entity / N), with document frequencies
-counted over all documents.  Seen beside an entity in fewer than ``support``
-documents, which say little of how often they meet, a term discloses by its
-own information: -log(df_term / N) relative to log N, that of a single
-document.  Terms with a ratio of ``theta`` or more are spans of kind ``term``
+expected.  With document frequencies over all documents, p(entity) = df_entity /
+N, and p(entity | term) = (co + p(entity)) / (df_term + 1), where co documents
+hold the term beside the entity: one document more, of the corpus's own shares,
+smooths every count alike, so a term that was seen once says less than one
+that was seen with the entity again and again, and one that mostly stands
+elsewhere says little.  Disclosure is the log of their ratio, relative to the entity's whole
+information -log p(entity).  Terms with a ratio of ``theta`` or more are spans of kind ``term``
 wherever they stand, in documents without the entity too; :func:`sanitised`
 generalises them to ``[TERM]`` and removes the entities.
 
@@ -236,7 +237,7 @@ def term_places(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     return hits.join(terms, "term").select("key", "start", "end")
 
 
-def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 8, theta: float = 0.9, support: int = 3) -> DataFrame:
+def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 8, theta: float = 0.9) -> DataFrame:
     """Per row: id, ``base`` spans and all ``spans``, by kind as listed, then start."""
     found = scan(df, id_col=id_col, text_col=text_col, window=window)
     total = found.count()
@@ -247,10 +248,10 @@ def find(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", windo
     likely = pairs.where((F.col("co") > 0) & (F.col("heads") == 0)).select("entity", "term", "co")
     terms = term_frequencies(df, text_col, materialise(likely.select("term").distinct(), "terms"))
     known = likely.join(entities, "entity").join(terms, "term")
-    n = F.lit(float(max(total, 2)))
-    whole = F.when(F.col("co") >= support, -F.log(F.col("df_entity") / n)).otherwise(F.log(n))
-    pmi = F.when(F.col("co") >= support, F.log(n * F.col("co") / (F.col("df_entity").cast("double") * F.col("df")))).otherwise(F.log(n / F.col("df")))
-    telling = materialise(known.where((whole > 0) & (pmi / whole >= theta)).select("term").distinct(), "telling")
+    share = F.col("df_entity") / F.lit(float(max(total, 2)))
+    given = (F.col("co") + share) / (F.col("df") + 1)
+    disclosed = F.log(given / share) / -F.log(share)
+    telling = materialise(known.where((share < 1) & (disclosed >= theta)).select("term").distinct(), "telling")
     places = term_places(df, text_col, telling).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("places"))
     # a text of many exact copies is dealt over sixteen keys
     places = places.select("key", "places", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))

@@ -137,7 +137,7 @@ def test_telling_terms_equal_brute_force(spark):
     texts = [prose(rng, 30, 80) for _ in range(80)]
     for i in range(0, 60, 2):
         texts[i] = f"{texts[i]} {rng.choice(['zor', 'blax', 'quin'])} {'q' * (i % 5 == 0)}{i}z a{i % 14}@ex.org {rng.choice(['mip', 'w3x'])} {prose(rng, 5, 80)}"
-    n, window, theta, support = len(texts), 8, 0.9, 3
+    n, window, theta = len(texts), 8, 0.7
     df = Counter(w for t in texts for w in set(words_of(t)))
     near, holders = Counter(), Counter()
     for t in texts:
@@ -151,13 +151,10 @@ def test_telling_terms_equal_brute_force(spark):
         holders.update({t[a:b].lower() for _, a, b in spans})
     telling = set()
     for (entity, term), co in near.items():
-        if co >= support:
-            whole, pmi = -math.log(holders[entity] / n), math.log(n * co / (holders[entity] * df[term]))
-        else:
-            whole, pmi = math.log(n), math.log(n / df[term])
-        if whole > 0 and pmi / whole >= theta:
+        share = holders[entity] / n
+        if share < 1 and math.log((co + share) / (df[term] + 1) / share) / -math.log(share) >= theta:
             telling.add(term)
-    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), theta=theta).collect()
     for r in out:
         t = texts[r["doc_id"]]
         spans = pii.base_spans(t)

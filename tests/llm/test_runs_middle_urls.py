@@ -235,3 +235,23 @@ def test_text_ids_spread_over_all_ranges_of_fingerprints(spark, name):
     got = {r["text"]: r["next"]["text"] for r in fingerprint.with_next(df, ["text"], id_col="doc_id", tie=F.md5("text"), enrich=lambda x: x).collect()}
     order = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode()))]
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
+
+
+def test_terms_that_give_entities_away_and_rare_ones_that_do_not(spark):
+    """Of planted terms those that nearly always stand beside their entity are spans, whatever the entity's frequency; as rare ones
+    that mostly stand elsewhere aren't."""
+    from kelpline.llm import pii
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    texts, telling, others = [prose(40) for _ in range(3000)], set(), set()
+    for k in range(40):
+        copies = rng.choice([2, 3, 5, 9])
+        texts += [f"{prose(20)} given{k} user{k}@host{k}.org {prose(20)}" for _ in range(copies)]
+        telling.add(f"given{k}")
+        texts += [f"{prose(9)} rare{k} user{k}@host{k}.org"] + [f"{prose(20)} rare{k} {prose(9)}" for _ in range(5)]
+        others.add(f"rare{k}")
+    rng.shuffle(texts)
+    out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    terms = {texts[r["doc_id"]][x["start"] : x["end"]] for r in out for x in r["spans"] if x["kind"] == "term"}
+    assert terms == telling
