@@ -21,15 +21,15 @@ def shuffled(key: Column, seed: str) -> Column:
 def before_in_order(groups: DataFrame, key: str, amount: Column, seed: str) -> DataFrame:
     """``groups`` with ``__before``, the sum of ``amount`` over what precedes a group in hashed order, and ``__all``, over all.
 
-    Hashes spread evenly over 256 ranges by their first digits: sums by range, running sums over those 256 rows and within
+    Hashes spread evenly over 4,096 ranges by their first digits: sums by range, running sums over those rows and within
     each range, so no task orders all groups.
     """
     h = shuffled(F.col(key), seed)
-    rows = groups.withColumns({"__h": h, "__range": F.substring(h, 1, 2), "__a": amount})
+    rows = groups.withColumns({"__h": h, "__range": F.substring(h, 1, 3), "__a": amount})
     upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rows.groupBy("__range").agg(F.sum("__a").alias("__s")).select("__range", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__lower"), F.sum("__s").over(Window.partitionBy()).alias("__all"))
     own = Window.partitionBy("__range").orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(ranges, "__range").withColumn("__before", F.col("__lower") + F.coalesce(F.sum("__a").over(own), F.lit(0)))
+    return rows.join(F.broadcast(ranges), "__range").withColumn("__before", F.col("__lower") + F.coalesce(F.sum("__a").over(own), F.lit(0)))
 
 
 def quota_split(groups: DataFrame, key: str, amount: str, quota: int, seed: str) -> DataFrame:

@@ -256,21 +256,24 @@ def chi_square_tail(x: float, df: int) -> float:
     return min(total, 1.0)
 
 
-def ranked_by_range(values: DataFrame, value: str, parts: int = 256) -> DataFrame:
+def ranked_by_range(values: DataFrame, value: str, parts: int = 1024) -> DataFrame:
     """Mid-rank of each distinct value over all rows, without one task that orders them all."""
     return ranked_counts(values.groupBy(value).agg(F.count("*").alias("c")), value, parts)
 
 
-def ranked_counts(counts: DataFrame, value: str, parts: int = 256) -> DataFrame:
-    """``counts`` (a row a value, ``c`` of each) with the mid-rank: sums by range of values (bounds from a quantile sketch), running
-    sums over the few ranges, and within each."""
-    bounds = counts.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10_000).alias("b"))  # one row
-    placed = counts.crossJoin(bounds).withColumn("__p", F.size(F.filter("b", lambda b: b < F.col(value)))).drop("b")
+def ranked_counts(counts: DataFrame, value: str, parts: int = 1024, step: int = 32) -> DataFrame:
+    """``counts`` (a row a value, ``c`` of each) with the mid-rank: sums by range of values (bounds from a quantile sketch, searched in
+    two steps), running sums over the few ranges, and within each."""
+    bounds = counts.agg(F.coalesce(F.percentile_approx(value, [i / parts for i in range(1, parts)], 4 * parts), F.array().cast(f"array<{counts.schema[value].dataType.simpleString()}>")).alias("__b"))
+    bounds = bounds.withColumn("__heads", F.transform(F.sequence(F.lit(0), F.floor(F.size("__b") / step).cast("int")), lambda i: F.get("__b", i * step)))  # one row
+    below = lambda of: F.size(F.filter(of, lambda b: b < F.col(value)))
+    head = F.greatest(below("__heads") - 1, F.lit(0)) * step
+    placed = counts.crossJoin(F.broadcast(bounds)).withColumn("__p", head + below(F.slice("__b", head + 1, F.lit(step)))).drop("__b", "__heads")
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     ranges = placed.groupBy("__p").agg(F.sum("c").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))  # ``parts`` rows
     own = Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = placed.join(F.broadcast(ranges), "__p").withColumn("below", F.col("__before") + F.coalesce(F.sum("c").over(own), F.lit(0)))
-    return below.select(*counts.columns, (F.col("below") + (F.col("c") + 1) / 2.0).alias("rank"))
+    below_it = placed.join(F.broadcast(ranges), "__p").withColumn("below", F.col("__before") + F.coalesce(F.sum("c").over(own), F.lit(0)))
+    return below_it.select(*counts.columns, (F.col("below") + (F.col("c") + 1) / 2.0).alias("rank"))
 
 
 def kruskal(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -31,17 +31,18 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def work_rounds(todo, work, save, *, most: int = 10) -> int:
-    """Repeats work on what is open until nothing is, or a round gets nowhere; returns rounds. ``todo()`` is an anti join of candidates and done."""
-    before = None
-    for k in range(most):
+def work_rounds(todo, work, save, *, most: int | None = None) -> int:
+    """Repeats work on what is open until nothing is, or a round gets nowhere, or ``most`` rounds are done; returns rounds.
+    ``todo()`` is an anti join of candidates and done."""
+    before, k = None, 0
+    while most is None or k < most:
         open_ = todo()
         n = open_.count()
         if n == 0 or n == before:
-            return k
+            break
         save(work(open_))
-        before = n
-    return most
+        before, k = n, k + 1
+    return k
 
 
 def attempts_open(cells: DataFrame, done: DataFrame, attempts: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
@@ -60,7 +61,7 @@ class OutOfCredit(RuntimeError):
     """The remote service takes no more calls: the run ends, what was saved stays."""
 
 
-def work_until_refused(todo, work, save, refused, *, most: int = 10) -> int:
+def work_until_refused(todo, work, save, refused, *, most: int | None = None) -> int:
     """:func:`work_rounds`, but a round whose results hold a refusal (``refused`` is a condition on them) is saved and ends the run."""
 
     def checked(rows: DataFrame) -> None:
