@@ -4,7 +4,8 @@ Every lineage cut is a Parquet table below the folder the cluster names in
 ``spark.checkpoint.dir``; it survives a lost executor because all executors
 see it.  Only where that setting is absent and the master is local (unit
 tests, laptops) is a private temporary folder chosen; on a cluster its absence
-is an error.  Tables that no later step reads are dropped (:func:`scratch`).
+is an error.  Tables of a :func:`scratch` are dropped at its end; others stay,
+for whoever cleans the folder.
 """
 
 from __future__ import annotations

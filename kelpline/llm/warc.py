@@ -14,7 +14,7 @@ archive. The reader takes them as Spark's ``binaryFile`` rows, or any frame with
 a binary column.
 Null html is an empty payload; long ones are whole records. Rows equal in id
 and payload to the smallest are responses as well. A null id counts as the
-largest. Repeated rows keep a record each, other columns are ignored, an empty
+largest; ids that are no whole numbers are text and ordered as such. Repeated rows keep a record each, other columns are ignored, an empty
 table gives an empty archive.
 """
 
@@ -24,13 +24,14 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from kelpline.llm import words as W
 from kelpline.llm.store import fresh_path, table
@@ -58,12 +59,17 @@ def record(kind: str, ident: str, date: str, headers: list[tuple[str, str]], blo
     return "\r\n".join(lines).encode() + END + block + END
 
 
+def page_uri(page_id) -> str:
+    """A page's record id; a page without one has the bare name."""
+    return "urn:page" if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
+
+
 def page_record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + END
     headers = [("WARC-Target-URI", quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~")), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http;msgtype=response")]
     if refers_to is None:
-        return record("response", f"urn:page:{page_id}", date, headers, http + payload)
-    return record("revisit", f"urn:page:{page_id}", date, [*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")], http)
+        return record("response", page_uri(page_id), date, headers, http + payload)
+    return record("revisit", page_uri(page_id), date, [*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{page_uri(refers_to)}>")], http)
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
@@ -162,8 +168,19 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield parse(raw)
 
 
+def _number(ident: str | None) -> int | None:
+    """A whole number's text as the number, any other as nothing."""
+    return int(ident) if ident is not None and re.fullmatch(r"-?[0-9]{1,18}", ident) else None
+
+
 def page_of(headers: dict[str, str], block: bytes) -> tuple:
-    """(page_id, payload bytes, digest, type, refers_to) of a response or revisit, validated."""
+    """:func:`page_with_text` with ids as numbers."""
+    ident, length, told, kind, refers = page_with_text(headers, block)
+    return _number(ident), length, told, kind, _number(refers)
+
+
+def page_with_text(headers: dict[str, str], block: bytes) -> tuple:
+    """(page_id, payload bytes, digest, type, refers_to) of a response or revisit, validated; ids as the text they are."""
     http, found, payload = block.partition(END)
     size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
     if not found or not size or not http.startswith(b"HTTP/"):
@@ -174,7 +191,11 @@ def page_of(headers: dict[str, str], block: bytes) -> tuple:
         raise ArchiveError("the payload's length or digest isn't the record's")
     if kind == "revisit" and (payload or headers.get("warc-profile") != PROFILE):
         raise ArchiveError("a revisit with a payload, or of another profile")
-    ident = lambda name: (m := re.fullmatch(r"<urn:page:(-?\d+|None)>", headers.get(name, ""))) and (None if m[1] == "None" else int(m[1]))
+
+    def ident(name: str) -> str | None:
+        m = re.fullmatch(r"<urn:page(?::([^<>\s]*))?>", headers.get(name, ""))
+        return None if m is None or m[1] is None else unquote(m[1])
+
     return ident("warc-record-id"), length, told, kind, ident("warc-refers-to") if kind == "revisit" else None
 
 
@@ -185,7 +206,8 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     Payloads shorter than ``least_bytes`` are never revisits.
     """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    ident = F.col(id_col) if isinstance(pages.schema[id_col].dataType, IntegralType) else F.col(id_col).cast("string")
+    rows = pages.select(ident.alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     total = rows.count()
     draw = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 40)) < int(min(1.0, sample_rows / max(total, 1)) * (1 << 40))
     sample = [bytes(r[0]) for r in rows.where(draw).select("payload").collect()]
@@ -230,22 +252,25 @@ def archive_files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
 
 
-def read_archives(archives: DataFrame, *, name_col: str = "archive", content_col: str = "content") -> DataFrame:
-    """(archive, page_id, payload_bytes, payload_digest, record_type, refers_to) of every page record."""
+def read_archives(archives: DataFrame, *, name_col: str = "archive", content_col: str = "content", text_ids: bool = False) -> DataFrame:
+    """(archive, page_id, payload_bytes, payload_digest, record_type, refers_to) of every page record. Ids are numbers (null where
+    they aren't whole ones), or text with ``text_ids``."""
+    page, kind = (page_with_text, "string") if text_ids else (page_of, "long")
+    of_id = pa.string() if text_ids else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 name = batch.column(0)[i].as_py()
                 try:
-                    found = [page_of(h, b) for h, b in records(batch.column(1)[i].as_py()) if h["warc-type"] in ("response", "revisit")]
+                    found = [page(h, b) for h, b in records(batch.column(1)[i].as_py()) if h["warc-type"] in ("response", "revisit")]
                 except (ArchiveError, zstandard.ZstdError, UnicodeDecodeError) as e:
                     raise ArchiveError(f"{name}: {e}") from e
                 cols = list(zip(*found, strict=True)) or [(), (), (), (), ()]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                kinds = [of_id, pa.int64(), pa.string(), pa.string(), of_id]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["archive", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    schema = "archive string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    schema = f"archive string, page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
     return archives.select(F.col(name_col), F.col(content_col)).mapInArrow(W.tidied(run), schema)
 
 

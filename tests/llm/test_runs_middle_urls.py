@@ -255,3 +255,12 @@ def test_terms_that_give_entities_away_and_rare_ones_that_do_not(spark):
     out = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
     terms = {texts[r["doc_id"]][x["start"] : x["end"]] for r in out for x in r["spans"] if x["kind"] == "term"}
     assert terms == telling
+
+
+def test_archives_of_pages_with_text_ids(spark):
+    from kelpline.llm import warc
+
+    rows = [("b/ü 1", "http://x", "same"), ("a", "http://y", "same"), (None, None, "same"), ("", "http://z", "other"), ("None", "u", None), ("<7>", "u", "third")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(pages), text_ids=True).collect()}
+    assert got == {("b/ü 1", 4, "revisit", "a"), ("a", 4, "response", None), (None, 4, "revisit", "a"), ("", 5, "response", None), ("None", 0, "response", None), ("<7>", 5, "response", None)}
