@@ -26,6 +26,19 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, columns: list[str]) -
     return rows.join(table.select(key, *columns), key, "left")
 
 
+def seed_frames(frames: DataFrame, manifests: list[tuple[DataFrame, str]], image: str, seed: str) -> DataFrame:
+    """Frames with the seed frame that the label manifests give their image; null where none does, or the row that counts has none.
+
+    A manifest is rows and the column that orders them; of an image's rows the last of the last manifest counts. Rows are reduced
+    to one an image, map side first, before they meet the frames.
+    """
+    from functools import reduce
+
+    named = [rows.select(image, F.struct(F.lit(k).alias("k"), F.col(order).cast("long").alias("o")).alias("__at"), F.struct(seed).alias("__row")) for k, (rows, order) in enumerate(manifests)]
+    last = reduce(DataFrame.unionByName, named).where(F.col(image).isNotNull()).groupBy(image).agg(F.max_by("__row", "__at").alias("__row"))
+    return frames.drop(seed).join(last, image, "left").withColumn(seed, F.col(f"__row.{seed}")).drop("__row")
+
+
 def labelled(human: DataFrame, sample: DataFrame, key: str) -> DataFrame:
     """Labels that weren't skipped, of the frozen sample's rows, with the sample's columns."""
     return human.where(~F.coalesce(F.col("skipped"), F.lit(False))).join(sample, key)

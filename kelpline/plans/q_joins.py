@@ -252,3 +252,12 @@ def keys_of_passes(spark, d):
 def decoded_urls(spark, d):
     coded = F.replace(F.col("url"), F.lit("/"), F.lit("%2F"))
     return table(spark, d, "pages").select("page_id", F.contains(coded, F.lit("%")).alias("coded"), C.decoded(coded).alias("d"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS image, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 97 END AS seed_frame, CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS k, o_orderkey AS o FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY k DESC, o DESC) AS r FROM m) WHERE r = 1) SELECT c_custkey AS image, CAST(seed_frame AS BIGINT) AS seed_frame FROM customer LEFT JOIN l ON image = c_custkey""")
+def seed_frames(spark, d):
+    """Frames and their images' last rows of two manifests: urgent orders, then those of low priority."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("image"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderkey") % 97).alias("seed_frame"), "o_orderkey", "o_orderpriority")
+    manifests = [(rows.where(F.col("o_orderpriority") == p), "o_orderkey") for p in ("1-URGENT", "5-LOW")]
+    return J.seed_frames(table(spark, d, "customer").select(F.col("c_custkey").alias("image")), manifests, "image", "seed_frame")

@@ -165,7 +165,13 @@ def nearest_match(spark, d):
     return rounded(T.match_frames(rows, "frame", "side", "seq", "value", "y", radius=60.0, greedy=True), "distance", places=5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, t AS (SELECT clip, seq // 50 AS track, min(seq) % 400 AS first, arg_min(value, seq) AS x0, arg_min(k, seq)::DOUBLE AS y0, arg_max(value, seq) AS x1, arg_max(k, seq)::DOUBLE AS y1 FROM o GROUP BY clip, seq // 50),
+p AS (SELECT a.clip, a.track AS a, b.track AS b, sqrt((b.x0 - a.x1) * (b.x0 - a.x1) + (b.y0 - a.y1) * (b.y0 - a.y1)) AS d, b.first - a.first - 3 AS gap FROM t a JOIN t b ON a.clip = b.clip AND a.track <> b.track AND b.first - a.first - 3 BETWEEN 1 AND 8),
+r AS (SELECT DISTINCT clip, []::BIGINT[] AS ua, []::BIGINT[] AS ub, NULL::STRUCT(d DOUBLE, a BIGINT, b BIGINT) AS m FROM p
+UNION ALL SELECT clip, list_append(ua, m.a), list_append(ub, m.b), m FROM (SELECT r.clip, r.ua, r.ub, min({{'d': p.d, 'a': p.a::BIGINT, 'b': p.b::BIGINT}}) AS m FROM r JOIN p ON p.clip = r.clip WHERE d <= 30 * gap AND NOT list_contains(ua, p.a) AND NOT list_contains(ub, p.b) GROUP BY r.clip, r.ua, r.ub)),
+l AS MATERIALIZED (SELECT clip, m.a AS a, m.b AS b FROM r WHERE m IS NOT NULL),
+h AS (SELECT clip, track, track AS chain FROM t WHERE (clip, track) NOT IN (SELECT clip, b FROM l) UNION ALL SELECT l.clip, l.b, h.chain FROM h JOIN l ON l.clip = h.clip AND l.a = h.track)
+SELECT clip, CAST(track AS BIGINT) AS track, CAST(chain AS BIGINT) AS chain FROM h""")
 def tracklet_links(spark, d):
     rows = observations(spark, d).groupBy("clip", (F.floor(F.col("seq") / 50)).alias("track")).agg((F.min("seq") % 400).alias("first"), F.min_by("value", "seq").alias("x0"), F.min_by("k", "seq").alias("y0"), F.max_by("value", "seq").alias("x1"), F.max_by("k", "seq").alias("y1"))
     rows = rows.withColumn("last", F.col("first") + 3)

@@ -28,9 +28,11 @@ def parse_names(spark, d):
 
 
 @query("""SELECT page_id, array_to_string(list_slice(string_split(regexp_replace(url, '^/+|/+$', '', 'g'), '/'), greatest(len(string_split(regexp_replace(url, '^/+|/+$', '', 'g'), '/')) - 2, 1), len(string_split(regexp_replace(url, '^/+|/+$', '', 'g'), '/'))), '/') AS tail,
-array_to_string(list_slice(string_split(url, '/'), 1, 2), '/') AS source FROM pages""")
+array_to_string(list_slice(string_split(url, '/'), 1, 2), '/') AS source,
+CASE WHEN len(string_split(regexp_replace(url, '^/+|/+$', '', 'g'), '/')) >= 3 THEN string_split(regexp_replace(url, '^/+|/+$', '', 'g'), '/')[-3] || '/' || string_split(regexp_replace(url, '^/+|/+$', '', 'g'), '/')[-2] END AS folder FROM pages""")
 def path_keys(spark, d):
-    return table(spark, d, "pages").select("page_id", C.path_tail(F.col("url")).alias("tail"), C.source_of_key(F.col("url")).alias("source"))
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", C.path_tail(url).alias("tail"), C.source_of_key(url).alias("source"), C.source_of_path(url).alias("folder"))
 
 
 @query(f"""WITH {OBS} SELECT clip, seq, lpad(CAST(seq // 60 % 100 AS VARCHAR), 2, '0') || ':' || lpad(CAST(seq % 60 AS VARCHAR), 2, '0') || '-' || lpad(CAST((seq % 6000 + 20) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((seq % 6000 + 20) % 60 AS VARCHAR), 2, '0') AS timeline FROM o""")
