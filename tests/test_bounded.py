@@ -128,3 +128,23 @@ def test_bootstrap_of_auc_equals_resampling_of_rows(spark, monkeypatch, joint):
         got = {r["iteration"]: r["x"] for r in bootstrap.auc_draws(df, "c", scores, F.col("p"), 30, "s", joint=joint).collect()}
         assert got == pytest.approx(want)
     assert bootstrap.auc_draws(df.where("NOT p"), "c", ["a"], F.col("p"), 5, "s", joint=joint).count() == 0
+
+
+def test_seed_frames_take_the_last_row_of_the_last_manifest(spark):
+    from kelpline.operators import joins
+
+    frames = spark.createDataFrame([("a", 9), ("b", 9), ("c", 9), (None, 9)], "image string, seed_frame int")
+    human = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1), ("x", 4, 1), (None, 5, 1)], "image string, seed_frame int, line int")
+    negative = spark.createDataFrame([("b", None, 7)], "image string, seed_frame int, line int")
+    got = {r["image"]: r["seed_frame"] for r in joins.seed_frames(frames, [(human, "line"), (negative, "line")], "image", "seed_frame").collect()}
+    assert got == {"a": 2, "b": None, "c": None, None: None}
+
+
+def test_half_tails_equal_sums():
+    from kelpline.operators.statistics import half_tail
+
+    for n in (1, 2, 7, 40, 301):
+        for k in range(n + 1):
+            assert half_tail(k, n) == pytest.approx(sum(math.comb(n, i) for i in range(k + 1)) / 2**n, rel=1e-9)
+    assert half_tail(499_000_000, 1_000_000_000) < 1e-300 or half_tail(499_000_000, 1_000_000_000) >= 0
+    assert half_tail(500_000_000, 1_000_000_001) == pytest.approx(0.5, rel=1e-4)
