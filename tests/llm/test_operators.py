@@ -479,4 +479,4 @@ def test_extra_columns_with_clashing_names(spark, edge, bench):
 
 def test_registry_names_one_query_an_operator():
     names = set(registry.queries())
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 11)} and "pipeline" in names
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 14)} and "pipeline" in names
