@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import random
 
 import numpy as np
 import pytest
@@ -253,3 +254,15 @@ def test_seams(spark):
 def test_work_rounds_stop(spark):
     done = []
     assert signals.work_rounds(lambda: spark.range(3).where(~F.col("id").isin(done or [-1])), lambda df: [r["id"] for r in df.limit(1).collect()], done.extend) == 3
+
+
+def test_crossings_in_blocks_equal_all_pairs(spark):
+    """Long segments share many cells; blocks of eight cut every cell; a key that comes twice gives its pairs once."""
+    rng = random.Random(12)
+    rows = [(f, k, *[rng.uniform(0, 50) for _ in range(4)]) for f in range(2) for k in range(60)] + [(0, 3, 0.0, 0.0, 50.0, 50.0)]
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    apart = lambda s, t: side(s[2:4], s[4:], t[2:4]) * side(s[2:4], s[4:], t[4:]) < 0
+    want = {(s[0], s[1], t[1]) for s in rows for t in rows if s[0] == t[0] and s[1] < t[1] and apart(s, t) and apart(t, s)}
+    df = spark.createDataFrame(rows, "f int, k long, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    got = [tuple(r) for r in T.crossings(df, "f", "k", 4.0, block=8).collect()]
+    assert len(got) == len(want) and set(got) == want
