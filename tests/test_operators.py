@@ -266,3 +266,12 @@ def test_crossings_in_blocks_equal_all_pairs(spark):
     df = spark.createDataFrame(rows, "f int, k long, x0 double, y0 double, x1 double, y1 double").repartition(3)
     got = [tuple(r) for r in T.crossings(df, "f", "k", 4.0, block=8).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_links_tie_where_sql_ties(spark):
+    """Two ends as far from one beginning by the root of the sum of squares, of which ``hypot`` puts the second nearer."""
+    near = [(8.13 - 0.98, 19.0), (27.77 - 20.62, 19.0)]
+    assert np.hypot(*near[0]) > np.hypot(*near[1])
+    rows = [("c", k + 1, 0, 1, 0.0, 0.0, -dx, -dy) for k, (dx, dy) in enumerate(near)] + [("c", 3, 2, 3, 0.0, 0.0, 0.0, 0.0)]
+    t = spark.createDataFrame(rows, "clip string, track long, first int, last int, x0 double, y0 double, x1 double, y1 double")
+    assert {r["track"]: r["chain"] for r in T.link_tracklets(t, "clip", "track", radius=30.0).collect()} == {1: 1, 2: 2, 3: 1}
