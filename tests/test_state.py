@@ -4,6 +4,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,42 @@ def test_streamed_tracklets_equal_the_batch(spark, tmp_path):
         assert head == r["chain"]
     state = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "open").load().select("key").collect()
     assert {r["key"]["clip"] for r in state} == {"z"}
+
+
+def test_a_clip_sets_one_timer():
+    """However many tracks wait: the timer for what is closed next sets that of the rest."""
+    timers: list = []
+    rows = [(k, 10 * k, 10 * k + 3, 0.0, 0.0, 0.0, 0.0) for k in range(1, 30)]
+    pdf = pd.DataFrame(rows, columns=["track", "first", "last", "x0", "y0", "x1", "y1"])
+
+    class Open:
+        held: list = []
+
+        def appendList(self, new):
+            self.held = self.held + new
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, new):
+            self.held = new
+
+        def clear(self):
+            self.held = []
+
+    class Handle:
+        registerTimer = staticmethod(timers.append)
+
+        def getListState(self, *_):
+            return Open()
+
+    class Mark:
+        def getCurrentWatermarkInMs(self):
+            return 150_000
+
+    work = scans.TrackLinks("clip", 8, 50.0, 1000)
+    work.init(Handle())
+    list(work.handleInputRows(("c",), iter([pdf]), None))
+    assert timers == [21_000 - 1]
+    found = pd.concat(work.handleExpiredTimer(("c",), Mark(), None))
+    assert found["next"].tolist() == list(range(2, 15)) and timers[1:] == [151_000 - 1]
