@@ -9,6 +9,11 @@ from kelpline.sources import stage
 from kelpline.streaming import scans, signals
 
 
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Keys of an ordered scan's state: about 10,000 rows each, as users are many and have few rows, and a call for each costs more than its rows."""
+    return max(512, -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // 10_000))
+
+
 def scratch(spark: SparkSession) -> str:
     return stage.folder(spark, "stream")
 
@@ -23,7 +28,7 @@ def scanned(spark: SparkSession, sf_dir: str, fold, inputs: list[str]) -> DataFr
     """What an ordered scan of the events by user has given at the stream's end; sessions end two days after their last row."""
     at = scratch(spark)
     with scans.state_store(spark):
-        out = scans.scan(events_stream(spark, sf_dir), fold, "user_id", "ts", "event_id", inputs, gap="2 days", late="1 hour")
+        out = scans.scan(events_stream(spark, sf_dir), fold, "user_id", "ts", "event_id", inputs, gap="2 days", late="1 hour", buckets=buckets(spark, sf_dir))
         return signals.run_to_end(out, f"{at}/out", f"{at}/state")
 
 
