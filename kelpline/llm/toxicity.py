@@ -6,10 +6,15 @@ hold; a term's weight is its inverse document frequency, counted over all
 documents, times how well it tells the labels apart: its chi-square over
 ``telling``, within ``floor`` and 1.  So every example has a vector, words that
 tell decide where there are any, and other words elsewhere.  Every text's
-vector is compared with the examples exactly: postings are kept by term and
-block of examples, with each block's greatest weight; the blocks of the highest
-bounds are scored first, then all whose bound reaches the k-th best cosine.
-Examples that tie with the k-th all vote.  Votes weigh by closeness and by
+vector is compared with the examples exactly, many texts at once: postings are
+kept by term and block of examples, with each block's greatest weight.  Those
+of words that few examples hold are added up whole and bound the blocks
+together with the greatest weights of the frequent ones; the blocks of the
+highest bounds are scored first, then all whose bound reaches the k-th best
+cosine, a block's frequent words in one product for all texts that need it.
+What comes near the k-th best is then summed again by itself in double
+precision, so a text's result doesn't depend on the texts beside it.  Examples
+that tie with the k-th all vote.  Votes weigh by closeness and by
 their label's share among all labelled rows; a logistic curve fitted on
 leave-one-out votes calibrates the score.
 
@@ -53,10 +58,14 @@ class Neighbours:
     """Examples' unit vectors in an inverted index with block maxima.
 
     ``pair_*`` are the (term, block) pairs in order: block, greatest weight, and where the pair's postings begin;
-    ``first`` says where a term's pairs begin.
+    ``first`` says where a term's pairs begin.  ``often`` has each example's weights of the frequent terms, ``top`` their
+    greatest in each block, and ``frequent`` a term's place in both, or -1.
     """
 
     ROUND = 4  # blocks in the first round
+    SHARE, DENSE = 1 / 16, 1024  # frequent terms are in such a share of examples; at most so many
+    CELLS, WEIGHTS = 1 << 19, 1 << 24  # sums, and postings of rare terms, at once (or one text's); weights of frequent terms
+    MARGIN = 2e-4  # more than twice what the products of at most DENSE single-precision terms may err, and 1e-6
 
     def __init__(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, idf: np.ndarray, labels: np.ndarray, ids: list, weight: tuple[float, float], k: int):
         self.idf, self.k, self.n = idf, k, n
@@ -81,6 +90,18 @@ class Neighbours:
         self.pair_top = np.maximum.reduceat(self.value, begin) if len(begin) else np.empty(0, np.float32)
         self.first = np.searchsorted(term[begin], np.arange(len(idf) + 1))
         self.blocks = -(-n // BLOCK)
+        held = np.diff(self.pair_at[self.first])
+        most = np.lexsort((np.arange(len(idf)), -held))[: min(self.DENSE, self.WEIGHTS // max(n, 1))]
+        most = np.sort(most[held[most] >= max(n * self.SHARE, 1)])
+        self.frequent = np.full(len(idf), -1)
+        self.frequent[most] = np.arange(len(most))
+        self.top = np.zeros((len(most), self.blocks), np.float32)
+        self.often = np.zeros((self.blocks * BLOCK, len(most)), np.float32)
+        for t in most:
+            pairs = slice(self.first[t], self.first[t + 1])
+            self.top[self.frequent[t], self.pair_block[pairs]] = self.pair_top[pairs]
+            own = slice(self.pair_at[pairs.start], self.pair_at[pairs.stop])
+            self.often[self.example[own], self.frequent[t]] = self.value[own]
         self.labels, self.ids, self.norm = labels[placed], [ids[i] for i in placed], norm[placed]
         self.vote = np.where(self.labels == 1, weight[1], weight[0])
         none = self.norm == 0
@@ -98,40 +119,56 @@ class Neighbours:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """All examples whose cosine is at least the k-th best, with it; zero cosines only where there are no others."""
-        size = self.first[terms + 1] - self.first[terms]
-        pair = self._ranges(self.first[terms], size)
-        weight = np.repeat(weights, size)
-        bounds = np.bincount(self.pair_block[pair], weight * self.pair_top[pair], self.blocks)
-        found, sims, least = [], [], 0.0
-        todo = bounds > 0
+        return next(self.search_all(np.array([0, len(terms)]), terms, weights, np.array([without])))
+
+    def search_all(self, cut: np.ndarray, terms: np.ndarray, weights: np.ndarray, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`search` of several texts in order; text i has the terms ``cut[i]:cut[i + 1]``."""
+        without = np.full(len(cut) - 1, -1) if without is None else without
+        rare = np.where(self.frequent[terms] < 0, self.pair_at[self.first[terms + 1]] - self.pair_at[self.first[terms]], 0)
+        total = np.append(0, np.cumsum(rare))[cut]
+        i = 0
+        while i < len(cut) - 1:
+            upto = int(np.searchsorted(total, total[i] + self.CELLS, "right")) - 1
+            upto = min(max(min(upto, i + self.CELLS // (self.blocks * BLOCK)), i + 1), len(cut) - 1)
+            own = slice(cut[i], cut[upto])
+            yield from self._some(cut[i : upto + 1] - cut[i], terms[own], weights[own], rare[own], without[i:upto])
+            i = upto
+
+    def _some(self, cut: np.ndarray, terms: np.ndarray, weights: np.ndarray, rare: np.ndarray, without: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`search_all` of as many texts as go at once; ``rare`` counts the postings of terms that aren't frequent."""
+        m, width = len(cut) - 1, self.blocks * BLOCK
+        row = W.row_of(cut)
+        posting = self._ranges(self.pair_at[self.first[terms]], rare)
+        s = np.bincount(np.repeat(row * width, rare) + self.example[posting], np.repeat(weights, rare) * self.value[posting], m * width).reshape(m, width)
+        left = np.flatnonzero(without >= 0)
+        s[left, without[left]] = -2
+        about = s.astype(np.float32)
+        at = self.frequent[terms]
+        texts = np.zeros((m, len(self.top)), np.float32)
+        texts[row[at >= 0], at[at >= 0]] = weights[at >= 0]
+        bounds = about.reshape(m, self.blocks, BLOCK).max(axis=2) + texts @ self.top
+        chosen = np.ones((m, self.blocks), bool)
         if self.blocks > self.ROUND:
-            chosen = np.zeros(self.blocks, bool)
-            chosen[np.argpartition(-bounds, self.ROUND)[: self.ROUND]] = True
-            rounds = (chosen & todo, ~chosen & todo)
-        else:
-            rounds = (todo,)
-        for blocks in rounds:
-            blocks = blocks & (bounds > least - 1e-6)
-            own = blocks[self.pair_block[pair]]
-            if not own.any():
-                continue
-            at = pair[own]
-            n = self.pair_at[at + 1] - self.pair_at[at]
-            posting = self._ranges(self.pair_at[at], n)
-            s = np.bincount(self.example[posting], np.repeat(weight[own], n) * self.value[posting], self.n)
-            hit = np.flatnonzero(s > 0)
-            hit = hit[hit != without]
-            found.append(hit)
-            sims.append(s[hit])
-            every = np.concatenate(sims)
-            if len(every) >= self.k:
-                least = float(np.partition(every, len(every) - self.k)[len(every) - self.k])
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        at, s = np.concatenate(found), np.concatenate(sims)
-        keep = s >= least - 1e-6
-        order = np.lexsort((at[keep], -s[keep].round(6)))
-        return at[keep][order], s[keep][order]
+            chosen[:] = False
+            np.put_along_axis(chosen, np.argpartition(-bounds, self.ROUND, axis=1)[:, : self.ROUND], True, axis=1)
+        least = np.zeros(m)
+        for blocks in (chosen, ~chosen):
+            blocks &= (bounds > 0) & (bounds > least[:, None] - self.MARGIN)
+            for block in np.flatnonzero(blocks.any(axis=0)):
+                own = slice(block * BLOCK, (block + 1) * BLOCK)
+                some = np.flatnonzero(blocks[:, block])
+                if 2 * len(some) > m:  # without copies of rows
+                    some = slice(None)
+                about[some, own] = s[some, own] + texts[some] @ self.often[own].T
+            if width >= self.k:  # what isn't scored counts with less than its cosine
+                least = np.maximum(np.partition(about, width - self.k, axis=1)[:, width - self.k], 0)
+        row, at = np.nonzero((about > 0) & (about >= least[:, None] - self.MARGIN))
+        for i, at in enumerate(np.split(at, np.searchsorted(row, np.arange(1, m)))):
+            sims = s[i, at] + (self.often[at] * texts[i]).astype(float).sum(axis=1)
+            last = float(np.partition(sims, len(sims) - self.k)[len(sims) - self.k]) if len(sims) >= self.k else 0.0
+            keep = sims >= last - 1e-6
+            order = np.lexsort((at[keep], -sims[keep].round(6)))
+            yield at[keep][order], sims[keep][order]
 
     def raw(self, at: np.ndarray, sims: np.ndarray) -> float:
         if not len(at):
@@ -145,16 +182,13 @@ class Neighbours:
         return float(1 / (1 + np.exp(-(self.slope * np.log(raw / (1 - raw)) + self.offset))))
 
     def _calibrate(self) -> None:
-        x = np.empty(self.n)
+        x = np.full(self.n, self.nothing)
         order = np.argsort(self.example, kind="stable")
         term = np.repeat(np.repeat(np.arange(len(self.idf)), np.diff(self.first)), np.diff(self.pair_at))
-        cut = np.searchsorted(self.example[order], np.arange(self.n + 1))
-        for i in range(self.n):
-            if self.norm[i] == 0:
-                x[i] = self.nothing
-                continue
-            own = slice(*cut[i : i + 2])
-            x[i] = self.raw(*self.search(term[order[own]], self.value[order[own]], without=i))
+        some = np.flatnonzero(self.norm > 0)
+        cut = np.searchsorted(self.example[order], np.append(some, self.n))
+        for i, near in zip(some, self.search_all(cut, term[order], self.value[order], some), strict=True):
+            x[i] = self.raw(*near)
         x = np.clip(x, 1e-4, 1 - 1e-4)
         x, w, y = np.log(x / (1 - x)), self.vote / self.vote.mean(), self.labels
         a, b = 1.0, 0.0
@@ -188,9 +222,9 @@ def learn(labelled: DataFrame, documents: DataFrame, *, id_col: str = "doc_id",
     raw = [r[1].encode() for r in sample]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]).astype(np.int64)
     words = W.split_words(data, offsets)
-    pairs = np.unique(np.stack([words.hash, W.row_of(words.first).astype(np.uint64)]), axis=1)
-    hashes, which = np.unique(pairs[0], return_inverse=True)
-    toxic = np.bincount(which, y[pairs[1].astype(np.int64)], len(hashes))
+    hashes, which = np.unique(words.hash, return_inverse=True)
+    which, row = np.divmod(np.unique(which * len(y) + W.row_of(words.first)), len(y))
+    toxic = np.bincount(which, y[row], len(hashes))
     both = np.bincount(which, minlength=len(hashes))
     n1, n = y.sum(), len(y)
     a, b, c, d = toxic, both - toxic, n1 - toxic, (n - n1) - (both - toxic)
@@ -236,15 +270,21 @@ def score(df: DataFrame, model, *, text_col: str = "text") -> DataFrame:
                 weight = ((1 + np.log(count)) * index.idf[term]).astype(np.float32)
                 cut = np.searchsorted(row, np.arange(b - a + 1))
                 scores, evidence = np.full(b - a, nothing), [[] for _ in range(b - a)]
+                if len(seen) >= 10_000:
+                    seen.clear()
+                keys, new = {}, {}
                 for i in np.flatnonzero(np.diff(cut)):
                     own = slice(cut[i], cut[i + 1])
-                    key = term[own].tobytes() + count[own].tobytes()
-                    if key not in seen:
-                        if len(seen) >= 10_000:
-                            seen.clear()
-                        w = weight[own] / np.sqrt((weight[own] ** 2).sum())
-                        near, sims = index.search(term[own], w)
-                        seen[key] = index.calibrated(index.raw(near, sims)), [{"id": str(index.ids[j]), "cosine": float(min(s, 1))} for j, s in zip(near[:3], sims[:3], strict=True)]
+                    keys[i] = key = term[own].tobytes() + count[own].tobytes()
+                    if key not in seen and key not in new:
+                        new[key] = np.arange(cut[i], cut[i + 1])
+                        weight[own] /= np.sqrt((weight[own] ** 2).sum())
+                if new:
+                    own = np.concatenate(list(new.values()))
+                    near = index.search_all(np.cumsum([0, *map(len, new.values())]), term[own], weight[own])
+                    for key, (at_, sims) in zip(new, near, strict=True):
+                        seen[key] = index.calibrated(index.raw(at_, sims)), [{"id": str(index.ids[j]), "cosine": float(min(s, 1))} for j, s in zip(at_[:3], sims[:3], strict=True)]
+                for i, key in keys.items():
                     scores[i], evidence[i] = seen[key]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(scores), pa.array(evidence, kind)], names=[*batch.schema.names, *names])
 

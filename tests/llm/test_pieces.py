@@ -266,6 +266,35 @@ def test_block_max_search_is_exact():
             assert set(index.search(q, w[q])[0].tolist()) == brute_neighbours(index, w)
 
 
+def test_texts_are_searched_together_and_exactly(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, t, calls = 700, 120, []
+    dense = rng.random((n, t)) < rng.uniform(0.005, 0.4, t)  # frequent and rare terms
+    dense[:300] = dense[0]  # ties
+    rows, terms = np.nonzero(dense)
+    ranges = toxicity.Neighbours._ranges
+    monkeypatch.setattr(toxicity.Neighbours, "_ranges", staticmethod(lambda *a: calls.append(1) or ranges(*a)))
+    index = toxicity.Neighbours(rows, terms, rng.integers(1, 4, len(rows)), n, rng.uniform(1, 5, t), rng.integers(0, 2, n), list(range(n)), (1.0, 1.0), 10)
+    assert len(calls) < n / 4  # leave-one-out votes: a search a text called it twice a text or more
+    texts = []
+    for i in range(300):
+        q = np.flatnonzero(dense[rng.integers(n)] if i % 2 else rng.random(t) < 0.1)
+        w = rng.random(len(q)).astype(np.float32) + np.float32(0.1)
+        texts.append((q, w / np.sqrt((w**2).sum())))
+    calls.clear()
+    cut, q, w = np.cumsum([0, *(len(x[0]) for x in texts)]), np.concatenate([x[0] for x in texts]), np.concatenate([x[1] for x in texts])
+    together = list(index.search_all(cut, q, w))
+    assert len(calls) < len(texts) / 4
+    for (q, w), (at, sims) in zip(texts, together, strict=True):
+        alone = index.search(q, w)
+        assert np.array_equal(alone[0], at) and np.array_equal(alone[1], sims)  # whatever stands beside a text
+        full = np.zeros(t, np.float32)
+        full[q] = w
+        assert set(at.tolist()) == brute_neighbours(index, full)
+        if len(at):
+            assert at[0] not in index.search(q, w, without=int(at[0]))[0]
+
+
 def test_archives_reject_faults():
     d = warc.train_dictionary([b"<html>" + bytes([i]) * 50 for i in range(5)], 1024)
     w = warc.Writer(d, 3, 1 << 20)
