@@ -268,6 +268,47 @@ def test_crossings_in_blocks_equal_all_pairs(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_crossings_move_each_segment_once(spark):
+    """Rows that go to tasks are the segments, not their copies for cells and blocks; short and long segments, some without place
+    or without end, in frames above and below a part's size."""
+    rng = random.Random(13)
+    rows = []
+    for f, n in ((0, 700), (1, 40), (2, 1)):
+        for k in range(n):
+            x, y, reach = rng.uniform(0, 90), rng.uniform(0, 90), rng.choice([0.5, 4.0, 60.0])
+            rows.append((f, f"k{k}", x, y, x + rng.uniform(-reach, reach), y + rng.uniform(-reach, reach)))
+    rows += [(0, "n1", None, 0.0, 50.0, 50.0), (0, "n2", float("nan"), 0.0, 50.0, 50.0), (1, "n3", 0.0, 45.0, float("inf"), 45.0), (None, "n4", 0.0, 0.0, 90.0, 90.0), (None, "n5", 90.0, 0.0, 0.0, 90.0), (0, None, 0.0, 0.0, 90.0, 90.0)]
+    whole = [r for r in rows if None not in r and r[2] == r[2]]
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    sides = lambda s, t: (side(s[2:4], s[4:], t[2:4]), side(s[2:4], s[4:], t[4:]))
+    apart = lambda s, t: min(sides(s, t)) < 0 < max(sides(s, t))
+    want = {(s[0], s[1], t[1]) for s in whole for t in whole if s[0] == t[0] and s[1] < t[1] and apart(s, t) and apart(t, s)}
+    df = spark.createDataFrame(rows, "f int, k string, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    for block in (100_000, 150):
+        got = [tuple(r) for r in T.crossings(df, "f", "k", 4.0, block=block).collect()]
+        assert len(got) == len(want) > 1000 and set(got) == want
+    moved, pieces = [], T.whole_groups
+    T.whole_groups = lambda at, *a, **b: moved.append(at.count()) or pieces(at, *a, **b)
+    try:
+        T.crossings(df, "f", "k", 4.0)
+    finally:
+        T.whole_groups = pieces
+    assert moved == [len(whole)]
+
+
+def test_crossings_of_keys_that_come_often(spark):
+    """Of one key many segments: its pairs come once each, whatever runs cut its rows."""
+    rng = random.Random(14)
+    rows = [(0, k, *[rng.uniform(0, 9) for _ in range(4)]) for k in range(30) for _ in range(600 if k == 7 else 1 + k % 3)]
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    apart = lambda s, t: side(s[2:4], s[4:], t[2:4]) * side(s[2:4], s[4:], t[4:]) < 0
+    want = {(0, s[1], t[1]) for s in rows for t in rows if s[1] < t[1] and apart(s, t) and apart(t, s)}
+    df = spark.createDataFrame(rows, "f int, k long, x0 double, y0 double, x1 double, y1 double")
+    for block in (100_000, 60):
+        got = [tuple(r) for r in T.crossings(df, "f", "k", 4.0, block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_links_tie_where_sql_ties(spark):
     """Two ends as far from one beginning by the root of the sum of squares, of which ``hypot`` puts the second nearer."""
     near = [(8.13 - 0.98, 19.0), (27.77 - 20.62, 19.0)]
